@@ -1,14 +1,18 @@
-"""What the operators of this package share: shuffle width, checkpoints, batch sizes and text normalisation."""
+"""What the operators of this package share: shuffle width, saved stages, batch sizes and the tables they read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Documents can be megabytes long, so batches are counted in hundreds of rows.
-ARROW_ROWS = 256
+#: Bytes and rows in one Arrow batch; texts can be megabytes long, so it is the bytes that bound a Python worker.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def width(spark: SparkSession) -> int:
@@ -18,29 +22,66 @@ def width(spark: SparkSession) -> int:
 
 def long_rows(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts: a Python worker holds one batch of each stage at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where the session names none, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one only where the session names none, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
+    return _own[0]
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared checkpoint folder."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to a table of their own in the shared folder and read them again.
+
+    The table outlives any executor, and the shuffles that made it are given back as soon as it is written.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The two columns that the operators read, under fixed names, whatever else the table holds: ``doc_id long, data
+    binary``, the text in UTF-8; a null text is empty."""
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"))
 
-def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The two columns that the operators read, under fixed names, whatever else the table holds."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def held_out(doc_id: str | Column) -> Column:
-    """Rows that no model may learn from: crc32 of the id as text is divisible by five."""
+    """Rows that no model may learn from: crc32 of the id as text is divisible by five. Without an id: false."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def batch(rows: Sequence[tuple], fields: Sequence[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+SQL_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean", pa.float64(): "double"}
+
+
+def schema_of(fields: Sequence[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{n} {f'array<{SQL_TYPES[t.value_type]}>' if pa.types.is_list(t) else SQL_TYPES[t]}" for n, t in fields)
