@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import long_rows, width
+from tessera.llm.common import batch, long_rows, rows_of, schema_of, width
 from tessera.llm.templates import Template
 
 #: Strings with a meaning to the format. They never stand in an escaped text.
@@ -27,6 +27,8 @@ CHAT = (
     "<|end|>{% if loop.last %}</s>{% endif %}{% endfor %}"
 )
 
+_PIECES = [("conv_id", pa.int64()), ("piece", pa.int64()), ("text", pa.string()), ("learn", pa.bool_())]
+_DIGESTS = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 
 
@@ -97,11 +99,6 @@ def _sorted_turns(conversations: DataFrame) -> DataFrame:
     return turns.repartition(width(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def format_chats(conversations: DataFrame, template: str = CHAT) -> DataFrame:
     """Formatted conversations as pieces: ``conv_id, piece long, text, learn boolean``, joined in order of ``piece``.
 
@@ -111,21 +108,16 @@ def format_chats(conversations: DataFrame, template: str = CHAT) -> DataFrame:
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, out, size = chat_template(template), [], 0
-        for conv, messages in _conversations(_rows(batches)):
+        for conv, messages in _conversations(rows_of(batches)):
             for n, (text, learn) in enumerate(compiled.pieces(messages=messages)):
                 out.append((conv, n, text, learn))
                 size += len(text)
                 if size > 4_000_000 or len(out) >= 4096:
-                    yield _batch(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), ["conv_id", "piece", "text", "learn"])
+                    yield batch(out, _PIECES)
                     out, size = [], 0
-        yield _batch(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), ["conv_id", "piece", "text", "learn"])
-
-    return _sorted_turns(conversations).mapInArrow(render, "conv_id long, piece long, text string, learn boolean")
-
+        yield batch(out, _PIECES)
 
-def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    return _sorted_turns(conversations).mapInArrow(render, schema_of(_PIECES))
 
 
 def chat_digests(conversations: DataFrame, template: str = CHAT) -> DataFrame:
@@ -135,22 +127,21 @@ def chat_digests(conversations: DataFrame, template: str = CHAT) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         conv, open_, out = None, None, []
 
         def close() -> None:
             if open_ is not None:
                 out.append((conv, open_.turns, open_.turn_hash.hexdigest(), open_.loss_chars, open_.loss_hash.hexdigest(), open_.size))
 
-        for c, n, text, learn in _rows(batches):
+        for c, n, text, learn in rows_of(batches):
             if n == 0:
                 close()
                 conv, open_ = c, ReadBack()
             open_.feed(text, learn)
         close()
-        yield _batch(out, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), names)
+        yield batch(out, _DIGESTS)
 
-    return format_chats(conversations, template).mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return format_chats(conversations, template).mapInArrow(read, schema_of(_DIGESTS))
 
 
 ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]

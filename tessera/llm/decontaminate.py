@@ -167,38 +167,53 @@ class Patterns:
 _FOUND = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: str | None = None) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of about ``block`` bytes, whatever the benchmark's size, one after the other."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").cast("binary").alias("data")).dropna()
+    total = items.agg(F.sum(F.length("data"))).first()[0] or 0
+    blocks = -(-total // block) or 1
+    for b in range(blocks):
+        yield sorted((r.item_id, normal(bytes(r.data))) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Benchmark items found in documents: ``doc_id, item_id, edits, start, stop``, a row for each pair with the best region.
 
     Both texts are taken with A-Z in lower case and single spaces; start and stop are bytes of the text so taken. An item
     is found where a part of the text is within ``errors`` edits a byte of it, or less where the q-gram lemma needs it;
     an item shorter than a q-gram, only as it is. Null and empty texts and items find nothing, nor do items without an
     id; repeated rows give repeated rows and equal items one each; a document's null id stays null; empty tables give no
-    rows. Other columns aren't read. ``keep`` names a further column of ``docs`` to return.
+    rows. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    long_rows(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").cast("binary").alias("data")).dropna()
-    total = items.agg(F.sum(F.length("data"))).first()[0] or 0
-    blocks = -(-total // block) or 1
-    rows = texts(docs, doc_id, text) if keep is None else docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"), F.col(keep))
-    fields = _FOUND if keep is None else [*_FOUND, (keep, pa.int64())]
-    out = None
-    for b in range(blocks):
-        # about ``block`` bytes of patterns, whatever the benchmark's size
-        part = [(r.item_id, normal(bytes(r.data))) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        part.sort()
+    long_rows(docs.sparkSession)
+    rows, out = texts(docs, doc_id, text), None
+    for part in _blocks(benchmark, item_id, item_text, block):
 
         def run(batches: Iterator[pa.RecordBatch], part: list[tuple[int, bytes]] = part) -> Iterator[pa.RecordBatch]:
             patterns = Patterns([i for i, _ in part], [p for _, p in part], errors)
-            for rows in batches:
-                more = rows.column(2).to_pylist() if keep is not None else [None] * len(rows)
-                yield batch([(i, *f) if keep is None else (i, *f, k) for i, x, k in zip(rows.column(0).to_pylist(), rows.column(1), more, strict=True) for f in patterns.search(normal(x.as_py()))], fields)
+            for b in batches:
+                yield batch([(i, *f) for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) for f in patterns.search(normal(x.as_py()))], _FOUND)
 
-        found = rows.mapInArrow(run, schema_of(fields))
+        found = rows.mapInArrow(run, schema_of(_FOUND))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, with all their columns; see ``contamination``."""
+    long_rows(docs.sparkSession)
+    out, at = docs, docs.columns.index(text)
+    for part in _blocks(benchmark, item_id, item_text, block):
+
+        def run(batches: Iterator[pa.RecordBatch], part: list[tuple[int, bytes]] = part) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns([i for i, _ in part], [p for _, p in part], errors)
+            for b in batches:
+                clean = [not patterns.search(normal((x.as_py() or "").encode())) for x in b.column(at)]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

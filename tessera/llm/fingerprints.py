@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, long_rows, schema_of, texts, width
@@ -138,8 +138,6 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         return placed.select("doc_id").limit(0).selectExpr("doc_id", "0L n_chars", "'' edited_sha256", "'' fingerprint", "'' edited_fingerprint", "0D near_edited", "0D near_next")
     above = {tops[i][1]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
     # of equal ids the first in order is the guest
-    from pyspark.sql import Window
-
     sent = F.create_map(*(F.lit(x) for pair in above.items() for x in pair))
     guests = placed.filter(F.col("key").isin(list(above))).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("data"))).filter("nth = 1")
     guests = guests.withColumn("part", F.element_at(sent, F.col("key"))).withColumn("guest", F.lit(True)).drop("nth")

@@ -194,5 +194,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", d
     return score(stats, fit(stats.filter(~held_out("doc_id")), labels, label), threshold)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold; learned as in ``quality_scores``."""
+    long_rows(docs.sparkSession)
+    known = labels.select(F.col(doc_id).cast("long").alias("doc_id")).filter(~held_out("doc_id")).distinct()
+    model = fit(saved(document_statistics(docs, doc_id, text)).join(known, "doc_id", "left_semi"), labels, label, doc_id)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                s = model.score(np.stack([statistics((x.as_py() or "").encode()) for x in b.column(at)]))
+                yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

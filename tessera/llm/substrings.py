@@ -92,6 +92,55 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     return joined.mapInArrow(cut, schema_of(_KEPT))
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each text without its repeated words; see ``dedup_words``.
+
+    A text that gives up nothing stays as it is; another has its words joined by one space. Rows may become empty, but
+    stay.
+    """
+    long_rows(docs.sparkSession)
+    rows = keyed(docs, doc_id, text)
+    spans = removed_ranges(rows, Words(window), lambda: fm_engine(window), shard)
+    others = [c for c in docs.columns if c != text]
+    whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
+    schema = whole.select("text", "others").schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for data, spans in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if spans:
+                    words, kept, at = data.encode().split(), [], 0
+                    for start, stop in merged(spans):
+                        kept += words[at:start]
+                        at = stop
+                    data = b" ".join(kept + words[at:]).decode()
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], names=["text", "others"])
+
+    joined = whole.join(spans, ["doc_id", "row"], "left").select("text", "others", "spans").mapInArrow(cut, schema)
+    return joined.select(*(F.col(f"others.`{c}`") if c != text else F.col("text").alias(text) for c in docs.columns))
+
+
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_words(documents(spark, sf_dir), digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+#: Words and windows as the contract has them.
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13
+), win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM spots
+), firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k
+), hit AS (
+  SELECT DISTINCT doc_id, i + o AS p FROM win JOIN firsts USING (k) CROSS JOIN (SELECT unnest(range(13)) AS o) WHERE f < doc_id
+), words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), marked AS (SELECT words.*, hit.p IS NOT NULL AS gone FROM words LEFT JOIN hit USING (doc_id, p)
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import long_rows, saved, schema_of, texts, width
@@ -214,8 +214,6 @@ def shared_anchors(rows: DataFrame, kind: Symbols) -> DataFrame:
 
     found = rows.mapInArrow(run, "key long, doc_id long, anchor long")
     # bounded by the number of tasks: a task gives an anchor one row
-    from pyspark.sql import Window
-
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     known = counted.filter(F.col("doc_id").isNotNull() & (F.col("anchor").isNotNull() | (F.col("n") > 1)))
     return known.groupBy("doc_id").agg(F.collect_set(F.coalesce("anchor", "key")).alias("anchors"))
