@@ -1 +1,6 @@
-"""."""
+"""Queries over the driver's tables, and SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
