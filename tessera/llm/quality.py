@@ -125,7 +125,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     """A model from the statistics of labelled documents, at most about ``most`` of them, chosen by a hash of the id.
 
     Rows of ``labels`` without an id or a label are ignored; of rows that disagree, each counts. A fifth of the rows is
-    kept from the weights and calibrates. Without labels, or with only one kind, the score is a constant.
+    kept from the weights and calibrates; where that is under 1,000 rows, all rows do. Without labels, or with only one kind, the score is a constant.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label")).dropna()
     n = known.count()
@@ -161,7 +161,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         return np.stack([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
 
     held = _summed(rows.filter("later"), binned)
-    held = _summed(rows, binned) if not held.size or held[1].sum() < 50 else held
+    held = _summed(rows, binned) if not held.size or held[1].sum() < 1000 else held
     used = np.flatnonzero(held[1])
     # a bin counts with one row of the overall share more, so that few rows don't make certainty
     fitted = pooled(held[0][used] + ones / count, held[1][used] + 1)

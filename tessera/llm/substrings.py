@@ -130,7 +130,7 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
 #: Words and windows as the contract has them.
 OP4_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13
 ), win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM spots
 ), firsts AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k
