@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessera.plans import answering, search, texts
+
+QUERIES = search.QUERIES | texts.QUERIES | answering.QUERIES
+SQL = search.SQL | texts.SQL | answering.SQL

@@ -1 +1,27 @@
-"""."""
+"""Incremental upkeep of a corpus by Structured Streaming: each micro-batch is an upsert of its keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessera.operators.maintenance import current, publish
+
+
+def upsert_stream(changes: DataFrame, root: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
+    """Publish, after each batch, the corpus with the newest row of each key by ``version``; earlier keys stay."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        newest = batch.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).filter("__nth = 1").drop("__nth")
+        try:
+            old = current(batch.sparkSession, root).join(newest.select(key), key, "left_anti")
+            newest = newest.unionByName(old)
+        except Exception as missing:  # the first batch finds no corpus
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+        publish(newest, root)
+
+    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
