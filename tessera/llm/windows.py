@@ -31,7 +31,7 @@ from tessera.llm.common import long_rows, saved, schema_of, texts, width
 #: Anchors that a task gathers before it reduces them, and windows of a piece; both bound a worker's memory.
 CHUNK, LONGEST = 2_000_000, 256
 #: Distinct pieces of one anchor that a task indexes; of more, windows are counted one by one.
-MANY = 20_000
+MANY = 4_000
 #: Words whose hashes a worker keeps.
 VOCABULARY = 200_000
 
