@@ -66,19 +66,22 @@ def align(pattern: bytes, text: bytes, low: int, high: int, most: int) -> tuple[
     big = 1 << 30
     cost = np.where(inside, 0, big)
     start = low + place
+    down, above = np.full(width, big), np.zeros(width, dtype=np.int64)
     for i, c in enumerate(pattern):
         here = low + place + i + 1  # text places after this row
         ok = (here >= 0) & (here <= len(text))
         best = cost + (t[i : i + width] != c)
         from_ = start
-        down = np.append(cost[1:] + 1, big)
+        down[:-1], above[:-1] = cost[1:] + 1, start[1:]
         take = down < best
-        best, from_ = np.where(take, down, best), np.where(take, np.append(start[1:], 0), from_)
+        best, from_ = np.where(take, down, best), np.where(take, above, from_)
         best = np.where(ok, best, big)
         # text bytes that the pattern hasn't: from the left within the row
         slid = np.minimum.accumulate(best - place)
         source = np.maximum.accumulate(np.where(best - place == slid, place, 0))
         cost, start = np.minimum(slid + place, big), from_[source]
+        if i % 4 == 3 and cost.min() > most:  # the least cost of a row never falls
+            return None
     k = int(cost.argmin())
     return (int(cost[k]), int(start[k]), int(low + k + len(pattern))) if cost[k] <= most else None
 
@@ -148,16 +151,16 @@ class Patterns:
     def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """For each pattern within its budget somewhere in the text, its best region: pattern id, edits, start, stop."""
         best: dict[int, tuple[int, int, int]] = {}
-        for i, band in sorted(self.regions(text)):
-            k, w = int(self.budget[i]), int(self.band[i])
-            if i in best and best[i][0] == 0:
-                continue
-            low, high = band * w - k, (band + 2) * w + k
-            a, z = max(0, low), max(0, high + len(self.data[i]))
-            exact = text.find(self.data[i], a, z)
-            got = (0, exact, exact + len(self.data[i])) if exact >= 0 else align(self.data[i], text, low, high, k)
-            if got and (i not in best or (got[0], got[1]) < (best[i][0], best[i][1])):
-                best[i] = got
+        bands = sorted(self.regions(text))
+        spans = [(i, band * int(self.band[i]) - int(self.budget[i]), (band + 2) * int(self.band[i]) + int(self.budget[i])) for i, band in bands]
+        for i, low, high in spans:
+            if i not in best and (at := text.find(self.data[i], max(0, low), max(0, high + len(self.data[i])))) >= 0:
+                best[i] = (0, at, at + len(self.data[i]))
+        exact = set(best)  # nothing is better than a copy, and these are leftmost
+        for i, low, high in spans:
+            if i not in exact and (got := align(self.data[i], text, low, high, int(self.budget[i]))):
+                if i not in best or (got[0], got[1]) < (best[i][0], best[i][1]):
+                    best[i] = got
         for i, p in self.short:
             if (at := text.find(p)) >= 0:
                 best[i] = (0, at, at + len(p))
