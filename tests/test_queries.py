@@ -66,7 +66,7 @@ def test_unknown_marker_and_shared_form_fail(spark):
         catalog.identity_forms(spark.createDataFrame([("ac-2",), ("AC-2",)], "id string")).collect()
 
 
-@pytest.mark.parametrize(("text", "wanted"), [("Policy {{insert: param, p}} and following {{ insert: param, p }} ; and", "Policy X and following X; and"), ("{{ insert: param, p }}{{ insert: param, p }}", "XX"), ("[ {{ insert: param, p }} ]", "[ X]"), ("[AC-25](#ac-25) . The policy", "[AC-25](#ac-25) . The policy"), ("", "")])
+@pytest.mark.parametrize(("text", "wanted"), [("Policy {{insert: param, p}} and following {{ insert: param, p }} ; and", "Policy X and following X; and"), ("{{ insert: param, p }}{{ insert: param, p }}", "XX"), ("[ {{ insert: param, p }} ]", "[X]"), ("[AC-25](#ac-25) . The policy", "[AC-25](#ac-25) . The policy"), ("", "")])
 def test_marker_seams(spark, text, wanted):
     prose = spark.createDataFrame([(1, text)], "id int, text string")
     assert catalog.resolve_markers(prose, spark.createDataFrame([("p", "X")], "param string, rendered string")).first().resolved == wanted
