@@ -52,13 +52,27 @@ def render_prompts(retrieved: DataFrame, instructions: str, key: str = "q_id") -
     return retrieved.groupBy(key).agg(F.concat(F.lit(instructions), F.lit("\n\n"), body, F.lit("\n\nQuestion: "), F.first("question")).alias("prompt"))
 
 
-def request_key(fields: dict[str, Column]) -> Column:
-    """SHA-256 of a JSON object of strings with sorted keys and no blanks, non-ASCII characters escaped.
+def json_string(x: Column) -> Column:
+    """A JSON string in printable ASCII: other characters by their short escape, else in UTF-16 as ``\\uXXXX``."""
+
+    def escaped(c: Column) -> Column:
+        unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+        point = F.ascii(c)
+        above = point - 0x10000
+        out = F.when(c.rlike(r"^[ -~]"), c)
+        for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+            out = out.when(c == raw, short)
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))))
+        return out.when(point < 0x10000, unit(point)).otherwise(pair)
+
+    quoted = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    runs = F.regexp_extract_all(quoted, F.lit(r"[ -~]+|[^ -~]"), 0)
+    return F.concat(F.lit('"'), F.array_join(F.transform(runs, escaped), ""), F.lit('"'))
 
-    Texts are escaped by built-in expressions, so characters beyond ASCII must come escaped already.
-    """
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
-    parts = [x for n, name in enumerate(sorted(fields)) for x in ([F.lit(",")] if n else []) + [F.lit(f'"{name}":'), quoted(fields[name])]]
+
+def request_key(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a JSON object of strings with sorted keys and no blanks, non-ASCII characters escaped."""
+    parts = [x for n, name in enumerate(sorted(fields)) for x in ([F.lit(",")] if n else []) + [F.lit(f'"{name}":'), json_string(fields[name])]]
     return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)
 
 

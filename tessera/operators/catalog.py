@@ -54,23 +54,49 @@ def marker_pieces(texts: DataFrame, key: str = "id", text: str = "text") -> Data
     return texts.select(key, F.posexplode(zipped).alias("pos", "p")).select(key, "pos", F.col("p.literal").alias("literal"), F.col("p.match").alias("match"), F.col("p.param").alias("param"))
 
 
-def resolve_markers(texts: DataFrame, parameters: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``key, resolved``: markers replaced by ``rendered`` of ``parameters(param, rendered)``; an unknown one fails the query.
+#: How deep parameters may name each other.
+DEPTH = 8
+
+
+def nested_parameters(parameters: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``param, rendered`` without markers: parameters that name others, resolved from the inside; a cycle, or more than
+    ``depth`` levels, fails the query. Each round takes up the parameters whose markers are all resolved."""
+    own = parameters.select("param", "rendered")
+    inner = own.filter(F.col("rendered").rlike(MARKER))
+    done = plain = own.filter(~F.col("rendered").rlike(MARKER))
+    wanted, known, levels = inner.count(), -1, 0
+    while levels < depth and known < wanted:
+        found = resolve_markers(inner.select(F.col("param").alias("own"), "rendered"), done, "own", "rendered", strict=False)
+        found = found.filter("resolved is not null").select(F.col("own").alias("param"), F.col("resolved").alias("rendered"))
+        before, known = known, found.count()
+        if known == before:
+            break
+        done, levels = plain.unionByName(found), levels + 1
+    left = own.join(done.withColumnRenamed("rendered", "whole"), "param", "left")
+    return left.select("param", F.when(F.col("whole").isNull() & F.col("rendered").isNotNull(), F.raise_error(F.concat(F.lit("unknown, circular or too deep: "), F.col("param")))).otherwise(F.col("whole")).alias("rendered"))
+
+
+def resolve_markers(texts: DataFrame, parameters: DataFrame, key: str = "id", text: str = "text", strict: bool = True) -> DataFrame:
+    """``key, resolved``: markers replaced by ``rendered`` of ``parameters(param, rendered)``; an unknown one fails the query,
+    or if not ``strict`` makes the text null. Values stand as they are: see ``nested_parameters`` for those with markers.
 
     A blank before the marker is kept if the text so far isn't empty and doesn't end in a line end or opening bracket; one
     after it, if text follows that doesn't begin with punctuation or a closing bracket.
     """
     order = Window.partitionBy(key).orderBy("pos")
-    cut = marker_pieces(texts, key, text).withColumn("following", F.lead("literal").over(order)).withColumn("more", F.lead("match").over(order)).withColumn("earlier", F.lag("match").over(order))
+    cut = marker_pieces(texts.select(key, text), key, text).withColumn("following", F.lead("literal").over(order)).withColumn("more", F.lead("match").over(order)).withColumn("earlier", F.lag("match").over(order))
     joined = cut.join(parameters.select("param", "rendered"), "param", "left")
-    value = F.when(F.col("match").isNull(), F.lit("")).when(F.col("rendered").isNull(), F.raise_error(F.concat(F.lit("no such parameter: "), F.col("param")))).otherwise(F.col("rendered"))
+    unknown = F.col("match").isNotNull() & F.col("rendered").isNull()
+    missing = F.raise_error(F.concat(F.lit("no such parameter: "), F.col("param"))) if strict else F.lit("")
+    value = F.when(F.col("match").isNull(), F.lit("")).when(unknown, missing).otherwise(F.col("rendered"))
     before = F.when(F.col("literal") != "", F.right(F.col("literal"), F.lit(1))).when(F.col("earlier").isNotNull(), F.right(F.col("earlier"), F.lit(1)))
     lead = F.when(F.col("match").rlike(r"^[ \t]") & before.isNotNull() & ~before.isin("\n", "(", "["), " ").otherwise("")
     after = F.when(F.coalesce(F.col("following"), F.lit("")) != "", F.left(F.col("following"), F.lit(1))).when(F.col("more").isNotNull(), "{")
     trail = F.when(F.col("match").rlike(r"[ \t]$") & after.isNotNull() & ~after.isin(*";,.:)]"), " ").otherwise("")
     piece = F.concat("literal", F.when(F.col("match").isNull(), "").otherwise(F.concat(lead, value, trail)))
     ordered = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"))))
-    return joined.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("resolved"))
+    joined_pieces = F.array_join(F.transform(ordered, lambda x: x["piece"]), "")
+    return joined.groupBy(key).agg(F.when(~F.bool_or(unknown), joined_pieces).alias("resolved"))
 
 
 def assemble_chunks(sections: DataFrame, key: str = "id") -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +76,41 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
 
 
 def ordered_digest(rows: DataFrame, order: list[str], fields: list[str], group: str) -> DataFrame:
-    """``group, digest``: SHA-256 over each group's rows in order: the position, then each field after 0x1F, then 0x1E."""
-    nth = (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).alias("nth")
-    numbered = rows.select(group, nth, F.concat(*(x for f in fields for x in (F.lit("\x1f"), F.col(f).cast("string")))).alias("body"))
-    piece = F.transform(F.array_sort(F.collect_list(F.struct("nth", "body"))), lambda x: F.concat(x["nth"].cast("string"), x["body"], F.lit("\x1e")))
-    return numbered.groupBy(group).agg(F.sha2(F.array_join(piece, ""), 256).alias("digest"))
+    """``group, digest``: SHA-256 over each group's rows in order: the position, then each field after 0x1F, then 0x1E.
+
+    A digest of a sequence can't be split, so a group is one task's stream; none is held in memory. A null field is empty.
+    """
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nth, digest, out = None, 0, None, []
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest is None or name != held:
+                    if digest is not None:
+                        out.append((held, digest.hexdigest()))
+                    held, nth, digest = name, 0, sha256()
+                digest.update(f"{nth}{body}\x1e".encode())
+                nth += 1
+        if digest is not None:
+            out.append((held, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=[group, "digest"])
+
+    body = F.concat(*(x for f in fields for x in (F.lit("\x1f"), F.coalesce(F.col(f).cast("string"), F.lit("")))))
+    named = rows.withColumn("__group", F.col(group).cast("string")).repartition("__group").sortWithinPartitions("__group", *order)
+    return named.select("__group", body.alias("body")).mapInArrow(run, f"`{group}` string, digest string")
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """``group, n, largest`` and a column for each share: the value at place min(n-1, floor(n*share)), from 0."""
-    order = Window.partitionBy(group).orderBy(value)
-    whole = Window.partitionBy(group)
-    numbered = rows.select(group, value, (F.row_number().over(order) - 1).alias("nth"), F.count("*").over(whole).alias("n"))
+    """``group, n, largest`` and a column for each share: the value at place min(n-1, floor(n*share)), from 0.
+
+    Rows are counted by value first, so a task holds the distinct values of a group, not its rows; nulls don't count.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("here"))
+    upto, whole = Window.partitionBy(group).orderBy(value), Window.partitionBy(group)
+    summed = counted.select(group, value, F.sum("here").over(upto).alias("upto"), F.sum("here").over(whole).alias("n"))
     at = lambda s: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(s)))
-    return numbered.groupBy(group).agg(F.max("n").alias("n"), F.max(value).alias("largest"), *(F.max(F.when(F.col("nth") == at(s), F.col(value))).alias(c) for c, s in shares.items()))
+    return summed.groupBy(group).agg(F.max("n").alias("n"), F.max(value).alias("largest"), *(F.min(F.when(F.col("upto") > at(s), F.col(value))).alias(c) for c, s in shares.items()))
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance, norm
 
-#: Queries in one broadcast block; more are searched in blocks, each one pass over the corpus.
+#: About how many queries one broadcast block holds; more are searched in blocks, each one pass over the corpus.
 BLOCK = 1000
 
 
@@ -32,21 +34,31 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vect
 
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "q_id", where: Column | None = None) -> DataFrame:
     """The k nearest rows of each query: ``query_key, rank, key, score``. ``queries`` has the columns query_key and ``q``;
-    ``where`` may leave pairs out."""
-    block = F.broadcast(queries.select(query_key, "q", norm(F.col("q")).alias("q_norm")))
-    pairs = corpus.withColumn("own_norm", norm(F.col(vector))).crossJoin(block)
-    pairs = pairs.filter(where) if where is not None else pairs
-    scored = pairs.select(query_key, key, cosine_distance(F.col(vector), F.col("q"), F.col("own_norm"), F.col("q_norm")).alias("distance"))
+    ``where`` may leave pairs out. Only k rows of each query leave a task."""
+    queries = queries.select(query_key, "q", norm(F.col("q")).alias("q_norm"))
+    blocks = max(1, -(-queries.count() // BLOCK))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= checked_k(k)).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score"))
+    found = []
+    for n in range(blocks):
+        block = F.broadcast(queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n))
+        pairs = corpus.withColumn("own_norm", norm(F.col(vector))).crossJoin(block)
+        pairs = pairs.filter(where) if where is not None else pairs
+        scored = pairs.select(query_key, key, cosine_distance(F.col(vector), F.col("q"), F.col("own_norm"), F.col("q_norm")).alias("distance"))
+        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= checked_k(k)).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score")))
+    return reduce(DataFrame.unionAll, found)
+
+
+def judged(ranked: DataFrame, relevant: DataFrame, query_key: str = "q_id", key: str = "vec_id") -> tuple[DataFrame, DataFrame]:
+    """``ranked`` with ``hit``, and ``query_key, relevant``: how many rows are relevant; from judgments by query_key and key."""
+    relevant = relevant.select(query_key, key).distinct()
+    hits = ranked.join(relevant.withColumn("hit", F.lit(True)), [query_key, key], "left").fillna({"hit": False})
+    return hits, relevant.groupBy(query_key).agg(F.count("*").alias("relevant"))
 
 
-def ranking_measures(ranked: DataFrame, relevant: DataFrame, ks: list[int], query_key: str = "q_id", key: str = "vec_id") -> DataFrame:
-    """``k, recall, precision, mrr`` over all queries that have relevant rows; ``relevant`` has query_key and key."""
-    sizes = relevant.groupBy(query_key).agg(F.count("*").alias("relevant"))
-    hits = ranked.join(relevant.withColumn("hit", F.lit(1)), [query_key, key], "left")
+def ranking_measures(hits: DataFrame, sizes: DataFrame, ks: list[int], query_key: str = "q_id") -> DataFrame:
+    """``k, recall, precision, mrr`` over all queries of ``sizes(query_key, relevant)``; ``hits`` has query_key, rank and hit."""
     cut = F.explode(F.array(*map(F.lit, ks))).alias("k")
-    each = hits.select("*", cut).filter("rank <= k").groupBy(query_key, "k").agg(F.count("hit").alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    each = hits.filter("hit").select(query_key, "rank", cut).filter("rank <= k").groupBy(query_key, "k").agg(F.count("*").alias("found"), F.min("rank").alias("first"))
     all_queries = sizes.select(query_key, "relevant", cut).join(each, [query_key, "k"], "left").fillna({"found": 0})
     return all_queries.groupBy("k").agg(
         F.avg(F.col("found") / F.col("relevant")).alias("recall"), F.avg(F.col("found") / F.col("k")).alias("precision"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr")

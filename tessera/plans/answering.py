@@ -19,7 +19,7 @@ def _answers(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'assistant'")
     key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     added = F.element_at(F.array(*map(F.lit, _CITES)), (F.col("conv_id") % 3 + 1).cast("int"))
-    return t.select(key.alias("id"), "conv_id", F.concat(F.left("text", F.lit(20)), F.lit("\n"), added, F.lit("\n")).alias("answer"))
+    return t.select(key.alias("id"), "conv_id", F.concat("text", F.lit("\n"), added, F.lit("\n")).alias("answer"))
 
 
 def _checked(spark, d):
@@ -53,8 +53,8 @@ def answer_lines(spark, d):
 
 def _retrieved(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    queries = v.filter("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("label"), F.left("text", F.lit(30)).alias("text"))
+    queries = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("label"), "text")
     found = search.batch_top_k(v, queries, 3).join(docs, "vec_id")
     return found.withColumn("question", F.concat(F.lit("what about "), F.col("q_id").cast("string"), F.lit("?")))
 
@@ -63,34 +63,42 @@ def prompt_render(spark, d):
     return answers.render_prompts(_retrieved(spark, d), INSTRUCTIONS)
 
 
+def _questions(spark, d):
+    """Every user turn, and whether the assistant replied to it."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    replies = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    return t.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(replies, ["conv_id", "turn"], "left").withColumn("id", key)
+
+
 def _keys(spark, d):
-    t = spark.read.parquet(f"{d}/conversations.parquet").filter("turn = 0 and role = 'user'")
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
-    return t.select("conv_id", ascii_.alias("question"), answers.request_key({"purpose": F.lit("answer"), "model": F.lit("m-1"), "prompt": ascii_}).alias("key"))
+    key = answers.request_key({"purpose": F.lit("answer"), "model": F.lit("m-1"), "prompt": F.col("question")})
+    return _questions(spark, d).select("id", "turn", "question", "reply", key.alias("key"))
 
 
 def request_key(spark, d):
-    return _keys(spark, d).select("conv_id", "key")
+    return _keys(spark, d).select("id", "key")
 
 
 def _recordings(spark, d):
-    k = _keys(spark, d).filter("conv_id % 3 = 0").select("key", F.lit("recorded").alias("answer")).distinct()
-    return k.select("key", F.array("answer", F.lit("")).alias("answer_lines"))
+    """The assistant's replies as recordings of the questions."""
+    k = _keys(spark, d).filter("reply is not null").groupBy("key").agg(F.min("reply").alias("answer"))
+    return k.select("key", T.answer_lines(F.col("answer")).alias("answer_lines"))
 
 
 def replay_or_decline(spark, d):
-    return answers.replay(_keys(spark, d), _recordings(spark, d)).select("conv_id", "answered", "answer", "decline")
+    return answers.replay(_keys(spark, d), _recordings(spark, d)).select("id", "answered", "answer", "decline")
 
 
 def recorded_vector_lookup(spark, d):
-    q = _keys(spark, d).select("conv_id", "question")
-    recorded = q.filter("conv_id % 2 = 0").select("question", F.lit(True).alias("recorded")).distinct()
-    return q.join(recorded, "question", "left").select("conv_id", F.coalesce("recorded", F.lit(False)).alias("recorded"))
+    q = _questions(spark, d)
+    recorded = q.filter("reply is not null").select("question", F.lit(True).alias("recorded")).distinct()
+    return q.join(recorded, "question", "left").select("id", F.coalesce("recorded", F.lit(False)).alias("recorded"))
 
 
 def orphans(spark, d):
-    asked = _keys(spark, d).filter("conv_id % 2 = 0")
-    return _recordings(spark, d).join(asked, "key", "left_anti").select("key").orderBy("key")
+    """Recordings of questions that open no conversation."""
+    return _recordings(spark, d).join(_keys(spark, d).filter("turn = 0"), "key", "left_anti").select("key").orderBy("key")
 
 
 def skip_recorded(spark, d):
@@ -101,26 +109,22 @@ def skip_recorded(spark, d):
 
 
 def same_questions(spark, d):
-    k = _keys(spark, d).select("question").distinct()
-    held = _keys(spark, d).filter("conv_id % 3 = 0").select("question").distinct()
+    q = _questions(spark, d)
+    k, held = q.select("question").distinct(), q.filter("reply is not null").select("question").distinct()
     missing, extra = k.join(held, "question", "left_anti"), held.join(k, "question", "left_anti")
     return missing.agg(F.count("*").alias("missing")).crossJoin(extra.agg(F.count("*").alias("extra"))).select("missing", "extra", ((F.col("missing") == 0) & (F.col("extra") == 0)).alias("same"))
 
 
-def _versions(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
-    old = docs.filter("doc_id % 2 = 0").withColumn("created", F.lit("2024-01-01").cast("timestamp"))
-    return old, docs.filter("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1)
-
-
 def upsert_merge(spark, d):
-    old, new = _versions(spark, d)
+    """All documents over a corpus of the labelled ones."""
+    old = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.lit("2024-01-01").cast("timestamp").alias("created"))
+    new = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
     return maintenance.upsert(old, new, "doc_id", "created", F.lit("2025-01-01").cast("timestamp")).select("doc_id", "n_chars", "created")
 
 
 def stale_delete(spark, d):
-    old, new = _versions(spark, d)
-    return maintenance.stale(old, new, "doc_id").select("doc_id")
+    """What goes from a corpus of all documents when the labelled ones are all that is left."""
+    return maintenance.stale(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id")
 
 
 def provenance_check(spark, d):
@@ -155,14 +159,14 @@ _AXES = ["the", "der", "que"]
 
 
 def answer_end_to_end(spark, d):
-    """Encode, search, render, key, replay, check: the answer of every question with its citations counted."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id < 40").select("doc_id", F.concat(F.lit("AC-"), (F.col("doc_id") % 9 + 1).cast("string")).alias("label"), F.regexp_replace(F.left("text", F.lit(40)), r"[^\x00-\x7f]|[\n\"\\]", "?").alias("text"))
+    """Encode, search, render, key, replay, check, for the user turns of every twentieth conversation, against all documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("AC-"), (F.col("doc_id") % 9 + 1).cast("string")).alias("label"), "text")
     corpus = docs.withColumn("embedding", encoders.keyword_axes(F.col("text"), _AXES))
-    asked = spark.read.parquet(f"{d}/conversations.parquet").filter("turn = 0 and role = 'user' and conv_id < 20").select(F.col("conv_id").alias("q_id"), F.regexp_replace(F.left("text", F.lit(60)), r"[^\x00-\x7f]|[\n\"\\]", "?").alias("question"))
+    asked = _questions(spark, d).filter("conv_id % 20 = 0").select(F.col("id").alias("q_id"), "conv_id", "question", F.col("reply").isNotNull().alias("answered"))
     vectors = asked.withColumn("q", encoders.keyword_axes(F.col("question"), _AXES))
     found = search.batch_top_k(corpus, vectors, 2, key="doc_id").join(docs, "doc_id").join(asked, "q_id")
     prompts = answers.render_prompts(found, INSTRUCTIONS).withColumn("key", F.sha2("prompt", 256))
-    said = prompts.withColumn("answered", F.col("q_id") % 4 != 3).withColumn("answer", F.when(F.col("answered"), F.concat(F.lit("See [AC-"), (F.col("q_id") % 9 + 1).cast("string"), F.lit("] and [AC-99]."))))
+    said = prompts.join(asked.select("q_id", "conv_id", "answered"), "q_id").withColumn("answer", F.when(F.col("answered"), F.concat(F.lit("See [AC-"), (F.col("conv_id") % 9 + 1).cast("string"), F.lit("] and [AC-99]."))))
     cited = answers.parse_citations(said.filter("answered"), "q_id")
     known = spark.createDataFrame([(f"ac-{n}",) for n in range(1, 10)], "id string")
     checked = answers.check_citations(cited, known, found.select("q_id", T.canonical_id(F.col("label")).alias("canonical")), "q_id")
@@ -170,14 +174,17 @@ def answer_end_to_end(spark, d):
     return said.join(counted, "q_id", "left").select("q_id", "key", "answered", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("valid", F.lit(0)).alias("valid"))
 
 
-_ANSWERS = "(SELECT conv_id || '/' || turn AS id, conv_id, substr(text, 1, 20) || chr(10) || CASE conv_id % 3 " + " ".join(f"WHEN {n} THEN '{c}'" for n, c in enumerate(_CITES)) + " END || chr(10) AS answer FROM conversations WHERE role = 'assistant')"
+_ANSWERS = "(SELECT conv_id || '/' || turn AS id, conv_id, text || chr(10) || CASE conv_id % 3 " + " ".join(f"WHEN {n} THEN '{c}'" for n, c in enumerate(_CITES)) + " END || chr(10) AS answer FROM conversations WHERE role = 'assistant')"
 #: By conv_id % 3: position, spelling, canonical.
 _CITED = "(VALUES (0, 0, 'AC-2', 'ac-2'), (0, 1, 'ia-5', 'ia-5'), (1, 0, 'SC-28', 'sc-28'), (1, 1, 'ZZ-9', 'zz-9'), (1, 2, 'AC-2(3)', 'ac-2.3'), (2, 0, 'AC-1', 'ac-1')) AS c(m, pos, cited_as, canonical)"
 _CHECKED = f"""(SELECT id, CAST(pos AS INTEGER) AS pos, cited_as, canonical, canonical IN ({', '.join(f"'{c}'" for c in CONTROLS)}) AS exists_flag,
   CASE WHEN conv_id % 2 = 0 THEN canonical IN ('ac-2', 'ia-5') ELSE canonical = 'ac-2.3' END AS retrieved_flag FROM {_ANSWERS} a JOIN {_CITED} ON conv_id % 3 = m)"""
-_Q = r"(SELECT conv_id, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') AS question FROM conversations WHERE turn = 0 AND role = 'user')"
-_KEYS = f"""(SELECT conv_id, question, sha256('{{"model":"m-1","prompt":"' || replace(replace(replace(replace(replace(question, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '","purpose":"answer"}}') AS key FROM {_Q})"""
-_TOP = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q_id, e AS q FROM v WHERE vec_id < 10),
+_Q = "(SELECT q.conv_id || '/' || q.turn AS id, q.conv_id, q.turn, q.text AS question, r.text AS reply FROM conversations q LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' WHERE q.role = 'user')"
+_JSON = """'"' || array_to_string(list_transform(regexp_extract_all(replace(replace(question, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '[ -~]+|[^ -~]'), lambda c: CASE WHEN regexp_matches(c, '^[ -~]') THEN c
+  WHEN c = chr(10) THEN chr(92) || 'n' WHEN c = chr(13) THEN chr(92) || 'r' WHEN c = chr(9) THEN chr(92) || 't' WHEN c = chr(8) THEN chr(92) || 'b' WHEN c = chr(12) THEN chr(92) || 'f'
+  WHEN unicode(c) < 65536 THEN chr(92) || printf('u%04x', unicode(c)) ELSE chr(92) || printf('u%04x', 55296 + (unicode(c) - 65536) // 1024) || chr(92) || printf('u%04x', 56320 + (unicode(c) - 65536) % 1024) END), '') || '"'"""
+_KEYS = f"""(SELECT id, turn, question, reply, sha256('{{"model":"m-1","prompt":' || {_JSON} || ',"purpose":"answer"}}') AS key FROM {_Q})"""
+_TOP = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS q_id, e AS q FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT q_id, vec_id, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS d FROM v, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS rank FROM s)
 """
@@ -188,7 +195,6 @@ def _axes(x: str) -> str:
     return f"CASE WHEN {' + '.join(hits)} = 0 THEN [1 / sqrt(3), 1 / sqrt(3), 1 / sqrt(3)] ELSE [{', '.join(f'{h} / sqrt({" + ".join(hits)})' for h in hits)}] END"
 
 
-_CLEAN = r"regexp_replace({x}, '[^\x00-\x7f]|[\n\"\\]', '?', 'g')"
 QUERIES = {f.__name__: f for f in (citation_parse, citation_check, citation_counts, answer_segments, answer_lines, prompt_render, request_key, replay_or_decline, recorded_vector_lookup, orphans, skip_recorded, same_questions, upsert_merge, stale_delete, provenance_check, manifest_compare, ledger_drift, ordered_digest, file_hash, answer_end_to_end)}
 SQL = {
     "citation_parse": f"SELECT id, CAST(pos AS INTEGER) AS pos, cited_as, canonical FROM {_ANSWERS} a JOIN {_CITED} ON conv_id % 3 = m",
@@ -200,26 +206,26 @@ SELECT id, unnest(CASE m WHEN 0 THEN [('text', head), ('citation', 'AC-2'), ('te
  ELSE [('text', head || 'No citation, but [brackets] and '), ('citation', 'AC-1'), ('text', '.' || chr(10))] END) AS s, unnest(range(0, CASE m WHEN 1 THEN 7 ELSE 3 END)) AS pos FROM a)
 SELECT id, CAST(pos AS INTEGER) AS pos, s[1] AS kind, s[2] AS text FROM p""",
     "answer_lines": f"SELECT id, CAST(len(string_split(answer, chr(10))) AS INTEGER) AS n, true AS same FROM {_ANSWERS}",
-    "prompt_render": _TOP + f"""SELECT q_id, '{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[D-' || vec_id || E']\\n' || substr(text, 1, 30), E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: what about ' || q_id || '?' AS prompt
+    "prompt_render": _TOP + f"""SELECT q_id, '{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[D-' || vec_id || E']\\n' || text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: what about ' || q_id || '?' AS prompt
 FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 3 GROUP BY q_id""",
-    "request_key": f"SELECT conv_id, key FROM {_KEYS}",
-    "replay_or_decline": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT DISTINCT key FROM k WHERE conv_id % 3 = 0)
-SELECT conv_id, r.key IS NOT NULL AS answered, CASE WHEN r.key IS NOT NULL THEN 'recorded' || chr(10) END AS answer, CASE WHEN r.key IS NULL THEN 'no recorded answer' END AS decline FROM k LEFT JOIN r USING (key)""",
-    "recorded_vector_lookup": f"WITH k AS (SELECT * FROM {_Q}) SELECT conv_id, question IN (SELECT question FROM k WHERE conv_id % 2 = 0) AS recorded FROM k",
-    "orphans": f"WITH k AS (SELECT * FROM {_KEYS}) SELECT DISTINCT key FROM k WHERE conv_id % 3 = 0 AND key NOT IN (SELECT key FROM k WHERE conv_id % 2 = 0)",
-    "skip_recorded": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT DISTINCT key FROM k WHERE conv_id % 3 = 0)
+    "request_key": f"SELECT id, key FROM {_KEYS}",
+    "replay_or_decline": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT key, min(reply) AS said FROM k WHERE reply IS NOT NULL GROUP BY key)
+SELECT id, r.key IS NOT NULL AS answered, said AS answer, CASE WHEN r.key IS NULL THEN 'no recorded answer' END AS decline FROM k LEFT JOIN r USING (key)""",
+    "recorded_vector_lookup": f"WITH k AS (SELECT * FROM {_Q}) SELECT id, question IN (SELECT question FROM k WHERE reply IS NOT NULL) AS recorded FROM k",
+    "orphans": f"WITH k AS (SELECT * FROM {_KEYS}) SELECT DISTINCT key FROM k WHERE reply IS NOT NULL AND key NOT IN (SELECT key FROM k WHERE turn = 0)",
+    "skip_recorded": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT DISTINCT key FROM k WHERE reply IS NOT NULL)
 SELECT 'record' AS what, count(*) AS n FROM k WHERE key NOT IN (SELECT key FROM r) UNION ALL SELECT 'skip', count(*) FROM k WHERE key IN (SELECT key FROM r)""",
-    "same_questions": f"WITH k AS (SELECT * FROM {_Q}) SELECT *, missing = 0 AND extra = 0 AS same FROM (SELECT count(DISTINCT question) AS missing, CAST(0 AS BIGINT) AS extra FROM k WHERE question NOT IN (SELECT question FROM k WHERE conv_id % 3 = 0))",
-    "upsert_merge": "SELECT doc_id, n_chars + 1 AS n_chars, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2025-01-01' END AS created FROM documents WHERE doc_id % 3 = 0",
-    "stale_delete": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0",
+    "same_questions": f"WITH k AS (SELECT * FROM {_Q}) SELECT *, missing = 0 AND extra = 0 AS same FROM (SELECT count(DISTINCT question) AS missing, CAST(0 AS BIGINT) AS extra FROM k WHERE question NOT IN (SELECT question FROM k WHERE reply IS NOT NULL))",
+    "upsert_merge": "SELECT doc_id, n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2025-01-01' END AS created FROM documents",
+    "stale_delete": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "provenance_check": "SELECT * FROM (VALUES ('a', NULL), ('b', 'name'), ('c', 'revision'), ('d', 'dimensions'), ('e', 'chunker')) AS t(id, failure)",
     "manifest_compare": "SELECT name, state, CAST(rank AS INTEGER) AS rank, CAST(kinds AS INTEGER) AS kinds FROM (VALUES ('catalog', 'identity', 0, 2), ('prompt', 'digest', 0, 1), ('chunks', 'appeared', 3, 2), ('lost', 'gone', 5, 0)) AS t(name, state, rank, kinds)",
     "ledger_drift": "SELECT * FROM (VALUES (2, 'changed'), (3, 'pending'), (9, 'ahead')) AS t(version, state)",
-    "ordered_digest": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) SELECT source, sha256(string_agg(i || chr(31) || doc_id || chr(31) || lang || chr(31) || n_chars || chr(30), '' ORDER BY i)) AS digest FROM r GROUP BY source",
-    "answer_end_to_end": f"""WITH docs AS (SELECT doc_id, 'AC-' || (doc_id % 9 + 1) AS label, {_CLEAN.format(x='substr(text, 1, 40)')} AS text FROM documents WHERE doc_id < 40), corpus AS (SELECT *, {_axes('text')} AS e FROM docs),
-asked AS (SELECT conv_id AS q_id, {_CLEAN.format(x='substr(text, 1, 60)')} AS question FROM conversations WHERE turn = 0 AND role = 'user' AND conv_id < 20), qs AS (SELECT *, {_axes('question')} AS q FROM asked),
-s AS (SELECT q_id, question, doc_id, label, text, 1 - (e[1]*q[1] + e[2]*q[2] + e[3]*q[3]) / (sqrt(e[1]*e[1] + e[2]*e[2] + e[3]*e[3]) * sqrt(q[1]*q[1] + q[2]*q[2] + q[3]*q[3])) AS d FROM corpus, qs),
+    "ordered_digest": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) SELECT source, sha256(string_agg(i || chr(31) || doc_id || chr(31) || coalesce(lang, '') || chr(31) || n_chars || chr(30), '' ORDER BY i)) AS digest FROM r GROUP BY source",
+    "answer_end_to_end": f"""WITH docs AS (SELECT doc_id, 'AC-' || (doc_id % 9 + 1) AS label, text FROM documents), corpus AS (SELECT *, {_axes('text')} AS e FROM docs),
+asked AS (SELECT id AS q_id, conv_id, question, reply IS NOT NULL AS answered FROM {_Q} WHERE conv_id % 20 = 0), qs AS (SELECT *, {_axes('question')} AS q FROM asked),
+s AS (SELECT q_id, conv_id, answered, question, doc_id, label, text, 1 - (e[1]*q[1] + e[2]*q[2] + e[3]*q[3]) / (sqrt(e[1]*e[1] + e[2]*e[2] + e[3]*e[3]) * sqrt(q[1]*q[1] + q[2]*q[2] + q[3]*q[3])) AS d FROM corpus, qs),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, doc_id) AS rank FROM s),
-p AS (SELECT q_id, sha256('{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[' || label || E']\\n' || text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: ' || any_value(question)) AS key, list(label) AS labels FROM r WHERE rank <= 2 GROUP BY q_id)
-SELECT q_id, key, q_id % 4 <> 3 AS answered, CAST(CASE WHEN q_id % 4 <> 3 THEN 2 ELSE 0 END AS BIGINT) AS citations, CAST(CASE WHEN q_id % 4 <> 3 AND list_contains(labels, 'AC-' || (q_id % 9 + 1)) THEN 1 ELSE 0 END AS BIGINT) AS valid FROM p""",
+p AS (SELECT q_id, any_value(conv_id) AS conv_id, any_value(answered) AS answered, sha256('{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[' || label || E']\\n' || text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: ' || any_value(question)) AS key, list(label) AS labels FROM r WHERE rank <= 2 GROUP BY q_id)
+SELECT q_id, key, answered, CAST(CASE WHEN answered THEN 2 ELSE 0 END AS BIGINT) AS citations, CAST(CASE WHEN answered AND list_contains(labels, 'AC-' || (conv_id % 9 + 1)) THEN 1 ELSE 0 END AS BIGINT) AS valid FROM p""",
 }

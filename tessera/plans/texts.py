@@ -50,7 +50,7 @@ def script_checksum(spark, d):
 
 
 def _parameters(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey <= 50")
+    part = spark.read.parquet(f"{d}/part.parquet")
     none = F.lit(None)
     n = F.col("p_partkey")
     values = F.when(n % 5 == 0, F.array(F.col("p_brand"), F.col("p_type"))).otherwise(none.cast("array<string>"))
@@ -159,7 +159,7 @@ _PARAMS = """(SELECT p_partkey AS id, 'p_' || p_partkey AS param, CASE
   WHEN p_partkey % 25 = 2 THEN '[organization-defined selection]'
   WHEN p_partkey % 5 = 1 THEN '[selection (' || CASE WHEN p_partkey % 2 = 0 THEN 'one or more' ELSE 'one' END || '): ' || p_brand || '; ' || p_type || ']'
   WHEN p_partkey % 5 IN (3, 4) THEN '[organization-defined ' || lower(p_name) || ']'
-  ELSE '[organization-defined value]' END AS rendered FROM part WHERE p_partkey <= 50)"""
+  ELSE '[organization-defined value]' END AS rendered FROM part)"""
 _CHUNKS = f"""(SELECT doc_id AS id, doc_id || ':' || path AS chunk_id, path AS part_path,
   {_SPACED.format(x="upper(source) || ' ' || lang || E'\\n\\n' || body")} AS text FROM (
   SELECT *, concat_ws('+', CASE WHEN s THEN 'statement' END, CASE WHEN g THEN 'guidance' END) AS path,

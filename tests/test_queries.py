@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables, and the cases that the tables don't have."""
 
+import json
 import math
 import os
 
@@ -10,7 +11,7 @@ from tessera import plans, sources
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine_distance, unit
 from tessera.operators import catalog, maintenance, search
-from tessera.operators.answers import answer_segments, parse_citations
+from tessera.operators.answers import answer_segments, json_string, parse_citations
 from tessera.operators.encoders import embed, seeded
 
 DATA = "/root/testdata/sf0.001"
@@ -66,6 +67,14 @@ def test_unknown_marker_and_shared_form_fail(spark):
         catalog.identity_forms(spark.createDataFrame([("ac-2",), ("AC-2",)], "id string")).collect()
 
 
+def test_nested_markers(spark):
+    p = spark.createDataFrame([("a", "x {{ insert: param, b }} , y"), ("b", "{{ insert: param, c }} days"), ("c", "z"), ("n", None)], "param string, rendered string")
+    assert {r.param: r.rendered for r in catalog.nested_parameters(p).collect()} == {"a": "x z days, y", "b": "z days", "c": "z", "n": None}
+    for bad in ([("a", "{{ insert: param, a }}")], [("a", "{{ insert: param, nope }}")]):
+        with pytest.raises(Exception, match="unknown, circular or too deep"):
+            catalog.nested_parameters(spark.createDataFrame(bad, "param string, rendered string")).collect()
+
+
 @pytest.mark.parametrize(("text", "wanted"), [("Policy {{insert: param, p}} and following {{ insert: param, p }} ; and", "Policy X and following X; and"), ("{{ insert: param, p }}{{ insert: param, p }}", "XX"), ("[ {{ insert: param, p }} ]", "[X]"), ("[AC-25](#ac-25) . The policy", "[AC-25](#ac-25) . The policy"), ("", "")])
 def test_marker_seams(spark, text, wanted):
     prose = spark.createDataFrame([(1, text)], "id int, text string")
@@ -83,6 +92,22 @@ def test_answer_lines_round_trip(spark, text):
     assert df.select(T.answer_of(T.answer_lines(F.col("t")))).first()[0] == text
 
 
+def test_json_strings(spark):
+    texts = ["", "a", 'q"\\/', "\n\r\t\b\f\x00\x1f\x7f", "é\u2028😀x", "\\u00e9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string(F.col("t")).alias("j")).collect()
+    assert {r.t: r.j for r in rows} == {t: json.dumps(t) for t in texts}
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 3)
+    v = spark.createDataFrame([(n, [float(n % 5), 1.0]) for n in range(30)], "vec_id long, embedding array<float>")
+    found = search.batch_top_k(v, v.selectExpr("vec_id q_id", "embedding q"), 2).collect()
+    assert {(r.q_id, r["rank"], r.vec_id) for r in found} == {(n, k + 1, n % 5 + 5 * k) for n in range(30) for k in (0, 1)}
+    hits, sizes = search.judged(v.selectExpr("vec_id % 3 q_id", "vec_id", "cast(vec_id / 3 as int) + 1 rank"), spark.createDataFrame([(0, 3), (1, 1), (1, 99), (2, 99)], "q_id long, vec_id long"))
+    m = {r.k: tuple(r)[1:] for r in search.ranking_measures(hits, sizes, [1, 2]).collect()}
+    assert m[1] == pytest.approx((0.5 / 3, 1 / 3, 1 / 3)) and m[2] == pytest.approx((1.5 / 3, 1 / 3, 1.5 / 3))
+
+
 def test_segments_without_citations(spark):
     a = spark.createDataFrame([(1, "[x] and [y]"), (2, "[ac-1][ac-1]"), (3, "")], "id int, answer string")
     rows = {(r.id, r.pos): (r.kind, r.text) for r in answer_segments(a, parse_citations(a)).collect()}
