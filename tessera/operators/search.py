@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance, norm
 
-#: About how many queries one broadcast block holds; more are searched in blocks, each one pass over the corpus.
+#: About how many queries one block holds; more are searched in blocks, each one pass over the corpus.
 BLOCK = 1000
+#: Rows that are compared with a block at a time.
+ROWS = 2048
 
 
 def checked_k(k: int) -> int:
@@ -32,19 +37,57 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vect
     return ranked.select("rank", key, (1.0 - F.col("distance")).alias("score"), F.lit(k).alias("k"))
 
 
-def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "q_id", where: Column | None = None) -> DataFrame:
+def _nearest(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, but_itself: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of each piece of a batch, for each query.
+
+    One product of matrices finds the candidates; their distances are then added up row by row, so that equal vectors have
+    equal distances wherever they stand, and ties go by key.
+    """
+    ids, q = asked.column(0).combine_chunks(), _matrix(asked.column(1).combine_chunks())
+    q_norm, own = np.sqrt((q * q).sum(axis=1)), ids.to_numpy(zero_copy_only=False)
+    for b in batches:
+        for at in range(0, len(b) if len(q) else 0, ROWS):
+            part = b.slice(at, ROWS)
+            x, keys = _matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
+            keys = keys.astype(str) if keys.dtype == object else keys
+            norms = np.sqrt((x * x).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                rough = 1.0 - (q @ x.T) / (q_norm[:, None] * norms)
+                whose, which, far = [], [], []
+                for i, row in enumerate(rough):
+                    near = np.flatnonzero(keys != own[i]) if but_itself else np.arange(len(row))
+                    if len(near) > k and not np.isnan(last := np.partition(row[near], k - 1)[k - 1]):
+                        near = near[row[near] <= last + 1e-9]
+                    exact = 1.0 - (x[near] * q[i]).sum(axis=1) / (q_norm[i] * norms[near])
+                    best = np.lexsort((keys[near], exact))[:k]
+                    whose.append(np.full(len(best), i)), which.append(near[best]), far.append(exact[best])
+            columns = [ids.take(pa.array(np.concatenate(whose))), part.column(0).take(pa.array(np.concatenate(which))), pa.array(np.concatenate(far))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
+
+
+def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "q_id", but_itself: bool = False) -> DataFrame:
     """The k nearest rows of each query: ``query_key, rank, key, score``. ``queries`` has the columns query_key and ``q``;
-    ``where`` may leave pairs out. Only k rows of each query leave a task."""
-    queries = queries.select(query_key, "q", norm(F.col("q")).alias("q_norm"))
+    ``but_itself`` leaves out the row whose key is the query's.
+
+    Queries go to the tasks in blocks, and only k rows of each query leave a batch. Null vectors are left out, zero ones come
+    last with a score of NaN, and vectors of another width than the queries fail.
+    """
+    checked_k(k)
+    rows, queries = corpus.select(key, vector).filter(F.col(vector).isNotNull()), queries.select(query_key, "q").filter("q is not null")
     blocks = max(1, -(-queries.count() // BLOCK))
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    schema, names = f"`{query_key}` {kind(queries, query_key)}, `{key}` {kind(corpus, key)}, distance double", [query_key, key, "distance"]
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     found = []
     for n in range(blocks):
-        block = F.broadcast(queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n))
-        pairs = corpus.withColumn("own_norm", norm(F.col(vector))).crossJoin(block)
-        pairs = pairs.filter(where) if where is not None else pairs
-        scored = pairs.select(query_key, key, cosine_distance(F.col(vector), F.col("q"), F.col("own_norm"), F.col("q_norm")).alias("distance"))
-        found.append(scored.withColumn("rank", rank).filter(F.col("rank") <= checked_k(k)).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score")))
+        asked = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)).toArrow()  # about BLOCK rows
+        near = rows.mapInArrow(lambda batches, asked=asked: _nearest(batches, asked, k, but_itself, names), schema)
+        found.append(near.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score")))
     return reduce(DataFrame.unionAll, found)
 
 

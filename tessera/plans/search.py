@@ -54,7 +54,7 @@ def knn_batch_topk(spark, d):
 
 def retrieval_measures(spark, d):
     v = _vectors(spark, d)
-    ranked = batch_top_k(v, _asked(v), 10, where=F.col("q_id") != F.col("vec_id"))
+    ranked = batch_top_k(v, _asked(v), 10, but_itself=True)
     hits = ranked.join(v.select("vec_id", "label"), "vec_id").join(_asked(v).select("q_id", "q_label"), "q_id").withColumn("hit", F.col("label") == F.col("q_label"))
     others = v.groupBy(F.col("label").alias("q_label")).agg((F.count("*") - 1).alias("relevant")).filter("relevant > 0")
     m = ranking_measures(hits, _asked(v).join(others, "q_label").select("q_id", "relevant"), [1, 3, 5, 10])

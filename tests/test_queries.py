@@ -103,6 +103,11 @@ def test_search_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(n, [float(n % 5), 1.0]) for n in range(30)], "vec_id long, embedding array<float>")
     found = search.batch_top_k(v, v.selectExpr("vec_id q_id", "embedding q"), 2).collect()
     assert {(r.q_id, r["rank"], r.vec_id) for r in found} == {(n, k + 1, n % 5 + 5 * k) for n in range(30) for k in (0, 1)}
+    odd = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, 0.0])], "name string, embedding array<float>")
+    rows = search.batch_top_k(odd, odd.filter("name < 'c'").selectExpr("name q_id", "embedding q"), 5, key="name", but_itself=True).orderBy("q_id", "rank").collect()
+    assert [(r.q_id, r.name) for r in rows] == [("a", "d"), ("a", "b"), ("b", "a"), ("b", "d")] and math.isnan(rows[1].score)
+    assert search.batch_top_k(odd.limit(0), odd.filter("name = 'a'").selectExpr("name q_id", "embedding q"), 5, key="name").count() == 0
+    assert search.batch_top_k(odd, odd.limit(0).selectExpr("name q_id", "embedding q"), 5, key="name").count() == 0
     hits, sizes = search.judged(v.selectExpr("vec_id % 3 q_id", "vec_id", "cast(vec_id / 3 as int) + 1 rank"), spark.createDataFrame([(0, 3), (1, 1), (1, 99), (2, 99)], "q_id long, vec_id long"))
     m = {r.k: tuple(r)[1:] for r in search.ranking_measures(hits, sizes, [1, 2]).collect()}
     assert m[1] == pytest.approx((0.5 / 3, 1 / 3, 1 / 3)) and m[2] == pytest.approx((1.5 / 3, 1 / 3, 1.5 / 3))
