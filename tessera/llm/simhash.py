@@ -135,16 +135,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return marked.join(named, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id", "copies")
 
 
+def only(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows with an id among ``__kept``, one for each id, and those with a null id."""
+    found = docs.join(kept, F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(f"`{text}`"))
+    first = found.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return first.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that have their component's smallest id; see ``near_duplicates``.
 
     Rows with one id are one document: of its texts the first in order stays. Rows with a null id stay.
     """
     kept = saved(near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    found = docs.join(kept, F.col(f"`{doc_id}`").cast("long") == F.col("__kept"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(f"`{doc_id}`").orderBy(f"`{text}`"))
-    first = found.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return first.unionByName(docs.filter(F.col(f"`{doc_id}`").isNull()))
+    return only(docs, kept, doc_id, text)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import bpe, chat, common, components, decontaminate, fingerprints, language, quality, simhash, substrings, suffix_array, suffix_dedup, url_filters, windows
+from tessera.llm import bpe, chat, common, components, decontaminate, fingerprints, language, pipeline, quality, shingles, simhash, substrings, suffix_array, suffix_dedup, url_filters, windows
 from tessera.llm.templates import Template, TemplateError
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, data string, others string, part int, guest boolean, key long"
@@ -135,6 +135,48 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
 
 
+@pytest.mark.parametrize("led", [True, False])
+def test_near_copies_by_shingles(spark, monkeypatch, led):
+    """The pipeline's stage keeps one document of each component at 0.8 or more, with large buckets cut, common lines, and with no leaders."""
+    monkeypatch.setattr(shingles, "BLOCK", 3)
+    monkeypatch.setattr(shingles, "COMPARED", 2)
+    if not led:
+        monkeypatch.setattr(shingles, "_led", lambda classes: spark.createDataFrame([], "a long, b long"))
+    r, line = random.Random(5), " ".join(f"line{k}" for k in range(12))
+    rows = corpus(2)
+    for g in range(12):
+        words = [f"w{r.randrange(400)}" for _ in range(r.choice([9, 20, 60, 150]))]
+        for k in range(5):
+            own = list(words)
+            for _ in range(k * len(own) // 50):
+                own[r.randrange(len(own))] = f"x{r.randrange(400)}"
+            rows.append((1000 + 10 * g + k, " ".join(own) + (" " + line if g % 2 else "")))
+    rows += [(2000, " ".join(f"a{k}" for k in range(40))), (2001, " ".join(f"a{k}" for k in range(4, 40))), (2002, " ".join(f"a{k}" for k in range(8, 44)))]
+    rows += [(3000, " ".join(f"b{k}" for k in range(9))), (3001, " ".join(f"b{k}" for k in range(8))), (3002, " ".join(f"c{k}" for k in range(8))), (3003, " ".join(f"c{k}" for k in range(7)))]
+    grams = []
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        grams.append((i, frozenset(zip(*(words[k:] for k in range(5)), strict=False)) if len(words) >= 5 else frozenset([tuple(words)])))
+    root = list(range(len(rows)))
+    for _ in rows:
+        before = list(root)
+        for x, (_, p) in enumerate(grams):
+            for y, (_, q) in enumerate(grams[:x]):
+                if 5 * len(p & q) >= 4 * len(p | q):
+                    root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    least = {}
+    for c, (i, _) in zip(root, grams, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    kept = pipeline.near_duplicates(spark, docs(spark, rows), "")
+    assert kept.columns == docs(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
+    assert {3000, 3002, 3003} <= set(least.values()) and 3001 not in least.values()
+    assert pipeline.near_duplicates(spark, docs(spark, rows).limit(0), "").count() == 0
+
+
 # ---- 4 and 5
 
 
