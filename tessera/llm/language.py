@@ -10,7 +10,8 @@ dictionary holds more of the text's words, then to the one with more documents.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 import regex
@@ -18,9 +19,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, documents, held_out, long_rows, schema_of
+from tessera.llm.common import batch, documents, held_out, long_rows, saved, schema_of
 
-#: Documents and bytes of each that make a dictionary; at most LANGUAGES of them, those with most documents.
+#: Documents and bytes of each that make a dictionary; LANGUAGES of them are held at a time, each block one pass.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, LANGUAGES = 96, 2048, 64
 #: Bytes that are compressed at a time; the margin, as a share of the second smallest size, below which a text is rejected.
 BLOCK, MARGIN, LEVEL = 4096, 0.01, 3
@@ -31,20 +32,33 @@ def letters(text: str) -> str:
     return " ".join(_LETTERS.findall(text.lower()))
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """Languages with their dictionaries, most frequent first, from the rows with an id, a text and a language."""
+def learning(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Iterator[tuple[str, bytes]]:
+    """All languages with their dictionaries, most frequent first, from the rows with an id, a text and a language; LANGUAGES
+    of them are gathered at a time.
+
+    A document counts from its first letter on. The sample of a language is drawn among distinct texts that have letters.
+    """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
-    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("lang", "doc_id").filter(F.col("lang").isin([r.lang for r in counts])).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_DOCUMENTS)
-    # SAMPLE_DOCUMENTS pieces of SAMPLE_BYTES for each of LANGUAGES
-    ids = {(r.lang, r.doc_id) for r in chosen.collect()}
-    sample = named.filter(F.col("doc_id").isin([i for _, i in ids])).select("lang", "doc_id", F.substring("text", 1, 2 * SAMPLE_BYTES).alias("text")).collect() if ids else []
-    gathered: dict[str, list[bytes]] = {}
-    for r in sorted(sample, key=lambda r: (r.lang, r.doc_id)):
-        if (r.lang, r.doc_id) in ids:
-            gathered.setdefault(r.lang, []).append(letters(r.text or "").encode()[:SAMPLE_BYTES])
-    return [(r.lang, b" ".join(gathered[r.lang])) for r in counts if any(gathered.get(r.lang, []))]
+    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
+    heads = named.filter(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, 2 * SAMPLE_BYTES).alias("text"))
+    heads = heads.withColumn("same", F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    for block in batched([r.lang for r in counts], LANGUAGES):
+        own = heads.filter(F.col("lang").isin(list(block)))
+        distinct = own.groupBy("lang", "same").agg(F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id")).alias("m")).select("lang", "same", "m.*")
+        # SAMPLE_DOCUMENTS pieces of SAMPLE_BYTES for each of LANGUAGES
+        chosen = {(r.lang, r.doc_id, r.same) for r in distinct.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_DOCUMENTS).collect()}
+        sample = own.filter(F.col("doc_id").isin(sorted({i for _, i, _ in chosen}))).dropDuplicates(["lang", "doc_id", "same"]).collect() if chosen else []
+        gathered: dict[str, list[bytes]] = {}
+        for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.same)):
+            if (r.lang, r.doc_id, r.same) in chosen:
+                gathered.setdefault(r.lang, []).append(letters(r.text).encode()[:SAMPLE_BYTES])
+        yield from ((n, b" ".join(gathered[n])) for n in block if any(gathered.get(n, [])))
+
+
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
+    """``learning`` as a list."""
+    return list(learning(docs, doc_id, text, lang))
 
 
 class Classifier:
@@ -65,31 +79,50 @@ class Classifier:
                 totals[k] += len(c.compress(block))
         return totals
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """The language, a confidence from 0 to 1, and whether it is rejected for its narrow margin."""
-        data = letters(text or "").encode()
-        if not data or not self.names:
-            return "und", 0.0, True
-        sizes = self.sizes(data)
-        known = [0] * len(sizes)
+    def measured(self, data: bytes, state: tuple | None = None, first: int = 0) -> tuple | None:
+        """``state`` with these languages added, the first of which is the ``first`` of all: the best one's size, known words
+        (negative), place and name, the second size, and how many sizes are 0 to 7 bytes over the best or more."""
+        if not data:
+            return state
+        known = [0] * len(self.coders)
         if len(data) <= 256:
             for w in data.split():
                 for k, words in enumerate(self.words):
                     known[k] += w in words
-        best = min(range(len(sizes)), key=lambda k: (sizes[k], -known[k], k))
-        if len(sizes) == 1:
-            return self.names[0], 1.0, False
-        second = min(s for k, s in enumerate(sizes) if k != best)
-        margin = (second - sizes[best]) / second
-        # bits saved, against chance: even for a tie, close to one for a clear win
-        weights = [2.0 ** (-8.0 * min(8.0, s - sizes[best]) / 2.0) for s in sizes]
-        return self.names[best], 1.0 / math.fsum(weights), margin < MARGIN
+        for k, size in enumerate(self.sizes(data)):
+            mine = (size, -known[k], first + k)
+            if state is None:
+                state = (*mine, self.names[k], None, [1] + [0] * 8)
+                continue
+            *best, name, second, near = state
+            if size < best[0]:
+                by, near = best[0] - size, list(near)
+                near = [1] + [near[o - by] if o >= by else 0 for o in range(1, 8)] + [sum(near[max(0, 8 - by) :])]
+            else:
+                near = [n + (o == min(8, size - best[0])) for o, n in enumerate(near)]
+            state = (*mine, self.names[k], best[0], near) if mine < tuple(best) else (*best, name, size if second is None else min(second, size), near)
+        return state
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, a confidence from 0 to 1, and whether it is rejected for its narrow margin."""
+        return verdict(self.measured(letters(text or "").encode()))
 
 
+def verdict(state: tuple | None) -> tuple[str, float, bool]:
+    if state is None:
+        return "und", 0.0, True
+    best, _, _, name, second, near = state
+    if second is None:
+        return name, 1.0, False
+    # bits saved, against chance: even for a tie, close to one for a clear win
+    return name, 1.0 / math.fsum(n * 2.0 ** (-4.0 * o) for o, n in enumerate(near)), (second - best) / second < MARGIN
+
+
+_STATE = [("best", pa.int64()), ("known", pa.int64()), ("place", pa.int64()), ("name", pa.string()), ("second", pa.int64()), ("near", pa.list_(pa.int64()))]
 _FIELDS = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
 
 
-def identify(docs: DataFrame, learned: list[tuple[str, bytes]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, learned: Iterable[tuple[str, bytes]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` for each row; only the text is looked at.
 
     Texts that are null or have no letter, and all texts where nothing was learned, are ``und`` with score 0 and rejected.
@@ -97,15 +130,30 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], doc_id: str = "d
     """
     long_rows(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Classifier(learned)
-        for b in batches:
-            yield batch([(i, h, *c.predict(t.as_py())) for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)], _FIELDS)
+    def run(block: list[tuple[str, bytes]], first: int, fields: list, last: bool):
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = Classifier(block)
+            for b in batches:
+                before = list(zip(*(b.column(k).to_pylist() for k in range(3, 9)), strict=True)) if first else [(None,)] * len(b)
+                out = []
+                for i, h, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), before, strict=True):
+                    state = c.measured(letters(t.as_py() or "").encode(), None if s[0] is None else s, first)
+                    out.append((i, h, *verdict(state)) if last else (i, h, t.as_py(), *(state or (None,) * 6)))
+                yield batch(out, fields)
+
+        return step
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id).cast("long")).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema_of(_FIELDS))
+    held, first = None, 0
+    between = [*_FIELDS[:2], ("text", pa.string()), *_STATE]
+    for block in batched(learned, LANGUAGES):
+        if held is not None:
+            rows = saved(rows.mapInArrow(run(held, first, between, False), schema_of(between)))
+            first += len(held)
+        held = block
+    return rows.mapInArrow(run(held or (), first, _FIELDS, True), schema_of(_FIELDS))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return identify(docs, learn(docs.filter(~held_out("doc_id"))))
+    return identify(docs, learning(docs.filter(~held_out("doc_id"))))

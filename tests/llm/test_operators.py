@@ -264,6 +264,34 @@ def test_language(spark):
     assert {x.lang_pred for x in empty} == {"und"} and language.identify(df.limit(0), []).count() == 0
 
 
+def test_all_languages(spark, monkeypatch):
+    """More languages than a block holds, one with many letterless rows and copies: all are learned, and blocks change no result."""
+    r = random.Random(3)
+    rows = []
+    for g in range(70):
+        own = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40)]
+        rows += [(1000 * g + k, " ".join(r.choice(own) for _ in range(60)), f"l{g:02}") for k in range(3)]
+        if g == 69:
+            rows += [(1000 * g + k, "12 34" if k % 2 else rows[-1][1], "l69") for k in range(10, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(df)
+    assert sorted(n for n, _ in learned) == [f"l{g:02}" for g in range(70)] and learned[0][0] == "l69"
+    assert len(learned[0][1]) < 4 * 60 * 7
+    none = spark.createDataFrame([(i, "." * 9000 + "ab cd", "x") if i == 150 else (i, "7 8", "x") for i in range(300)], "doc_id long, text string, lang string")
+    assert language.learn(none) == [("x", b"ab cd")]
+    asked = df.filter("doc_id % 1000 < 3").union(spark.createDataFrame([(None, None, None), (5, "", None), (6, "a", None)], df.schema))
+    got = sorted(map(str, language.identify(asked, learned).collect()))
+    c = language.Classifier(learned)
+    want = [(i, *c.predict(t)) for i, t in [(x.doc_id, x.text) for x in asked.collect()]]
+    assert sum(p == f"l{i // 1000:02}" for i, p, _, _ in want if i is not None and i >= 1000) >= 200
+    monkeypatch.setattr(language, "LANGUAGES", 200)
+    assert sorted(map(str, language.identify(asked, learned).collect())) == got
+    for text in ["a", rows[0][1], rows[9][1][:20]]:
+        sizes = c.sizes(text.encode())
+        best, score = min(sizes), c.predict(text)[1]
+        assert score == pytest.approx(1 / sum(2.0 ** (-4 * min(8, s - best)) for s in sizes))
+
+
 def test_quality(spark):
     r = random.Random(1)
     good = lambda: " ".join(r.choice(["the", "of", "thing", "mere", "and"]) + r.choice([".", ",", "", ""]) for _ in range(r.randint(15, 80)))
