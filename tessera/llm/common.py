@@ -39,16 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
     """Cut the lineage: write the rows to a table of their own in the shared folder and read them again.
 
-    The table outlives any executor, and the shuffles that made it are given back as soon as it is written.
+    The table outlives any executor, and the shuffles that made it are given back as soon as it is written. Columns named as
+    ``distinct`` have few repeats, so no dictionaries are tried for them.
     """
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct}).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

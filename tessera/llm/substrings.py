@@ -17,45 +17,53 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, long_rows, schema_of
 from tessera.llm.fm_index import FMIndex
-from tessera.llm.windows import Engine, Shard, Words, keyed, merged, removed_ranges
+from tessera.llm.windows import CACHED, Engine, Shard, Split, Words, _powers, _shares, keyed, merged, removed_ranges, word_hashes
 
 WINDOW = 13
+_SECOND = 0x2545F4914F6CDD1D
 #: Bytes of distinct pieces in one index.
-SHARD = 4_000_000
-#: Windows that search at a time.
-STREAM = 200_000
+SHARD = 6_000_000
+#: Words that are streamed through it at a time.
+STREAM = 400_000
+_OTHER = _powers(_SECOND, CACHED + 1), _powers(pow(_SECOND, -1, 1 << 64), CACHED + 1)
 
 
-def fm_engine(window: int = WINDOW) -> Engine:
-    """The first document to hold each window of a shard's pieces."""
+def numbered(split: Split) -> tuple[np.ndarray, int]:
+    """Each word's number from 1 up, the commonest first, and how many words there are."""
+    names, back = np.unique(split.hashes, return_inverse=True)
+    other = word_hashes(split.data, split.begins, split.ends, _OTHER)
+    first = np.empty(len(names), dtype=np.uint64)
+    first[back] = other
+    if (first[back] != other).any():  # two words with one hash
+        names, back = np.unique(np.array([split.cut(i, i + 1) for i in range(len(split.hashes))], dtype=object), return_inverse=True)
+    place = np.empty(len(names), dtype=np.int64)
+    place[np.argsort(-np.bincount(back), kind="stable")] = np.arange(1, len(names) + 1)
+    return place[back], len(names)
+
+
+def fm_engine(window: int = WINDOW, symbols: int = SHARD) -> Engine:
+    """The first document to hold each window of a shard's pieces: the index of the pieces, and the pieces streamed through
+    it; a window is a match of full length."""
 
     def solve(shard: Shard) -> np.ndarray:
-        ids: dict[bytes, int] = {}
-        parts = [[ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")] for c in shard.contents]
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        text = np.zeros(sizes.sum() + len(parts), dtype=np.int64)
-        stops = np.cumsum(sizes + 1)
-        within = np.ones(len(text), dtype=bool)
-        within[stops - 1] = False
-        text[within] = np.fromiter((x for p in parts for x in p), dtype=np.int64, count=int(sizes.sum()))
-        index = FMIndex(text, len(ids) + 1, window)
-        piece = np.repeat(np.arange(len(parts)), sizes + 1)
-        docs = np.append(shard.first[piece[index.order]], np.iinfo(np.int64).max)
-        windows = sizes - window + 1
-        start = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(stops - sizes - 1, windows)
-        earliest = np.empty(len(start), dtype=np.int64)
-        for at in range(0, len(start), STREAM):
-            lo, hi, length = index.matching(text, start[at : at + STREAM] + window, window)
-            assert (length == window).all()  # a piece finds itself at least
-            left, back = np.unique(lo, return_inverse=True)
-            right = np.zeros(len(left), dtype=np.int64)
-            right[back] = hi
-            # intervals of patterns of one length don't overlap
-            least = np.minimum.reduceat(docs, np.stack([left, right], axis=1).ravel())[::2]
-            earliest[at : at + STREAM] = least[back]
+        words, sigma = numbered(shard.split)
+        starts, sizes = shard.split.starts[:-1], np.diff(shard.split.starts)
+        piece = np.repeat(np.arange(len(sizes)), sizes + 1)
+        text = np.insert(words, shard.split.starts[1:], 0)  # a zero after each piece
+        index = FMIndex(text, sigma + 1, window, shard.first[piece])
+        earliest, at = np.empty(int((sizes - window + 1).sum()), dtype=np.int64), 0
+        upto = np.cumsum(sizes)
+        for share in _shares(sizes, len(sizes), STREAM):
+            lo, _, length = index.matching(words, starts[share], upto[share])
+            within = np.arange(len(lo)) - np.repeat(np.cumsum(sizes[share]) - sizes[share], sizes[share])
+            windows = within <= np.repeat(sizes[share] - window, sizes[share])
+            assert (length[windows] == window).all()  # a piece finds itself at least
+            found = index.least(lo[windows])
+            earliest[at : at + len(found)] = found
+            at += len(found)
         return earliest
 
-    return solve
+    return Engine(lambda: solve, symbols, True)
 
 
 _KEPT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))]
@@ -72,26 +80,28 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     """
     rows = keyed(docs, doc_id, text)
     long_rows(docs.sparkSession)
-    spans = removed_ranges(rows, Words(window), lambda: fm_engine(window), shard)
+    kind = Words(window)
+    spans = removed_ranges(rows, kind, fm_engine(window, shard))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, gone = data.split(), merged(spans)
-                kept, at = [], 0
-                for start, stop in gone:
-                    kept += words[at:start]
-                    at = stop
-                kept += words[at:]
-                left = b" ".join(kept)
-                out.append((i, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace"), [x for s in gone for x in s]))
+            split, out = kind.split(b.column(1)), []
+            starts = split.starts.tolist()
+            for k, (i, gone) in enumerate(zip(b.column(0).to_pylist(), merged(b.column(2)), strict=True)):
+                left = _left(split, starts[k], starts[k + 1], gone)
+                out.append((i, starts[k + 1] - starts[k], sum(z - a for a, z in gone), hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "replace"), [x for s in gone for x in s]))
             yield batch(out, _KEPT)
 
     joined = rows.join(spans, ["doc_id", "row"], "left").select("doc_id", "data", "spans")
     return joined.mapInArrow(cut, schema_of(_KEPT))
 
 
+def _left(split: Split, begin: int, end: int, gone: list[tuple[int, int]]) -> bytes:
+    """The words of a text that aren't gone, with one space between them."""
+    edges = [begin, *(begin + x for s in gone for x in s), end]
+    return b" ".join(split.cut(a, z) for a, z in zip(edges[::2], edges[1::2], strict=True) if z > a)
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """The rows of ``docs`` with all their columns, each text without its repeated words; see ``dedup_words``.
 
@@ -100,22 +110,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     """
     long_rows(docs.sparkSession)
     rows = keyed(docs, doc_id, text)
-    spans = removed_ranges(rows, Words(window), lambda: fm_engine(window), shard)
+    kind = Words(window)
+    spans = removed_ranges(rows, kind, fm_engine(window, shard))
     others = [c for c in docs.columns if c != text]
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")).alias("row"), F.col(f"`{text}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
     schema = whole.select("text", "others").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for data, spans in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if spans:
-                    words, kept, at = data.encode().split(), [], 0
-                    for start, stop in merged(spans):
-                        kept += words[at:start]
-                        at = stop
-                    data = b" ".join(kept + words[at:]).decode()
-                out.append(data)
+            gone = merged(b.column(2))
+            some = [k for k, spans in enumerate(gone) if spans]
+            split, out = kind.split(b.column(0).take(pa.array(some, pa.int64())).cast(pa.binary())), b.column(0).to_pylist()
+            starts = split.starts.tolist()
+            for n, k in enumerate(some):
+                out[k] = _left(split, starts[n], starts[n + 1], gone[k]).decode()
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], names=["text", "others"])
 
     joined = whole.join(spans, ["doc_id", "row"], "left").select("text", "others", "spans").mapInArrow(cut, schema)

@@ -2,7 +2,7 @@
 
 Shards are made by ``windows``: every window of 50 bytes goes where all equal windows go. A shard's distinct pieces are
 sorted together; neighbours in the suffix array that share a whole window hold the same one, and the smallest document
-among them is the first to hold it.
+among them is the first to hold it. Shards are larger than what the sort holds in memory, so its queues and arrays go to disk.
 """
 
 from __future__ import annotations
@@ -16,41 +16,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, long_rows, schema_of
-from tessera.llm.suffix_array import IN_MEMORY, Store, suffix_array
+from tessera.llm.suffix_array import BLOCK, Store, blocks, suffix_array
 from tessera.llm.windows import Bytes, Engine, Shard, keyed, merged, removed_ranges
 
 WINDOW = 50
-#: Bytes of distinct pieces that are sorted together; the sort itself holds ``IN_MEMORY`` symbols and has the rest on disk.
-SHARD = 2_000_000
+#: Bytes of distinct pieces that are sorted together, and tuples that the sort's queues hold, the rest being on the task's disk.
+SHARD, IN_MEMORY = 3_000_000, 300_000
 
 
-def suffix_engine(window: int = WINDOW, in_memory: int = IN_MEMORY) -> Engine:
+def suffix_engine(window: int = WINDOW, symbols: int = SHARD, in_memory: int = IN_MEMORY) -> Engine:
     """The first document to hold each window of a shard's pieces."""
 
     def solve(shard: Shard) -> np.ndarray:
         # bytes are 2 to 257, a piece ends with 1, the text with 0
-        joined = np.frombuffer(b"".join(shard.contents), dtype=np.uint8)
-        sizes = np.fromiter(map(len, shard.contents), dtype=np.int64, count=len(shard.contents))
+        starts = shard.split.starts
+        sizes, pieces = np.diff(starts), len(starts) - 1
         stops = np.cumsum(sizes + 1)
-        text = np.ones(len(joined) + len(sizes) + 1, dtype=np.uint16)
-        within = np.ones(len(text), dtype=bool)
-        within[stops - 1] = within[-1] = False
-        text[within] = joined.astype(np.uint16) + 2
-        text[-1] = 0
+        windows = np.cumsum(sizes - window + 1) - (sizes - window + 1)
+        earliest = np.empty(int((sizes - window + 1).sum()), dtype=np.int64)
         with Store(in_memory) as store:
+            text = store.array(int(stops[-1]) + 1, np.uint16)
+            for s in blocks(pieces, 4096):
+                own = np.insert(shard.split.data[starts[s.start] : starts[s.stop]].astype(np.uint16) + 2, starts[s.start + 1 : s.stop + 1] - starts[s.start], 1)
+                text[stops[s.start] - sizes[s.start] - 1 : stops[s.stop - 1]] = own
             order, lcp = suffix_array(text, store)
-            order, lcp = np.asarray(order), np.asarray(lcp)
-            piece = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), len(sizes) - 1)
-            left = stops[piece] - 1 - np.arange(len(text))  # symbols before the piece's end
-            left[-1] = 0
-            heads = np.flatnonzero(lcp < window)
-            least = np.minimum.reduceat(shard.first[piece[order]], heads)
-            group = np.zeros(len(text), dtype=np.int64)
-            group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(text))))
-        # a suffix that shares a window with another has one before its piece's end, or neither has
-        return least[group[left >= window]]
-
-    return solve
+            at = 0
+            while at < len(text):
+                to = at + BLOCK
+                while to < len(text) and (heads := np.flatnonzero(np.asarray(lcp[to - BLOCK // 2 : to + 1]) < window)).size == 0:
+                    to += BLOCK // 2
+                to = len(text) if to >= len(text) else to - BLOCK // 2 + int(heads[-1])
+                # neighbours that share a whole window hold the same one
+                place = np.asarray(order[at:to]).astype(np.int64)
+                new = np.asarray(lcp[at:to]) < window
+                new[0] = True
+                piece = np.minimum(np.searchsorted(stops, place, side="right"), pieces - 1)
+                heads = np.flatnonzero(new)
+                least = np.minimum.reduceat(shard.first[piece], heads)
+                whole = np.flatnonzero(stops[piece] - 1 - place >= window)
+                where = windows[piece[whole]] + place[whole] - (stops[piece[whole]] - 1 - sizes[piece[whole]])
+                earliest[where] = least[(np.cumsum(new) - 1)[whole]]
+                at = to
+        return earliest
+
+    return Engine(lambda: solve, symbols, False)
 
 
 _KEPT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))]
@@ -66,13 +75,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", t
     """
     rows = keyed(docs, doc_id, text)
     long_rows(docs.sparkSession)
-    spans = removed_ranges(rows, Bytes(window, min(20, max(8, window // 2))), lambda: suffix_engine(window, in_memory), shard)
+    spans = removed_ranges(rows, Bytes(window, min(20, max(8, window // 2))), suffix_engine(window, shard, in_memory))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for i, data, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                gone, kept, at = merged(spans), [], 0
+            for i, data, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), merged(b.column(2)), strict=True):
+                kept, at = [], 0
                 for start, stop in gone:
                     kept.append(data[at:start])
                     at = stop

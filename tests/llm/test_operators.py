@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import bpe, chat, common, components, decontaminate, fingerprints, language, pipeline, quality, shingles, simhash, substrings, suffix_array, suffix_dedup, url_filters, windows
+from tessera.llm import bpe, chat, common, components, decontaminate, fingerprints, fm_index, language, pipeline, quality, shingles, simhash, substrings, suffix_array, suffix_dedup, url_filters, windows
 from tessera.llm.templates import Template, TemplateError
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, data string, others string, part int, guest boolean, key long"
@@ -201,9 +201,10 @@ def brute_gone(rows, symbols, w):
 
 @pytest.mark.parametrize(("many", "shard", "chunk", "longest"), [(20_000, 10**6, 10**6, 256), (2, 300, 50, 3)])
 def test_words(spark, monkeypatch, many, shard, chunk, longest):
+    """Also with anchors dealt anew by longer grams, many shards, several reductions a task and short pieces."""
     monkeypatch.setattr(windows, "CHUNK", chunk)
     monkeypatch.setattr(windows, "LONGEST", longest)
-    monkeypatch.setattr(windows.removed_ranges, "__defaults__", (many,))
+    monkeypatch.setattr(windows, "MANY", many)
     rows = corpus(2)
     want = sorted((str(i), len(s), sum(g), b" ".join(x for x, y in zip(s, g) if not y).decode()) for i, s, g in brute_gone(rows, lambda t: (t or "").encode().split(), 13))
     out = substrings.dedup_words(docs(spark, rows), shard=shard).collect()
@@ -218,7 +219,7 @@ def test_words(spark, monkeypatch, many, shard, chunk, longest):
 
 @pytest.mark.parametrize(("many", "shard", "memory"), [(20_000, 10**6, 10**6), (2, 500, 64)])
 def test_bytes(spark, monkeypatch, many, shard, memory):
-    monkeypatch.setattr(windows.removed_ranges, "__defaults__", (many,))
+    monkeypatch.setattr(windows, "MANY", many)
     rows = [(i, t if t is None or len(t) < 5000 else t[:4000]) for i, t in corpus(3)]
     want = []
     for i, s, g in brute_gone(rows, lambda t: (t or "").encode(), 50):
@@ -229,13 +230,61 @@ def test_bytes(spark, monkeypatch, many, shard, memory):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out)
 
 
-def test_suffix_arrays():
+def pieces_of(texts, kind):
+    """Texts as a shard's distinct pieces, and the first document of each window by comparing them all."""
+    import pyarrow as pa
+
+    split = kind.split(pa.array([t.encode() for t in texts], pa.binary()))
+    first = np.random.default_rng(1).permutation(len(texts)).astype(np.int64)
+    symbols = [t.encode().split() if isinstance(kind, windows.Words) else t.encode() for t in texts]
+    found = {}
+    for d, s in zip(first.tolist(), symbols):
+        for k in range(len(s) - kind.window + 1):
+            w = tuple(s[k : k + kind.window])
+            found[w] = min(d, found.get(w, d))
+    return windows.Shard(split, first), [found[tuple(s[k : k + kind.window])] for s in symbols for k in range(len(s) - kind.window + 1)]
+
+
+def test_engines_by_the_method():
+    """A shard larger than the sort's memory: its queues spill and its names recur; an FM-index smaller than its text."""
+    r = random.Random(9)
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(20, 40))) for _ in range(900)]
+    texts += [t[: len(t) // 2] + r.choice(texts)[-120:] for t in texts[:300]] + ["ab" * 150, "a" * 200, "aab" * 90]
+    shard, want = pieces_of(texts, windows.Bytes())
+    used = []
+    own = suffix_array.Store.close
+    suffix_array.Store.close = lambda self: (used.append((self.spilled, self.depth)), own(self))[1]
+    try:
+        got = suffix_dedup.suffix_engine(in_memory=5000).load()(shard)
+    finally:
+        suffix_array.Store.close = own
+    assert got.tolist() == want and used[0][0] > 100_000 and used[0][1] >= 2
+    shard, want = pieces_of([t for t in texts if len(t.split()) >= 13], windows.Words())
+    assert substrings.fm_engine().load()(shard).tolist() == want
+    ids, sigma = substrings.numbered(shard.split)
+    text = np.insert(ids, shard.split.starts[1:], 0)
+    index = fm_index.FMIndex(text, sigma + 1, 13, np.zeros(len(text), dtype=np.int64))
+    assert index.tree.nbytes < len(shard.split.data)
+    foreign = np.array([r.choice(ids) if r.random() < 0.1 else x for x in ids.tolist()][:800])
+    lo, hi, length = index.matching(foreign, np.array([0, 300]), np.array([300, 800]))
+    seen = text.tolist()
+    for k in range(800):
+        end = 300 if k < 300 else 800
+        most = next(n for n in range(min(13, end - k), -1, -1) if n == 0 or any(seen[p : p + n] == foreign[k : k + n].tolist() for p in np.flatnonzero(text == foreign[k]).tolist()))
+        assert length[k] == most and hi[k] - lo[k] == sum(seen[p : p + most] == foreign[k : k + most].tolist() for p in np.flatnonzero(text == foreign[k]).tolist())
+
+
+@pytest.mark.parametrize(("run", "block", "few"), [(3, 4, 0), (7, 16, 4), (1 << 16, 1 << 18, 100)])
+def test_suffix_arrays(monkeypatch, run, block, few):
+    monkeypatch.setattr(suffix_array, "RUN", run)
+    monkeypatch.setattr(suffix_array, "BLOCK", block)
     r = np.random.default_rng(0)
-    for n in range(150):
-        t = r.integers(1, 2 + n % 5, 1 + n % 40) if n % 3 else np.tile(r.integers(1, 4, 1 + n % 4), 12)
+    for n in range(120):
+        t = r.integers(1, 2 + (n % 5) * (1 + n % 3 * 20), 1 + n % 60) if n % 3 else np.tile(r.integers(1, 4, 1 + n % 4), 12)
         t = np.append(t, 0)
-        with suffix_array.Store((3, 8, 10**6)[n % 3]) as store:
-            order, lcp = map(list, suffix_array.suffix_array(t, store, (0, 4, 100)[n // 3 % 3]))
+        with suffix_array.Store((3, 8, 10**6)[n // 2 % 3]) as store:
+            order, lcp = (np.asarray(x).tolist() for x in suffix_array.suffix_array(t, store, few))
             folder = store.folder
         assert folder is None or not Path(folder).exists()
         text = list(t)
@@ -245,6 +294,20 @@ def test_suffix_arrays():
             assert lcp[k] == next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
 
 
+def test_words_as_they_are():
+    """Words of a batch, whatever white space is between them and wherever a text ends."""
+    import pyarrow as pa
+
+    texts = [b"", b"a", b" a\n\tb ", b"b", b"\x0c\x0b", b"x" * 40_000 + b" y", b"\xc3\xa9 \xff", b"a  b   c"]
+    split = windows.Words().split(pa.array(texts, pa.binary()))
+    assert [split.cut(i, i + 1) for i in range(len(split.hashes))] == [w for t in texts for w in t.split()]
+    assert np.diff(split.starts).tolist() == [len(t.split()) for t in texts]
+    names = {}
+    for w, h in zip([w for t in texts for w in t.split()], split.hashes.tolist()):
+        assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
 # ---- 3 and 6
 
 
