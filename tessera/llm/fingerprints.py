@@ -1,9 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash of a text's paragraphs, which also tells how alike two texts are.
 
-Each paragraph piece hashes to a wide vector of +1 and -1, and a text's fingerprint is their sum, lane by lane, modulo
-65,536. The sum doesn't depend on order, and adding or removing a piece adds or subtracts its vector, so a fingerprint is
-kept up to date without the rest of the text. The lanes of a difference of two fingerprints have as mean square the
-number of pieces that only one text has (with multiplicity, squared), so likeness comes from the fingerprints alone.
+Each paragraph piece hashes to a wide vector, and a text's fingerprint is the sum of its pieces' vectors, lane by lane: four
+lanes of 64 bits over their whole range, modulo 2^64, for equality, and 256 lanes of +1 and -1, modulo 2^32, for likeness.
+The sum doesn't depend on order, and adding or removing a piece adds or subtracts its vector, so a fingerprint is kept up to
+date without the rest of the text. The signed lanes of a difference of two fingerprints have as mean square the number of
+pieces that only one text has (with multiplicity, squared), so likeness comes from the fingerprints alone. No text has 2^31
+pieces, so signed lanes never wrap.
 
 Pieces are paragraphs (lines), cut after sentence ends and after 16 words, so that a change costs a piece and not a page.
 """
@@ -13,15 +15,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, long_rows, schema_of, texts, width
 
-LANES, WORDS = 256, 16
+LANES, WIDE, WORDS = 256, 4, 16
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -39,35 +43,46 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def fingerprint(parts: list[str]) -> np.ndarray:
-    """The sum of the pieces' vectors, as unsigned lanes modulo 65,536."""
-    total = np.zeros(LANES, dtype=np.int64)
-    for at in range(0, len(parts), 4096):
-        some = parts[at : at + 4096]
-        digests = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=LANES // 8).digest() for p in some])
-        ones = np.unpackbits(np.frombuffer(digests, dtype=np.uint8)).reshape(-1, LANES).sum(axis=0, dtype=np.int64)
-        total += 2 * ones - len(some)
-    return total.astype(np.uint16)
+@dataclass(frozen=True)
+class Fingerprint:
+    """Sums of pieces' vectors: unsigned lanes of 64 bits, and sums of signs as unsigned lanes of 32 bits."""
+
+    wide: np.ndarray
+    signs: np.ndarray
+
+    def __add__(self, other: Fingerprint) -> Fingerprint:
+        return Fingerprint(self.wide + other.wide, self.signs + other.signs)
 
+    def __sub__(self, other: Fingerprint) -> Fingerprint:
+        return Fingerprint(self.wide - other.wide, self.signs - other.signs)
 
-def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
-    """The fingerprint with the pieces of ``b`` put in (or taken out, with sign -1)."""
-    return a + b if sign > 0 else a - b
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Fingerprint) and bool((self.wide == other.wide).all() and (self.signs == other.signs).all())
 
+    def hex(self) -> str:
+        return (self.wide.astype(">u8").tobytes() + self.signs.astype(">u4").tobytes()).hex()
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+
+def fingerprint(parts: list[str]) -> Fingerprint:
+    """The sum of the pieces' vectors."""
+    wide, signs, size = np.zeros(WIDE, dtype=np.uint64), np.zeros(LANES, dtype=np.int64), LANES // 8 + 8 * WIDE
+    for at in range(0, len(parts), 4096):
+        some = parts[at : at + 4096]
+        digests = np.frombuffer(b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=size).digest() for p in some]), dtype=np.uint8).reshape(-1, size)
+        wide += np.ascontiguousarray(digests[:, LANES // 8 :]).view("<u8").sum(axis=0, dtype=np.uint64)
+        signs += 2 * np.unpackbits(digests[:, : LANES // 8], axis=1).sum(axis=0, dtype=np.int64) - len(some)
+    return Fingerprint(wide, signs.astype(np.uint32))
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """From 0 to 1: twice what two texts share over what both have, estimated from their fingerprints; equal ones: 1."""
-    x, y, d = (v.view(np.int16).astype(np.float64) for v in (a, b, a - b))
-    whole = float((x * x).sum() + (y * y).sum())
-    if not d.any():
+    if a == b:
         return 1.0
+    x, y, d = (v.view(np.int32).astype(np.float64) for v in (a.signs, b.signs, a.signs - b.signs))
+    whole = float((x * x).sum() + (y * y).sum())
     return max(0.0, min(1.0, 1.0 - float((d * d).sum()) / whole)) if whole else 0.0
 
 
-def hexed(f: np.ndarray) -> str:
-    return f.astype(">u2").tobytes().hex()
-
-
 _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
 
@@ -78,7 +93,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch([(i, hexed(fingerprint(pieces(x.decode("utf-8", "replace"))))) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], fields)
+            yield batch([(i, fingerprint(pieces(x.decode("utf-8", "replace"))).hex()) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], fields)
 
     return texts(docs, doc_id, text).mapInArrow(run, schema_of(fields))
 
@@ -86,15 +101,15 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 def _next_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``part, guest, doc_id, data`` in order: each row of its own part with the one that follows it there."""
 
-    def step(out: list[tuple], held: tuple, text: str, mark: np.ndarray) -> None:
+    def step(out: list[tuple], held: tuple, text: str, mark: Fingerprint) -> None:
         i, mine, own = held
         half = len(mine) // 2
         kept, new = mine[: len(mine) - half], text[:half]
         edited = kept + new
         # the pieces that change are those from the cut's line on: take them out and put the new ones in
         line = kept.rfind("\n") + 1
-        changed = combine(combine(own, fingerprint(pieces(mine[line:])), -1), fingerprint(pieces(edited[line:])))
-        out.append((i, len(mine), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), hexed(own), hexed(changed), likeness(own, changed), likeness(own, mark)))
+        changed = own - fingerprint(pieces(mine[line:])) + fingerprint(pieces(edited[line:]))
+        out.append((i, len(mine), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(), changed.hex(), likeness(own, changed), likeness(own, mark)))
 
     part, held = None, None
     for b in batches:
@@ -121,27 +136,29 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     null text is empty; rows with one id follow each other by text; null ids come last; a lone row is its own next; an
     empty table gives no rows; other columns aren't read.
 
-    Ids are dealt to ranges between quantiles. A range's smallest row needs one row of the range below, so each range's
-    largest row is sent up as a guest: one row for each range, found by its id.
+    Ids are dealt to the ranges that the engine itself draws for sorting them. A range's smallest row needs one row of the
+    range below, so each range's largest row is sent up as a guest: one row for each range, found by its id. The driver
+    sees two ids for each range.
     """
     spark = docs.sparkSession
     long_rows(spark)
     rows = texts(docs, doc_id, text).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = 4 * width(spark)
-    ids = rows.filter("doc_id is not null").select("key")
-    cuts = sorted(set(ids.withColumn("k", F.col("key").cast("double")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    cuts = [int(c) for c in cuts]
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    placed = rows.withColumn("part", F.aggregate(F.transform(bounds, lambda c: (c <= F.col("key")).cast("int")), F.lit(0), lambda a, x: a + x))
-    tops = sorted((r.part, r.top) for r in placed.groupBy("part").agg(F.max("key").alias("top")).collect())  # one row for each range
-    if not tops:
-        return placed.select("doc_id").limit(0).selectExpr("doc_id", "0L n_chars", "'' edited_sha256", "'' fingerprint", "'' edited_fingerprint", "0D near_edited", "0D near_next")
-    above = {tops[i][1]: tops[(i + 1) % len(tops)][0] for i in range(len(tops))}
+    ranged = rows.select("key").repartitionByRange(4 * width(spark), "key")
+    ranges = sorted((r.low, r.top) for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"), F.max("key").alias("top")).collect())
+    if not ranges:
+        return rows.select("doc_id").limit(0).selectExpr("doc_id", "0L n_chars", "'' edited_sha256", "'' fingerprint", "'' edited_fingerprint", "0D near_edited", "0D near_next")
+    lows, tops = (np.array(x, dtype=np.int64) for x in zip(*ranges, strict=True))
+
+    @F.pandas_udf("part int, above int")
+    def placed(key: pd.Series) -> pd.DataFrame:
+        part = np.searchsorted(lows, key.to_numpy(), side="right") - 1
+        # the largest of a range is the guest of the range above, that of the last one of the first
+        return pd.DataFrame({"part": part.astype(np.int32), "above": np.where(tops[part] == key.to_numpy(), (part + 1) % len(tops), -1).astype(np.int32)})
+
+    dealt = rows.withColumn("place", placed("key")).select("doc_id", "data", "key", "place.part", "place.above")
     # of equal ids the first in order is the guest
-    sent = F.create_map(*(F.lit(x) for pair in above.items() for x in pair))
-    guests = placed.filter(F.col("key").isin(list(above))).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("data"))).filter("nth = 1")
-    guests = guests.withColumn("part", F.element_at(sent, F.col("key"))).withColumn("guest", F.lit(True)).drop("nth")
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    guests = dealt.filter("above >= 0").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("data"))).filter("nth = 1")
+    both = dealt.withColumn("guest", F.lit(False)).drop("above").unionByName(guests.drop("part", "nth").withColumnRenamed("above", "part").withColumn("guest", F.lit(True)))
     ordered = both.repartition(width(spark), "part").sortWithinPartitions("part", "guest", F.desc("key"), "data")
     return ordered.select("part", "guest", "doc_id", "data").mapInArrow(_next_to, schema_of(_FIELDS))
 
