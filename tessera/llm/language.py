@@ -1,10 +1,10 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-For each language a raw-content zstandard dictionary is gathered from labelled documents, a bounded sample of pieces. A
-text is normalised to lower-case letters and single spaces and compressed in blocks, each against every dictionary, so a
-long text is judged by all of it. The smallest total wins; where it isn't smaller than the second by a given share, the
-prediction is marked as rejected. Sizes of short texts are whole bytes and often tie: ties go to the language whose
-dictionary holds more of the text's words, then to the one with more documents.
+For each language a raw-content zstandard dictionary is gathered from labelled documents: whole texts, drawn by a hash of
+their content, up to a bounded number of bytes. A text is normalised to lower-case letters and single spaces and compressed in
+blocks, each against every dictionary, so a long text is judged by all of it. The smallest total wins; where it isn't smaller
+than the second by a given share, the prediction is marked as rejected. Sizes are whole bytes and may tie, mostly those of
+short texts: ties go to the language whose dictionary holds more of the text's words, then to the one with more documents.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterable, Iterator
 from itertools import batched
 
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, held_out, long_rows, saved, schema_of
 
-#: Documents and bytes of each that make a dictionary; LANGUAGES of them are held at a time, each block one pass.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES, LANGUAGES = 96, 2048, 64
+#: Bytes of a dictionary, the one bound on what is learned of a language, and about how many distinct texts are drawn for it.
+DICTIONARY, DRAWN = 192 << 10, 400
+#: Dictionaries that are held at a time; of more languages, each block of so many is one pass over the texts.
+LANGUAGES = 64
 #: Bytes that are compressed at a time; the margin, as a share of the second smallest size, below which a text is rejected.
 BLOCK, MARGIN, LEVEL = 4096, 0.01, 3
 _LETTERS = regex.compile(r"\p{L}+")
@@ -36,24 +39,27 @@ def learning(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """All languages with their dictionaries, most frequent first, from the rows with an id, a text and a language; LANGUAGES
     of them are gathered at a time.
 
-    A document counts from its first letter on. The sample of a language is drawn among distinct texts that have letters.
+    A language's texts are drawn among its distinct ones that have letters, by a hash that is below a bound which lets about
+    DRAWN of them through (all, if there are fewer), and go whole into the dictionary, one after the other, until it is full.
     """
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
-    counts = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
-    heads = named.filter(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, 2 * SAMPLE_BYTES).alias("text"))
-    heads = heads.withColumn("same", F.xxhash64(F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " "))))
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    for block in batched([r.lang for r in counts], LANGUAGES):
-        own = heads.filter(F.col("lang").isin(list(block)))
-        distinct = own.groupBy("lang", "same").agg(F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id")).alias("m")).select("lang", "same", "m.*")
-        # SAMPLE_DOCUMENTS pieces of SAMPLE_BYTES for each of LANGUAGES
-        chosen = {(r.lang, r.doc_id, r.same) for r in distinct.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_DOCUMENTS).collect()}
-        sample = own.filter(F.col("doc_id").isin(sorted({i for _, i, _ in chosen}))).dropDuplicates(["lang", "doc_id", "same"]).collect() if chosen else []
+    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
+    lettered = named.withColumn("same", F.when(F.col("text").rlike(r"\p{L}"), F.xxhash64("text")))
+    counts = lettered.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("same", 0.02).alias("texts")).orderBy(F.desc("n"), "lang").collect()  # one row for each language
+
+    @F.pandas_udf("binary")
+    def head(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: letters(x).encode()[:DICTIONARY])
+
+    for block in batched(counts, LANGUAGES):
+        bounds = F.create_map(*(F.lit(x) for r in block for x in (r.lang, min(1.0, DRAWN / max(1, r.texts)))))
+        drawn = lettered.filter(F.col("lang").isin([r.lang for r in block])).filter(F.pmod("same", F.lit(1 << 20)) < F.lit(1 << 20) * F.element_at(bounds, F.col("lang")))
+        # about DRAWN texts a language, of each DICTIONARY bytes at most, and those that the dictionary has room for
+        distinct = drawn.groupBy("lang", "same").agg(F.first("text").alias("text")).select("lang", "same", head("text").alias("letters"))
+        before = F.sum(F.length("letters")).over(Window.partitionBy("lang").orderBy("same").rowsBetween(Window.unboundedPreceding, -1))
         gathered: dict[str, list[bytes]] = {}
-        for r in sorted(sample, key=lambda r: (r.lang, r.doc_id, r.same)):
-            if (r.lang, r.doc_id, r.same) in chosen:
-                gathered.setdefault(r.lang, []).append(letters(r.text).encode()[:SAMPLE_BYTES])
-        yield from ((n, b" ".join(gathered[n])) for n in block if any(gathered.get(n, [])))
+        for r in distinct.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < DICTIONARY).orderBy("lang", "same").collect():
+            gathered.setdefault(r.lang, []).append(bytes(r.letters))
+        yield from ((r.lang, b" ".join(gathered[r.lang])[:DICTIONARY]) for r in block if any(gathered.get(r.lang, [])))
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
@@ -79,17 +85,20 @@ class Classifier:
                 totals[k] += len(c.compress(block))
         return totals
 
-    def measured(self, data: bytes, state: tuple | None = None, first: int = 0) -> tuple | None:
-        """``state`` with these languages added, the first of which is the ``first`` of all: the best one's size, known words
+    def measured(self, data: bytes, state: tuple | None = None, first: int = 0, alone: bool = True) -> tuple | None:
+        """``state`` with these languages added, the first of which is the ``first`` of all, and which are ``alone`` if there are no others: the best one's size, known words
         (negative), place and name, the second size, and how many sizes are 0 to 7 bytes over the best or more."""
-        if not data:
+        if not data or not self.coders:
             return state
-        known = [0] * len(self.coders)
-        if len(data) <= 256:
+        sizes = self.sizes(data)
+        # known words only matter between the smallest sizes, of these languages and perhaps of others to come
+        least, known = min(sizes), [0] * len(sizes)
+        tied = [k for k, size in enumerate(sizes) if size == least]
+        if not (alone and len(tied) == 1):
             for w in data.split():
-                for k, words in enumerate(self.words):
-                    known[k] += w in words
-        for k, size in enumerate(self.sizes(data)):
+                for k in tied:
+                    known[k] += w in self.words[k]
+        for k, size in enumerate(sizes):
             mine = (size, -known[k], first + k)
             if state is None:
                 state = (*mine, self.names[k], None, [1] + [0] * 8)
@@ -137,7 +146,7 @@ def identify(docs: DataFrame, learned: Iterable[tuple[str, bytes]], doc_id: str
                 before = list(zip(*(b.column(k).to_pylist() for k in range(3, 9)), strict=True)) if first else [(None,)] * len(b)
                 out = []
                 for i, h, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), before, strict=True):
-                    state = c.measured(letters(t.as_py() or "").encode(), None if s[0] is None else s, first)
+                    state = c.measured(letters(t.as_py() or "").encode(), None if s[0] is None else s, first, last and not first)
                     out.append((i, h, *verdict(state)) if last else (i, h, t.as_py(), *(state or (None,) * 6)))
                 yield batch(out, fields)
 

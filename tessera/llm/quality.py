@@ -2,8 +2,8 @@
 
 The features approximate a Gaussian kernel over a few statistics of the whole text. Each partition of the labelled rows
 adds up its part of the normal equations, the engine adds up the partitions', and the driver solves one system of a fixed
-size. Scores of labelled rows that the weights haven't seen are counted in a fixed number of bins and made monotone by
-pooling adjacent violators.
+size. Labelled rows are dealt to folds; each fold is scored by weights of the other folds, whose equations are those of all
+folds less its own. These scores are counted in a fixed number of bins and made monotone by pooling adjacent violators.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, documents, held_out, long_rows, saved, schema_of, texts, width
+from tessera.llm.common import batch, documents, forget, held_out, long_rows, saved, schema_of, texts, width
 
-#: Random features, their seed, the ridge, the bins of the calibration, and the most labelled rows that are learned from.
-FEATURES, SEED, RIDGE, BINS, MOST_LABELS = 192, 7, 1.0, 256, 500_000
+#: Random features, their seed, the ridge, the bins of the calibration, the folds, and about the most labelled rows that are learned from.
+FEATURES, SEED, RIDGE, BINS, FOLDS, MOST_LABELS = 192, 7, 1.0, 256, 4, 500_000
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros((256, 9))
@@ -91,18 +91,18 @@ def _matrix(column: pa.ListArray, size: int = STATISTICS) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, part) -> np.ndarray:
-    """Adds up, over partitions, a matrix of a fixed size that ``part(stats, labels)`` makes of each batch."""
+    """Adds up, over partitions, a matrix of a fixed size that ``part(stats, labels, folds)`` makes of each batch."""
     fields = [("i", pa.int64()), ("v", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if len(b):
-                m = part(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float))
+                m = part(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_numpy(zero_copy_only=False))
                 total = m if total is None else total + m
         yield batch(list(enumerate(total.tolist())) if total is not None else [], fields)
 
-    each = rows.select("stats", "label").mapInArrow(run, schema_of(fields)).select("i", F.posexplode("v").alias("j", "x"))
+    each = rows.select("stats", "label", "fold").mapInArrow(run, schema_of(fields)).select("i", F.posexplode("v").alias("j", "x"))
     cells = each.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # a matrix of a fixed size
     out = np.zeros((max([c.i for c in cells], default=-1) + 1, max([c.j for c in cells], default=-1) + 1))
     for c in cells:
@@ -121,20 +121,27 @@ def pooled(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), h / t) for h, t, n in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", most: int = MOST_LABELS) -> Model:
-    """A model from the statistics of labelled documents, at most about ``most`` of them, chosen by a hash of the id.
+def solved(equations: np.ndarray) -> np.ndarray:
+    """The weights of normal equations with the ridge; the intercept has next to none."""
+    return np.linalg.solve(equations[:, :-1] + RIDGE * np.diag([*[1.0] * FEATURES, 1e-6]), equations[:, -1])
 
-    Rows of ``labels`` without an id or a label are ignored; of rows that disagree, each counts. A fifth of the rows is
-    kept from the weights and calibrates; where that is under 1,000 rows, all rows do. Without labels, or with only one kind, the score is a constant.
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = MOST_LABELS) -> Model:
+    """A model from labelled documents that aren't held out, at most about ``most`` of them, chosen by a hash of the id.
+
+    Rows of ``labels`` without an id or a label are ignored; of rows that disagree, each counts. Without labels, or with only
+    one kind, the score is a constant.
     """
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label")).dropna()
+    known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.col(f"`{label}`") > 0).cast("int").alias("label")).dropna().filter(~held_out("doc_id"))
     n = known.count()
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) < int(1_000_003 * most / n))
-    rows = saved(stats.join(known, "doc_id").select("stats", "label", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).alias("later")))
-    rows = rows.repartition(min(width(rows.sparkSession), 1 + n // 4000)) if n else rows
-    first = rows.filter("not later")
-    moments = _summed(rows, lambda x, y: np.stack([np.append(x.sum(axis=0), [len(x), y.sum()]), np.append((x * x).sum(axis=0), [0, 0])]))
+    # about ``most`` rows of twelve bytes at most, whatever the tables' size
+    some = docs.join(F.broadcast(known.select(F.col("doc_id").alias("__known")).distinct()), F.col(f"`{doc_id}`").cast("long") == F.col("__known"), "left_semi")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")
+    table = saved(document_statistics(some, doc_id, text).join(F.broadcast(known), "doc_id").select("stats", "label", fold.alias("fold")))
+    rows = table.repartition(min(width(docs.sparkSession), 1 + n // 16_000)) if n else table
+    moments = _summed(rows, lambda x, y, _: np.stack([np.append(x.sum(axis=0), [len(x), y.sum()]), np.append((x * x).sum(axis=0), [0, 0])]))
     flat = Model(np.zeros(STATISTICS), np.ones(STATISTICS), None, np.array([0.0]), np.array([0.5]))
     if not moments.size:
         return flat
@@ -146,59 +153,57 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     scale = np.sqrt(np.maximum(moments[1, :-2] / count - mean**2, 1e-12))
     model = Model(mean, np.where(scale < 1e-5, 1.0, scale), None, np.array([0.0]), np.array([0.5]))
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
         z = model.features(x)
-        return np.hstack([z.T @ z, (z.T @ y)[:, None]])
+        return np.vstack([np.hstack([z[own].T @ z[own], (z[own].T @ y[own])[:, None]]) for own in (fold == k for k in range(FOLDS))])
 
-    a = _summed(first, normal)
-    if not a.size:
-        a = _summed(rows, normal)
-    weights = np.linalg.solve(a[:, :-1] + RIDGE * np.diag([*[1.0] * FEATURES, 1e-6]), a[:, -1])
-    model.weights = weights
+    folds = _summed(rows, normal).reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    model.weights = solved(folds.sum(axis=0))
+    without = np.stack([solved(folds.sum(axis=0) - own) for own in folds])
 
-    def binned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        at = np.clip(((model.raw(x) + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+    def binned(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        raw = (model.features(x) * without[fold]).sum(axis=1)
+        at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
         return np.stack([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
 
-    held = _summed(rows.filter("later"), binned)
-    held = _summed(rows, binned) if not held.size or held[1].sum() < 1000 else held
-    used = np.flatnonzero(held[1])
+    seen = _summed(rows, binned)
+    used = np.flatnonzero(seen[1])
     # a bin counts with one row of the overall share more, so that few rows don't make certainty
-    fitted = pooled(held[0][used] + ones / count, held[1][used] + 1)
-    model.knots, model.values = (used + 0.5) / BINS * 2 - 0.5, fitted
+    model.knots, model.values = (used + 0.5) / BINS * 2 - 0.5, pooled(seen[0][used] + ones / count, seen[1][used] + 1)
+    forget(table)
     return model
 
 
 _SCORES = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]
 
 
-def score(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of ``document_statistics``."""
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row of ``docs``."""
+    long_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                s = model.score(_matrix(b.column(2)))
+                s = model.score(np.stack([statistics(x.as_py()) for x in b.column(2)]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[n for n, _ in _SCORES])
 
-    return stats.select("doc_id", held_out("doc_id").alias("held_out"), "stats").mapInArrow(run, schema_of(_SCORES))
+    return texts(docs, doc_id, text).select("doc_id", held_out("doc_id").alias("held_out"), "data").mapInArrow(run, schema_of(_SCORES))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``; only the text is looked at.
 
-    Learns from labelled rows that aren't held out (crc32 of the id modulo five). A null text is an empty one, which has
+    Learns from labelled rows that aren't held out (crc32 of the id modulo five isn't 0), and computes statistics of these
+    first and then of all rows once. A null text is an empty one, which has
     a score as any other; repeated rows repeat; a null id has no label and isn't held out; an empty table gives no rows.
     """
-    stats = saved(document_statistics(docs, doc_id, text))
-    return score(stats, fit(stats.filter(~held_out("doc_id")), labels, label), threshold)
+    return score(docs, fit(docs, labels, label, doc_id, text), doc_id, text, threshold)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches the threshold; learned as in ``quality_scores``."""
     long_rows(docs.sparkSession)
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id")).filter(~held_out("doc_id")).distinct()
-    model = fit(saved(document_statistics(docs, doc_id, text)).join(known, "doc_id", "left_semi"), labels, label, doc_id)
+    model = fit(docs, labels, label, doc_id, text)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
