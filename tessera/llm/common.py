@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -21,22 +20,23 @@ def width(spark: SparkSession) -> int:
 
 
 def long_rows(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts: a Python worker holds one batch of each stage at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches small enough for long texts: a Python worker holds one batch of each stage at a time.
 
-
-_own: list[str] = []
+    Batches are sized when a query runs and not when it is built, so the setting is left to the session; it is only ever
+    lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where the session names none, as in tests."""
+    """The folder that the cluster names for checkpoints. Where it names none, as in tests, one beside the warehouse, which
+    all executors of a cluster see too."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
-    return _own[0]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-saved"
 
 
 def saved(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +52,17 @@ def saved(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
         df.write.option("compression", "zstd").options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct}).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``saved`` made and that nothing is still to be computed from."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._saved_at
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import long_rows, saved, schema_of, texts, width
+from tessera.llm.common import forget, long_rows, saved, schema_of, texts, width
 
 #: Anchors that a task gathers before it reduces them, and windows of a piece; both bound a worker's memory.
 CHUNK, LONGEST = 2_000_000, 256
@@ -492,7 +492,9 @@ def first_documents(distinct: DataFrame, kind: Symbols, engine: Engine, many: in
     inner = first_documents(again, finer, engine, many)
     back = parts.select("anchor", "piece", "last", "of_anchor", "of_piece", "at").join(inner, ["anchor", "piece"]).filter("earliest < last")
     back = back.select(F.col("of_anchor").alias("anchor"), F.col("of_piece").alias("piece"), (F.col("at") + F.col("start")).alias("start"), "size", "earliest")
-    return saved(segments.unionByName(back))
+    out = saved(segments.unionByName(back))
+    forget(hot, parts, again, inner)
+    return out
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -509,12 +511,16 @@ def removed_ranges(docs: DataFrame, kind: Symbols, engine: Engine, many: int | N
     rows = docs.filter("doc_id is not null")
     shared = saved(shared_anchors(rows.select("doc_id", "data"), kind))
     found = saved(pieces(rows, shared, kind), ["anchor", "piece", "content"])
+    forget(shared)
     distinct = saved(found.groupBy("anchor", "piece", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), ["anchor", "piece", "content"])
     segments = first_documents(distinct, kind, engine, many or MANY)
+    forget(distinct)
     spans = found.drop("content").join(segments, ["anchor", "piece"]).filter("earliest < doc_id")
     start = F.col("at") + F.col("start")
     spans = spans.select("doc_id", "row", F.struct(start.alias("start"), (start + F.col("size") + (kind.window - 1)).alias("stop")).alias("span"))
-    return saved(spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans")))
+    out = saved(spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans")))
+    forget(found, segments)
+    return out
 
 
 def merged(spans: pa.ListArray) -> list[list[tuple[int, int]]]:

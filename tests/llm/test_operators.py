@@ -342,6 +342,8 @@ def test_all_languages(spark, monkeypatch):
     assert len(learned[0][1]) < 4 * 60 * 7
     none = spark.createDataFrame([(i, "." * 9000 + "ab cd", "x") if i == 150 else (i, "7 8", "x") for i in range(300)], "doc_id long, text string, lang string")
     assert language.learn(none) == [("x", b"ab cd")]
+    whole = spark.createDataFrame([(1, "a " * 5000 + "zebra", "x"), (2, "b " * 300_000, "y")], "doc_id long, text string, lang string")
+    assert [(n, d[-5:], len(d)) for n, d in language.learn(whole)] == [("x", b"zebra", 10_005), ("y", b" b b ", language.DICTIONARY)]
     asked = df.filter("doc_id % 1000 < 3").union(spark.createDataFrame([(None, None, None), (5, "", None), (6, "a", None)], df.schema))
     got = sorted(map(str, language.identify(asked, learned).collect()))
     c = language.Classifier(learned)
@@ -371,6 +373,58 @@ def test_quality(spark):
     assert {x.score for x in none} == {0.5} and quality.quality_scores(docs(spark, rows).limit(0), labels).count() == 0
 
 
+def test_quality_by_a_direct_solution(spark):
+    """Weights as a dense solution has them, calibration by folds as loops over rows have it, fits under a bound, ties at the threshold."""
+    r = random.Random(4)
+    rows = [(n, " ".join(r.choice(["ab", "Cd.", "e1", "x!"]) for _ in range(r.randint(1, 30)))) for n in range(300)]
+    rows += [(5, rows[5][1]), (5, "another text"), (None, "x")]
+    known = [(n, int(len(t) % 3 > 0)) for n, t in rows[:300]] + [(7, 0), (9, None)]
+    model = quality.fit(docs(spark, rows), spark.createDataFrame(known, "doc_id long, quality int"))
+    table = spark.createDataFrame([(n,) for n in range(300)], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id, {quality.SEED + 1}), {quality.FOLDS}) AS fold").collect()
+    fold = {x.doc_id: x.fold for x in table}
+    used = [(quality.statistics(t.encode()), y, fold[n]) for n, t in rows if n is not None and zlib.crc32(str(n).encode()) % 5 for k, y in known if k == n and y is not None]
+    x, y, f = (np.array(c) for c in zip(*used))
+    assert model.mean == pytest.approx(x.mean(axis=0))
+    z = model.features(x)
+    solve = lambda own: np.linalg.lstsq(np.vstack([z[own], np.diag(np.sqrt([*[quality.RIDGE] * quality.FEATURES, 1e-6]))]), np.append(y[own], np.zeros(quality.FEATURES + 1)), rcond=None)[0]
+    assert model.weights == pytest.approx(solve(f >= 0), abs=1e-6)
+    raw = np.array([z[i] @ solve(f != f[i]) for i in range(len(y))])
+    at = np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = sorted(set(at.tolist()))
+    weight = np.array([(at == k).sum() + 1.0 for k in bins])
+    share = np.array([(y[at == k].sum() + y.mean()) / w for k, w in zip(bins, weight)])
+    # isotonic regression by its minimax form
+    mean = lambda a, z: (share[a : z + 1] * weight[a : z + 1]).sum() / weight[a : z + 1].sum()
+    fitted = [max(min(mean(a, z) for z in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    assert model.values == pytest.approx(fitted) and model.knots == pytest.approx((np.array(bins) + 0.5) / quality.BINS * 2 - 0.5)
+    some = quality.fit(docs(spark, rows), spark.createDataFrame(known, "doc_id long, quality int"), most=60)
+    assert some.weights is not None and not np.allclose(some.weights, model.weights)
+    tied = quality.Model(model.mean, model.scale, None, np.array([0.0]), np.array([0.3]))
+    assert {(x.score, x.predicted) for x in quality.score(docs(spark, rows), tied).collect()} == {(0.3, 1)} and quality.score(docs(spark, rows), tied).count() == len(rows)
+
+
+def test_language_by_plain_compression(spark):
+    """Repeated rows, ties, empty texts and clashing columns; sizes as plain calls of the library have them."""
+    import zstandard
+
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choice(["uno", "dos", "tres"] if k % 2 else ["eins", "zwei", "drei"]) for _ in range(1 + k % 9)), "es" if k % 2 else "de") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.learn(df)
+    asked = rows + [(1, rows[1][1], "de"), (1, rows[1][1], "de"), (90, "", None), (91, "q", None), (92, "dos " * 9000, None)]
+    got = sorted((x.doc_id, x.lang_pred) for x in language.identify(docs(spark, [a[:2] for a in asked]), learned).collect())
+    want = []
+    for i, t, _ in asked:
+        data = language.letters(t).encode()
+        totals = []
+        for place, (name, dictionary) in enumerate(learned):
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            size = sum(len(c.compress(data[a : a + language.BLOCK])) for a in range(0, len(data), language.BLOCK))
+            totals.append((size, -sum(w in dictionary.split() for w in data.split()), place, name))
+        want.append((i, min(totals)[3] if data else "und"))
+    assert got == sorted(want)
+
+
 def test_pooling():
     assert quality.pooled(np.array([1.0, 0, 2, 2, 1]), np.array([2.0, 2, 2, 4, 2])).tolist() == pytest.approx([0.25, 0.25, 0.625, 0.625, 0.625])
 
@@ -378,25 +432,74 @@ def test_pooling():
 # ---- 7
 
 
+def plain_fingerprint(text):
+    """Sums over a text's pieces, added up piece by piece in numbers of any size."""
+    wide, signs = [0] * 4, [0] * 256
+    for p in fingerprints.pieces(text):
+        d = hashlib.blake2b(p.encode(), digest_size=64).digest()
+        for k in range(4):
+            wide[k] += int.from_bytes(d[32 + 8 * k : 40 + 8 * k], "little")
+        for k in range(256):
+            signs[k] += 1 if d[k // 8] >> (7 - k % 8) & 1 else -1
+    return wide, signs
+
+
+def plain_hex(f):
+    return "".join(f"{x % 2**64:016x}" for x in f[0]) + "".join(f"{x % 2**32:08x}" for x in f[1])
+
+
+def plain_likeness(f, g):
+    if f == g:
+        return 1.0
+    whole = sum(x * x for x in f[1]) + sum(x * x for x in g[1])
+    return max(0.0, min(1.0, 1.0 - sum((x - y) ** 2 for x, y in zip(f[1], g[1])) / whole)) if whole else 0.0
+
+
 def test_fingerprints(spark):
-    rows = corpus(4)
+    rows = [(i, t if t is None or len(t) < 5000 else t[:4000]) for i, t in corpus(4)]
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), (r[1] or "").encode()))
     want = []
     for n, (i, t) in enumerate(order):
         t, nxt = t or "", order[(n + 1) % len(order)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
-        f, e, x = (fingerprints.fingerprint(fingerprints.pieces(s)) for s in (t, edited, nxt))
-        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.hexed(f), fingerprints.hexed(e), fingerprints.likeness(f, e), fingerprints.likeness(f, x)))
+        f, e, x = (plain_fingerprint(s) for s in (t, edited, nxt))
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_hex(f), plain_hex(e), plain_likeness(f, e), plain_likeness(f, x)))
     out = fingerprints.edited_fingerprints(docs(spark, rows))
-    assert sorted((str(r[0]), *r[1:]) for r in map(tuple, out.collect())) == sorted(want)
+    got = sorted((str(r[0]), *r[1:]) for r in map(tuple, out.collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in sorted(want)]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:]) for w in sorted(want)]
     assert fingerprints.edited_fingerprints(docs(spark, rows).limit(0)).count() == 0
     one = fingerprints.edited_fingerprints(docs(spark, [(3, "abcd")])).first()
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
     plain = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_documents(docs(spark, [(1, "a b.\nc"), (2, "c\na b."), (3, None)])).collect()}
     assert plain[1] == plain[2] and set(plain[3]) == {"0"}
     a, b = fingerprints.fingerprint(["x", "y"]), fingerprints.fingerprint(["y"])
-    assert (fingerprints.combine(a, b, -1) == fingerprints.fingerprint(["x"])).all() and (fingerprints.combine(b, fingerprints.fingerprint(["x"])) == a).all()
+    assert a - b == fingerprints.fingerprint(["x"]) and b + fingerprints.fingerprint(["x"]) == a
+
+
+def test_next_documents_over_many_ranges(spark):
+    """Each document's next one, with more ids than ranges and gaps between them."""
+    rows = [(7 * k - 3000, f"text {k}") for k in range(900)]
+    out = {r.doc_id: r.edited_sha256 for r in fingerprints.edited_fingerprints(docs(spark, rows, 7)).collect()}
+    for (i, t), (_, before) in zip(rows, [rows[-1], *rows[:-1]]):
+        half = len(t) // 2
+        assert out[i] == hashlib.sha256((t[: len(t) - half] + before[:half]).encode()).hexdigest()
+
+
+def test_likeness_of_repeated_lines():
+    """Lines repeated more often than a small lane holds: other texts have other fingerprints, and likeness is the true overlap."""
+    a = "a line\n" * 100_000
+    mark = lambda text: fingerprints.fingerprint(fingerprints.pieces(text))
+    assert mark("a line\n" * 65_536) != mark("") and mark("a line\n" * (1 << 17)) != mark("a line\n" * (1 << 16))
+    assert fingerprints.likeness(mark(a), mark("")) == 0.0
+    assert fingerprints.likeness(mark("x\n" * 40_000), mark("x\n" * 30_000)) == pytest.approx(1 - 1 / 25, abs=1e-9)
+    r = random.Random(2)
+    lines = [f"line {k} {r.random()}" for k in range(3000)]
+    for n in (300, 1500, 2700):
+        shared = fingerprints.likeness(mark("\n".join(lines[:2000])), mark("\n".join(lines[2000 - n // 2 : 4000 - n // 2])))
+        own = len(lines[2000 - n // 2 : 4000 - n // 2])
+        assert shared == pytest.approx(2 * (n // 2) / (2000 + own), abs=0.15)
 
 
 # ---- 8
@@ -486,6 +589,36 @@ def test_contamination(spark):
                 if d <= decontaminate.edits_within(p):
                     want.append((str(i), k, d))
     assert got == sorted(want) and len(want) > 25
+    many = decontaminate.contamination(docs(spark, rows), bench, block=80).collect()  # some fifty blocks
+    assert sorted((str(x.doc_id), x.item_id, x.edits) for x in many) == got
     clean = decontaminate.uncontaminated(docs(spark, rows), bench, block=500)
     assert sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(i) for i, _ in rows if str(i) not in {w[0] for w in want})
     assert decontaminate.contamination(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_rulers():
+    """Repetitive items against repetitive texts: bands as counting all shared q-grams has them, in bounded memory."""
+    r = random.Random(3)
+    part = lambda: r.choice([b"-" * r.randint(1, 60), b"=-" * r.randint(1, 30), b"abc" * r.randint(1, 20), bytes(r.choice(b"abcdef ") for _ in range(r.randint(1, 40)))])
+    text_of = lambda n: b"".join(part() for _ in range(n))
+    before = decontaminate.PAIRS, decontaminate.PART
+    try:
+        for n in range(60):
+            decontaminate.PAIRS, decontaminate.PART = r.choice([1, 7, 1 << 20]), r.choice([30, 100, 1 << 20])
+            items, text = [text_of(r.randint(1, 4)) for _ in range(4)], text_of(r.randint(1, 8))
+            text = text[:20] + items[0] + text[20:] if n % 2 else text
+            patterns = decontaminate.Patterns(list(range(4)), items, r.choice([0.08, 0.02]))
+            grams, want = decontaminate.gram_hashes(np.frombuffer(text, np.uint8)).tolist(), {}
+            for i, p in enumerate(items):
+                for q, y in enumerate(decontaminate.gram_hashes(np.frombuffer(p, np.uint8)).tolist()):
+                    for t, x in enumerate(grams):
+                        if x == y:
+                            for b in ((t - q) // int(patterns.band[i]), (t - q) // int(patterns.band[i]) - 1):
+                                want[i, b] = want.get((i, b), 0) + 1
+            assert patterns.regions(text) == {k for k, c in want.items() if c >= patterns.need[k[0]]}
+    finally:
+        decontaminate.PAIRS, decontaminate.PART = before
+    for item, text in ((b"-" * 400, b"-" * 40_000), (b"-" * 8000, b"-" * 1_000_000), (b"ab" * 4000, b"ab" * 500_000)):
+        patterns = decontaminate.Patterns([0], [item])
+        assert patterns.search(text)[0][:3] == (0, 0, 0)
+        assert sum(len(x[0]) for x in patterns.shared(np.frombuffer(text, np.uint8)[: 1 << 20], 0)) < 200_000
