@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, the same wherever identifiers, markers and citations are written: the notations below, the steps of
+# ``normal_space``, the words of ``slot`` and ``rendered_parameter``, and the two reasons in ``operators/answers.py``.
 #: Two letters, a number and perhaps an enhancement in parentheses or after a point.
-IDENTIFIER = r"^\s*([A-Za-z]{2})\s*[-_ ]?\s*(\d{1,3})\s*(?:\(\s*(\d{1,3})\s*\)|\.(\d{1,3}))?\s*$"
+IDENTIFIER = r"^\s*([A-Za-z]{2})\s*[-_ ]?\s*(\d{1,3})\s*(?:\(\s*(\d{1,3})\s*\)|\.\s*(\d{1,3}))?\s*$"
 #: A parameter marker, with the blanks around it.
 MARKER = r"[ \t]*\{\{\s*insert:\s*param,\s*([^\s}]+)\s*\}\}[ \t]*"
 BRACKETED = r"\[([^\[\]]+)\]"
@@ -57,11 +59,12 @@ def slot(label: Column) -> Column:
     return F.concat(F.lit("["), F.when(named, label).otherwise(F.concat(F.lit("organization-defined "), label)), F.lit("]"))
 
 
-def rendered_parameter(values: Column, how_many: Column, choices: Column, label: Column, guideline: Column) -> Column:
-    """Values, else a selection, else the label, else the guideline, else a general blank."""
+def rendered_parameter(values: Column, how_many: Column, choices: Column, label: Column, guidelines: Column) -> Column:
+    """Values, else a selection, else the label, else the first guideline that says something, else a general blank."""
     selection = F.concat(F.lit("[selection ("), F.replace(how_many, F.lit("-"), F.lit(" ")), F.lit("): "), F.array_join(choices, "; "), F.lit("]"))
     selection = F.when(F.size(choices) == 0, F.lit("[organization-defined selection]")).otherwise(selection)
-    advice = stripped(F.regexp_replace(guideline, r"[;. ]+$", ""))
+    said = F.transform(guidelines, lambda x: stripped(F.regexp_replace(x, r"[;. ]+$", "")))
+    advice = F.get(F.filter(said, lambda x: x != ""), F.lit(0))
     return (
         F.when(F.size(values) > 0, F.array_join(values, ", "))
         .when(choices.isNotNull(), selection)
@@ -80,10 +83,10 @@ def normal_space(x: Column) -> Column:
 
 
 def preview(x: Column, size: int = 240) -> Column:
-    """One line of whole words, with dots where it is cut."""
+    """One line of whole words, with dots where it is cut; dots alone where not even the first word fits."""
     line = stripped(F.regexp_replace(x, r"\s+", " "))
     cut = F.regexp_extract(F.substring(line, 1, size - 3), r"^(.*)\s\S*$", 1)
-    return F.when(F.length(line) <= size, line).otherwise(F.concat(cut, F.lit(" ...")))
+    return F.when(F.length(line) <= size, line).otherwise(F.concat(cut, F.when(cut == "", "...").otherwise(" ...")))
 
 
 def checksum(x: Column) -> Column:
@@ -104,7 +107,17 @@ def answer_of(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def part_suffix(part: Column, name: Column) -> Column:
+    """What a part is called within its control: its id after the first underscore, else its name."""
+    return F.coalesce(whole_part(part), name)
+
+
 def whole_part(x: Column) -> Column:
     """After the first underscore of a part's id; null if there is nothing."""
     at = F.instr(x, "_")
     return F.when((at > 0) & (F.length(x) > at), F.substring(x, at + 1, F.length(x)))
+
+
+def multi_digest(*parts: Column) -> Column:
+    """SHA-256 over parts, each followed by 0x1E; a null part is an empty one."""
+    return F.sha2(F.concat(*(x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("")), F.lit("\x1e")))), 256)

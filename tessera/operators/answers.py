@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import BRACKETED, canonical_id, stripped
+from tessera.operators.maintenance import unique
 
 KIND, CANONICAL = "kind", "canonical"
 
@@ -76,8 +77,15 @@ def request_key(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)
 
 
+def replay_all(requests: DataFrame, recordings: DataFrame, key: str = "key") -> DataFrame:
+    """``replay`` where each request must have been recorded; one that wasn't fails the query."""
+    out = replay(requests, recordings, key)
+    return out.withColumn("answer", F.when(F.col("answered"), F.col("answer")).otherwise(F.raise_error(F.concat(F.lit("not recorded: "), F.col(key)))))
+
+
 def replay(requests: DataFrame, recordings: DataFrame, key: str = "key") -> DataFrame:
-    """``requests`` with ``answered, answer, decline``: the recorded answer of an equal key, or an explicit decline."""
-    held = recordings.select(key, F.array_join("answer_lines", "\n").alias("answer"), F.lit(True).alias("answered"))
+    """``requests`` with ``answered, answer, decline``: the recorded answer of an equal key, or an explicit decline. A key that
+    is recorded twice fails the query."""
+    held = unique(recordings, key).select(key, F.array_join("answer_lines", "\n").alias("answer"), F.lit(True).alias("answered"))
     joined = requests.join(held, key, "left")
     return joined.withColumn("answered", F.coalesce("answered", F.lit(False))).withColumn("decline", F.when(~F.col("answered"), "no recorded answer"))

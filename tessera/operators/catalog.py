@@ -1,28 +1,226 @@
-"""A nested control catalog as flat tables: groups, controls, parts and parameters; identifiers; chunks."""
+"""A nested control catalog as flat tables: groups, controls, parts and parameters; identifiers; chunks; digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import batched
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import MARKER, canonical_id, form_key, normal_space, published_forms
+from tessera.functions.text import MARKER, canonical_id, form_key, normal_space, part_suffix, published_forms, rendered_parameter
+from tessera.operators.maintenance import unique
+
+#: How deep trees are read; a deeper one fails the query.
+LEVELS = 6
+
+
+def string_at(node: str, path: str) -> Column:
+    """A string of a JSON value; null if it is absent or anything else."""
+    return F.expr(f"CASE WHEN schema_of_variant(try_variant_get({node}, '{path}', 'variant')) = 'STRING' THEN try_variant_get({node}, '{path}', 'string') END")
+
+
+def list_at(node: str, path: str) -> Column:
+    """The values of an array; empty if it is absent or anything else."""
+    return F.expr(f"coalesce(try_variant_get({node}, '{path}', 'array<variant>'), cast(array() AS array<variant>))")
+
+
+def flatten(nodes: DataFrame, children: str, levels: int = LEVELS) -> DataFrame:
+    """All nodes of JSON trees in document order: ``path, depth, parent, node`` (VARIANT) with all other columns of ``nodes``.
+
+    ``nodes`` has ``node``, and ``path`` where it isn't a whole document; ``children`` names the array of child nodes.
+    ``path`` sorts as the document reads, and ``parent`` is the id of the node above. Each level is one projection of the one
+    before it, without a shuffle. A tree of over ``levels`` levels fails the query.
+    """
+    kept = [c for c in nodes.columns if c not in ("node", "path", "parent", "depth")]
+    path = F.col("path") if "path" in nodes.columns else F.lit("0")
+    level = nodes.select(*kept, path.alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), "node")
+    out = level
+    for depth in range(1, levels + 1):
+        below = level.select(*kept, "path", string_at("node", "$.id").alias("parent"), F.posexplode(list_at("node", f"$.{children}")).alias("n", "node"))
+        over = F.raise_error(F.lit(f"a tree of over {levels} levels")) if depth == levels else F.lit(depth)
+        level = below.select(*kept, F.concat("path", F.lit("."), F.lpad(F.col("n").cast("string"), 9, "0")).alias("path"), over.cast("int").alias("depth"), "parent", "node")
+        out = out.unionByName(level)
+    return out
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """A catalog's documents as tables, all keyed by ``root``, the document: see ``catalog_tables``."""
+
+    metadata: DataFrame
+    groups: DataFrame
+    controls: DataFrame
+    parts: DataFrame
+    parameters: DataFrame
+
+
+_STRINGS, _LISTS = ("kind", "path", "parent", "group_id", "control_id", "top", "top_part", "top_name", "id", "name", "title", "class", "label", "padded_label", "sort_id", "status", "prose", "how_many", "alt_identifier"), ("values", "choices", "guidelines")
+_NODE = pa.schema([("root", pa.int64()), ("depth", pa.int32()), *((c, pa.string()) for c in _STRINGS), *((c, pa.list_(pa.string())) for c in _LISTS)])
+_METADATA = {"title": "title", "version": "version", "last-modified": "last_modified", "oscal-version": "oscal_version"}
+
+
+def _text(node: dict, key: str, what: str | None = None) -> str | None:
+    """A string; where ``what`` is named it must be there and not be empty."""
+    found = node.get(key)
+    found = found if isinstance(found, str) else None
+    if what is not None and not found:
+        raise ValueError(f"{what} has no {key}")
+    return found
+
+
+def _items(node: dict, key: str, what: str | None = None) -> list:
+    """An array, empty if it is anything else; where ``what`` is named all items must be objects."""
+    found = node.get(key)
+    found = found if isinstance(found, list) else []
+    if what is not None and not all(isinstance(x, dict) for x in found):
+        raise ValueError(f"{what} isn't an object")
+    return found
+
+
+def property_of(node: dict, name: str, kind: str | None = None) -> str | None:
+    """The value of the first of ``props`` with this name and exactly this class (none, if None); null unless it is a string."""
+    first = next((p for p in _items(node, "props") if isinstance(p, dict) and p.get("name") == name and p.get("class") == kind), {})
+    return _text(first, "value")
+
 
+def nodes_of(root: int, document: object) -> Iterator[dict]:
+    """The groups, controls, parts and parameters of one document, in its order; see ``catalog_tables``."""
+    if not isinstance(document, dict) or not isinstance(document.get("catalog"), dict):
+        raise ValueError(f"{root}: no top-level catalog")
+    top = document["catalog"]
+    about = top.get("metadata")
+    if not isinstance(about, dict):
+        raise ValueError(f"{root}: no metadata")
+    if not (groups := _items(top, "groups", "a group")):
+        raise ValueError(f"{root}: a catalog without groups")
+    yield {"kind": "metadata", "id": _text(top, "uuid", "the catalog"), "values": [_text(about, k, "metadata") for k in _METADATA], "depth": len(groups)}
+    at = lambda path, n: f"{path}.{n:09d}"
+    for g, group in enumerate(groups):
+        group_id = _text(group, "id", "a group")
+        yield {"kind": "group", "path": at("0", g), "group_id": group_id, "title": _text(group, "title", "a group"), "class": _text(group, "class")}
+        waiting = [(at(at("0", g), n), None, c) for n, c in reversed(list(enumerate(_items(group, "controls", "a control"))))]
+        while waiting:  # depth first, without recursion
+            path, parent, control = waiting.pop()
+            own = _text(control, "id", "a control")
+            yield {
+                "kind": "control", "path": path, "parent": parent, "group_id": group_id, "id": own, "title": _text(control, "title", own), "class": _text(control, "class"), "label": property_of(control, "label"),
+                "padded_label": property_of(control, "label", "zero-padded"), "sort_id": property_of(control, "sort-id"), "status": property_of(control, "status"),
+            }
+            waiting += [(at(path, n), own, c) for n, c in reversed(list(enumerate(_items(control, "controls", "a control"))))]
+            for param in _items(control, "params", "a parameter"):
+                chosen = param.get("select") if isinstance(param.get("select"), dict) else None
+                yield {
+                    "kind": "parameter", "control_id": own, "id": _text(param, "id", "a parameter"), "label": _text(param, "label"), "values": [str(v) for v in _items(param, "values")], "alt_identifier": property_of(param, "alt-identifier"),
+                    "how_many": None if chosen is None else _text(chosen, "how-many") or "one", "choices": None if chosen is None else [str(v) for v in _items(chosen, "choice")],
+                    "guidelines": [said for x in _items(param, "guidelines") if isinstance(x, dict) and (said := _text(x, "prose"))],
+                }
+            for n, first in enumerate(_items(control, "parts", "a part")):
+                head = {"kind": "part", "control_id": own, "top": at(path + "/", n), "top_part": _text(first, "id"), "top_name": _text(first, "name", "a part")}
+                inner = [(head["top"], 0, first)]
+                while inner:
+                    place, depth, part = inner.pop()
+                    yield {**head, "path": place, "depth": depth, "id": _text(part, "id"), "name": _text(part, "name", "a part"), "title": _text(part, "title"), "prose": _text(part, "prose"), "label": property_of(part, "label")}
+                    inner += [(at(place, k), depth + 1, p) for k, p in reversed(list(enumerate(_items(part, "parts", "a part"))))]
 
-def flatten(nodes: DataFrame, children: str, child_of: str = "$") -> DataFrame:
-    """All nodes of JSON trees in document order: ``root, path, depth, parent, node`` (VARIANT).
 
-    ``nodes`` has ``root`` and ``node``; ``children`` names the array of child nodes. ``path`` sorts as the document
-    reads. Trees are as deep as the recursion limit of the session allows.
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for root, document in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for some in batched(nodes_of(root, json.loads(document.as_py())), 4096):
+                yield pa.RecordBatch.from_pylist([{"root": root, **x} for x in some], _NODE)
+
+
+def catalog_tables(documents: DataFrame) -> Catalog:
+    """The tables of catalog documents ``root long, document`` (VARIANT, or JSON as a string).
+
+    metadata: root, uuid, title, version, last_modified, oscal_version, n_groups. groups: root, path, group_id, title, class.
+    controls: root, path, group_id, id, title, class, label, padded_label, sort_id, withdrawn, base_id (the nearest control
+    around it, or itself), is_enhancement. parts: root, control_id, path, depth, top (path of the control's own part), top_part,
+    top_name, id, name, title, prose, label. parameters: root, control_id, param, label, values, how_many, choices,
+    guidelines, alt_identifier. Paths sort as the document reads. Each document is walked in a stream, by its own row's task.
+
+    Refused: no ``catalog``, no groups, a required string that is absent or empty, something that isn't an object where one
+    must be, and a control or parameter id that stands twice in a document. Optional values of another type are null, such
+    lists empty.
+    """
+    text = F.to_json("document") if documents.schema["document"].dataType.simpleString() == "variant" else F.col("document")
+    schema = "root long, depth int, " + ", ".join(f"`{c}` string" for c in _STRINGS) + ", " + ", ".join(f"`{c}` array<string>" for c in _LISTS)
+    nodes = documents.select(F.col("root").cast("long").alias("root"), text.alias("document")).mapInArrow(_walked, schema)
+    of = lambda kind: nodes.filter(F.col("kind") == kind)
+    metadata = of("metadata").select("root", F.col("id").alias("uuid"), *(F.col("values")[n].alias(c) for n, c in enumerate(_METADATA.values())), F.col("depth").alias("n_groups"))
+    controls = of("control").select("root", "path", "group_id", "id", "title", "class", "label", "padded_label", "sort_id", F.coalesce(F.col("status") == "withdrawn", F.lit(False)).alias("withdrawn"), F.coalesce("parent", "id").alias("base_id"), F.col("parent").isNotNull().alias("is_enhancement"))
+    parts = of("part").select("root", "control_id", "path", "depth", "top", "top_part", "top_name", "id", "name", "title", "prose", "label")
+    parameters = of("parameter").select("root", "control_id", F.col("id").alias("param"), "label", "values", "how_many", "choices", "guidelines", "alt_identifier")
+    return Catalog(metadata, of("group").select("root", "path", "group_id", "title", "class"), unique(controls, "root", "id", what="a control twice"), parts, unique(parameters, "root", "param", what="a parameter twice"))
+
+
+def rendered(parameters: DataFrame) -> DataFrame:
+    """``root, param, rendered``: what stands for each parameter, markers in it resolved."""
+    shown = parameters.select("root", F.concat_ws("\x1f", F.col("root").cast("string"), "param").alias("param"), _scoped(rendered_parameter(F.col("values"), F.col("how_many"), F.col("choices"), F.col("label"), F.col("guidelines"))).alias("rendered"))
+    return nested_parameters(shown.select("param", "rendered"))
+
+
+def _scoped(text: Column) -> Column:
+    """Text whose markers name parameters of its own document: see ``rendered``."""
+    return F.regexp_replace(text, r"(\{\{\s*insert:\s*param,\s*)", F.concat(F.lit("$1"), F.col("root").cast("string"), F.lit("\x1f")))
+
+
+def resolved_parts(catalog: Catalog) -> DataFrame:
+    """``parts`` that have prose, with it resolved."""
+    said = catalog.parts.filter(F.coalesce("prose", F.lit("")) != "")
+    keyed = said.withColumn("__key", F.concat_ws("\x1f", F.col("root").cast("string"), "path"))
+    done = resolve_markers(keyed.select("__key", _scoped(F.col("prose")).alias("prose")), rendered(catalog.parameters), "__key", "prose")
+    return keyed.drop("prose").join(done.withColumnRenamed("resolved", "prose"), "__key").drop("__key")
+
+
+#: Parts of a control that its chunk holds, in this order, and the heading of each: fixed values.
+HEADINGS = {"statement": "Control", "guidance": "Discussion"}
+
+
+def chunk_catalog(catalog: Catalog) -> DataFrame:
+    """``root, path, chunk_id, control_id, base_control_id, control_label, title, part_path, text``: a chunk for each live
+    control, in document order by ``path``: label and title, then the prose of its own statement and guidance parts, and of all
+    parts in them, line by line with list labels.
+
+    A live control without such prose, or without one of its published forms, fails the query.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("tessera_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE tree (root, path, depth, parent, node) AS (
-          SELECT root, '00000' AS path, 0 AS depth, CAST(NULL AS STRING) AS parent, node FROM tessera_roots
-          UNION ALL
-          SELECT t.root, t.path || '.' || lpad(CAST(c.pos AS STRING), 5, '0'), t.depth + 1, try_variant_get(t.node, '{child_of}.id', 'string'), c.value
-          FROM tree t, LATERAL variant_explode(try_variant_get(t.node, '{child_of}.{children}', 'variant')) AS c
-        ) SELECT * FROM tree""")
+    live = catalog.controls.filter(~F.col("withdrawn"))
+    order = F.array_position(F.lit(list(HEADINGS)), F.col("top_name"))
+    lines = resolved_parts(catalog).filter(F.col("top_name").isin(*HEADINGS))
+    line = F.when(F.coalesce("label", F.lit("")) != "", F.concat("label", F.lit(" "), "prose")).otherwise(F.col("prose"))
+    joined = lambda items: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", items.alias("x")))), lambda s: s["x"]), "\n")
+    heading = F.element_at(F.create_map(*(F.lit(x) for pair in HEADINGS.items() for x in pair)), F.col("top_name"))
+    section = lines.groupBy("root", "control_id", "top", "top_name", "top_part").agg(joined(line).alias("body"))
+    body = F.concat(heading, F.lit(":\n"), "body").alias("text")
+    whole = section.groupBy("root", "control_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "top", body, part_suffix(F.col("top_part"), F.col("top_name")).alias("suffix")))).alias("sections"))
+    found = live.join(whole, (live["root"] == whole["root"]) & (live["id"] == whole["control_id"]), "left").drop(whole["root"])
+    lacks = F.when(F.col("sections").isNull(), "no statement or guidance").when(F.coalesce("label", F.lit("")).eqNullSafe("") | F.coalesce("padded_label", F.lit("")).eqNullSafe("") | F.coalesce("sort_id", F.lit("")).eqNullSafe(""), "not all published forms")
+    checked = found.withColumn("control_id", F.when(lacks.isNull(), F.col("id")).otherwise(F.raise_error(F.concat_ws(": ", "id", lacks))))
+    path = F.array_join(F.transform("sections", lambda s: s["suffix"]), "+")
+    text = F.concat(F.col("label"), F.lit(" "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("sections", lambda s: s["text"]), "\n\n"))
+    return checked.select("root", "path", F.concat("control_id", F.lit(":"), path).alias("chunk_id"), "control_id", F.col("base_id").alias("base_control_id"), normal_space(F.col("label")).alias("control_label"), normal_space(F.col("title")).alias("title"), path.alias("part_path"), normal_space(text).alias("text"))
+
+
+def resolution_digest(catalog: Catalog) -> DataFrame:
+    """``root, digest``: SHA-256 over the resolved prose of all parts in document order, each as control, 0x1F, the part's place
+    among all of its control's, 0x1F, text, 0x1E, and then over the rendered parameters by id, each as id, 0x1F, text, 0x1E.
+
+    Made of one digest of each control's parts, so that only digests of a document come together.
+    """
+    place = F.row_number().over(Window.partitionBy("root", "control_id").orderBy("path")) - 1
+    numbered = catalog.parts.select("root", "control_id", "path", place.alias("n"))
+    texts = resolved_parts(catalog).select("root", "path", "prose").join(numbered, ["root", "path"])
+    ordered = lambda items, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, items.alias("x")))), lambda s: s["x"]), "")
+    one = texts.groupBy("root", "control_id").agg(F.sha2(ordered(F.concat_ws("\x1f", "control_id", F.col("n").cast("string"), F.concat("prose", F.lit("\x1e"))), "n"), 256).alias("digest"))
+    both = one.join(catalog.controls.select("root", F.col("id").alias("control_id"), "path"), ["root", "control_id"]).select("root", F.lit(0).alias("kind"), F.col("path").alias("at"), F.concat("digest", F.lit("\x1e")).alias("x"))
+    shown = rendered(catalog.parameters).select(F.substring_index("param", "\x1f", 1).alias("root"), F.substring_index("param", "\x1f", -1).alias("at"), "rendered")
+    shown = shown.select("root", F.lit(1).alias("kind"), "at", F.concat_ws("\x1f", "at", F.concat("rendered", F.lit("\x1e"))).alias("x"))
+    rows = both.withColumn("root", F.col("root").cast("string")).unionByName(shown)
+    return rows.groupBy("root").agg(F.sha2(ordered(F.col("x"), "kind", "at"), 256).alias("digest"))
 
 
 def catalog_counts(controls: DataFrame) -> DataFrame:
@@ -33,21 +231,29 @@ def catalog_counts(controls: DataFrame) -> DataFrame:
 
 
 def identity_forms(controls: DataFrame) -> DataFrame:
-    """``form, id``: each published form of each control, and none that two controls share (that fails the query)."""
-    forms = controls.select(F.col("id"), F.explode(F.array_distinct(F.transform(published_forms(F.col("id")), form_key))).alias("form"))
+    """``form, id``: each published form of each control. A control that stands twice fails the query, and so does a form that
+    two controls share."""
+    forms = unique(controls.select("id"), "id", what="a control twice").select(F.col("id"), F.explode(F.array_distinct(F.transform(published_forms(F.col("id")), form_key))).alias("form"))
     checked = forms.groupBy("form").agg(F.min("id").alias("id"), F.max("id").alias("other"))
     return checked.select("form", F.when(F.col("id") == F.col("other"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("a form names two controls: "), F.col("form")))).alias("id"))
 
 
 def resolve(asked: DataFrame, controls: DataFrame, column: str = "text") -> DataFrame:
-    """``asked`` with ``resolved``: by a published form, else by the canonical identifier, else null."""
+    """``asked`` with ``resolved``: by a published form, else by the canonical identifier, else null; a control that stands
+    twice fails the query."""
     forms = identity_forms(controls).withColumnRenamed("id", "by_form")
-    ids = controls.select(F.col("id").alias("by_id"))
+    ids = controls.select(F.col("id").alias("by_id")).distinct()
     keyed = asked.withColumn("form", form_key(F.col(column))).withColumn("canonical", canonical_id(F.col(column)))
     found = keyed.join(forms, "form", "left").join(ids, F.col("canonical") == F.col("by_id"), "left")
     return found.withColumn("resolved", F.coalesce("by_form", "by_id")).drop("form", "by_form", "by_id")
 
 
+def required_controls(asked: DataFrame, controls: DataFrame, column: str = "text") -> DataFrame:
+    """``resolve`` where each must name a control; one that doesn't fails the query."""
+    out = resolve(asked, controls, column)
+    return out.withColumn("resolved", F.coalesce("resolved", F.raise_error(F.concat(F.lit("no such control: "), F.coalesce(F.col(column), F.lit("null"))))))
+
+
 def marker_pieces(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``key, pos, literal, match, param``: texts cut at parameter markers; the last piece has no match."""
     zipped = F.arrays_zip(F.split(F.col(text), MARKER, -1).alias("literal"), F.regexp_extract_all(F.col(text), F.lit(MARKER), 0).alias("match"), F.regexp_extract_all(F.col(text), F.lit(MARKER), 1).alias("param"))
@@ -61,7 +267,7 @@ DEPTH = 8
 def nested_parameters(parameters: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``param, rendered`` without markers: parameters that name others, resolved from the inside; a cycle, or more than
     ``depth`` levels, fails the query. Each round takes up the parameters whose markers are all resolved."""
-    own = parameters.select("param", "rendered")
+    own = parameters.select("param", "rendered").persist()
     inner = own.filter(F.col("rendered").rlike(MARKER))
     done = plain = own.filter(~F.col("rendered").rlike(MARKER))
     wanted, known, levels = inner.count(), -1, 0
@@ -78,14 +284,14 @@ def nested_parameters(parameters: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def resolve_markers(texts: DataFrame, parameters: DataFrame, key: str = "id", text: str = "text", strict: bool = True) -> DataFrame:
     """``key, resolved``: markers replaced by ``rendered`` of ``parameters(param, rendered)``; an unknown one fails the query,
-    or if not ``strict`` makes the text null. Values stand as they are: see ``nested_parameters`` for those with markers.
+    or if not ``strict`` makes the text null, and a parameter that stands twice fails it. Values stand as they are: see ``nested_parameters`` for those with markers.
 
     A blank before the marker is kept if the text so far isn't empty and doesn't end in a line end or opening bracket; one
     after it, if text follows that doesn't begin with punctuation or a closing bracket.
     """
     order = Window.partitionBy(key).orderBy("pos")
     cut = marker_pieces(texts.select(key, text), key, text).withColumn("following", F.lead("literal").over(order)).withColumn("more", F.lead("match").over(order)).withColumn("earlier", F.lag("match").over(order))
-    joined = cut.join(parameters.select("param", "rendered"), "param", "left")
+    joined = cut.join(unique(parameters.select("param", "rendered"), "param", what="a parameter twice"), "param", "left")
     unknown = F.col("match").isNotNull() & F.col("rendered").isNull()
     missing = F.raise_error(F.concat(F.lit("no such parameter: "), F.col("param"))) if strict else F.lit("")
     value = F.when(F.col("match").isNull(), F.lit("")).when(unknown, missing).otherwise(F.col("rendered"))

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance, norm
 
-#: About how many queries one block holds; more are searched in blocks, each one pass over the corpus.
-BLOCK = 1000
+#: About how many queries one block holds, and how many rows of the corpus: a group of two blocks is some 30 MB at a width of 64.
+BLOCK, CORPUS_BLOCK = 20_000, 50_000
 #: Rows that are compared with a block at a time.
 ROWS = 2048
 
@@ -24,14 +23,29 @@ def checked_k(k: int) -> int:
     return k
 
 
-def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def same_width(vector: Column, other: Column) -> Column:
+    """The vector, or an error if it has another width."""
+    return F.when(F.size(vector) == F.size(other), vector).otherwise(F.raise_error(F.format_string("a vector of width %d, not %d", F.size(vector), F.size(other))))
+
+
+def asked_question(text: str | None) -> str:
+    if not (text or "").strip():
+        raise ValueError("the question is blank")
+    return text
+
+
+def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", refuse_empty: bool = False) -> DataFrame:
     """The k nearest rows of one query row: ``rank, key, score, k``. ``query`` has the column ``q``.
 
     Distances are computed as the corpus is scanned, and only k rows of each task travel. ``k`` beyond the corpus gives
-    all of it.
+    all of it. Null vectors are left out, zero ones come last with a score of NaN, and another width than the query's fails.
+    With ``refuse_empty`` a corpus without vectors fails at once; else it gives no rows.
     """
     one = F.broadcast(query.limit(1).select("q", norm(F.col("q")).alias("q_norm")))
-    scored = corpus.crossJoin(one).select(key, cosine_distance(F.col(vector), F.col("q"), norm_b=F.col("q_norm")).alias("distance"))
+    corpus = corpus.filter(F.col(vector).isNotNull())
+    if refuse_empty and corpus.isEmpty():
+        raise ValueError("the corpus is empty")
+    scored = corpus.crossJoin(one).select(key, cosine_distance(same_width(F.col(vector), F.col("q")), F.col("q"), norm_b=F.col("q_norm")).alias("distance"))
     best = scored.orderBy("distance", key).limit(checked_k(k))
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # k rows
     return ranked.select("rank", key, (1.0 - F.col("distance")).alias("score"), F.lit(k).alias("k"))
@@ -74,21 +88,29 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     """The k nearest rows of each query: ``query_key, rank, key, score``. ``queries`` has the columns query_key and ``q``;
     ``but_itself`` leaves out the row whose key is the query's.
 
-    Queries go to the tasks in blocks, and only k rows of each query leave a batch. Null vectors are left out, zero ones come
-    last with a score of NaN, and vectors of another width than the queries fail.
+    Queries and rows are dealt to blocks of bounded size, and each pair of blocks is one group that a task compares: every
+    pair is scored, as an exact search must, but neither side is ever in one place. Only k rows of each query leave a group.
+    Null vectors are left out, zero ones come last with a score of NaN, and vectors of another width than the queries fail.
     """
     checked_k(k)
     rows, queries = corpus.select(key, vector).filter(F.col(vector).isNotNull()), queries.select(query_key, "q").filter("q is not null")
-    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = max(-(-rows.count() // CORPUS_BLOCK), 1)
+    blocks = max(-(-queries.count() // BLOCK), 1)
     kind = lambda d, c: d.schema[c].dataType.simpleString()
     schema, names = f"`{query_key}` {kind(queries, query_key)}, `{key}` {kind(corpus, key)}, distance double", [query_key, key, "distance"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select(dealt(query_key, blocks).alias("__block"), spread(parts).alias("__part"), query_key, "q")
+    held = rows.select(spread(blocks).alias("__block"), dealt(key, parts).alias("__part"), key, vector)
+
+    def near(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found = list(_nearest(iter(theirs.select([key, vector]).combine_chunks().to_batches()), ours.select([query_key, "q"]), k, but_itself, names)) if len(ours) and len(theirs) else []
+        types = [pa.field(query_key, ours.schema.field(query_key).type), pa.field(key, theirs.schema.field(key).type), pa.field("distance", pa.float64())]
+        return pa.Table.from_batches(found, pa.schema(types))
+
+    best = asked.groupBy("__block", "__part").cogroup(held.groupBy("__block", "__part")).applyInArrow(near, schema)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
-    found = []
-    for n in range(blocks):
-        asked = (queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n)).toArrow()  # about BLOCK rows
-        near = rows.mapInArrow(lambda batches, asked=asked: _nearest(batches, asked, k, but_itself, names), schema)
-        found.append(near.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score")))
-    return reduce(DataFrame.unionAll, found)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(query_key, "rank", key, (1.0 - F.col("distance")).alias("score"))
 
 
 def judged(ranked: DataFrame, relevant: DataFrame, query_key: str = "q_id", key: str = "vec_id") -> tuple[DataFrame, DataFrame]:

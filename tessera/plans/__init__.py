@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import answering, search, texts
+from tessera.plans import answering, catalogs, search, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | answering.QUERIES
-SQL = search.SQL | texts.SQL | answering.SQL
+QUERIES = search.QUERIES | texts.QUERIES | catalogs.QUERIES | answering.QUERIES
+SQL = search.SQL | texts.SQL | catalogs.SQL | answering.SQL

@@ -8,7 +8,7 @@ from tessera import sources
 from tessera.functions import text as T
 from tessera.functions.vectors import norm
 from tessera.operators import answers, encoders, maintenance, search
-from tessera.plans.texts import CONTROLS
+from tessera.plans.texts import CANON, CONTROLS
 
 #: Synthetic answers: a turn's text with citations around it, by turn number.
 _CITES = ["[AC-2] says so, and [ ia-5 ] too; [ac-02] again [not one].", "See [SC-28] and [ZZ-9] ([AC-2(3)]).", "No citation, but [brackets] and [AC-1]."]
@@ -128,22 +128,34 @@ def stale_delete(spark, d):
 
 
 def provenance_check(spark, d):
-    cases = [("a", "m", "r1", 64, "c1"), ("b", "n", "r1", 64, "c1"), ("c", "m", "r2", 32, "c1"), ("d", "m", "r1", 32, "c2"), ("e", "m", "r1", 64, None)]
-    rows = spark.createDataFrame(cases, "id string, name string, revision string, dimensions int, chunker string")
-    checks = [("name", F.col("name") == "m"), ("revision", F.col("revision") == "r1"), ("dimensions", F.col("dimensions") == 64), ("chunker", F.col("chunker") == "c1")]
-    return rows.select("id", maintenance.first_failure(checks).alias("failure"))
+    """Each part as what a corpus says of itself; the first check that fails."""
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(k % 2 == 0, "m").otherwise(F.col("p_name")).alias("name"), F.when(k % 3 > 0, "r1").alias("revision"), F.col("p_size").alias("dimensions"), F.col("p_type").alias("chunker"))
+    checks = [("name", F.col("name") == "m"), ("revision", F.col("revision") == "r1"), ("dimensions", F.col("dimensions") > 25), ("chunker", F.col("chunker") != "SMALL")]
+    return rows.select("p_partkey", maintenance.first_failure(checks).alias("failure"))
 
 
 def manifest_compare(spark, d):
-    e = [("catalog", "v1", "aa", ["recordings", "corpus"]), ("prompt", "v1", "bb", ["recordings"]), ("chunks", "v1", None, ["chunks", "report"]), ("embedder", "v1", "dd", ["query_vectors"]), ("same", "v1", "ee", []), ("lost", "v1", "ff", [])]
-    o = [("catalog", "v2", "ab"), ("prompt", "v1", "bc"), ("chunks", "v1", "cc"), ("embedder", "v1", "dd"), ("same", "v1", "ee"), ("lost", "v1", None)]
-    entries = spark.createDataFrame(e, "name string, identity string, digest string, invalidates array<string>")
-    return maintenance.compare_manifest(entries, spark.createDataFrame(o, "name string, identity string, digest string"))
+    """Each part as an entry and as what is observed of it, changed by its key."""
+    k, name = F.col("p_partkey"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("name")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    kinds = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in _KINDS)), (k % len(_KINDS) + 1).cast("int"))
+    entries = part.select(name, F.col("p_brand").alias("identity"), F.when(k % 4 > 0, F.sha2("p_type", 256)).alias("digest"), kinds.alias("invalidates"))
+    seen = part.select(name, F.when(k % 5 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("identity"), F.when(k % 7 > 0, F.sha2(F.when(k % 3 == 0, F.col("p_name")).otherwise(F.col("p_type")), 256)).alias("digest"))
+    return maintenance.compare_manifest(entries, seen)
 
 
 def ledger_drift(spark, d):
-    have = spark.createDataFrame([(1, "a"), (2, "x"), (9, "z")], "version int, checksum string")
-    return maintenance.ledger_drift(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "version int, checksum string"), have)
+    """Parts as scripts and as a ledger of what was applied."""
+    part = spark.read.parquet(f"{d}/part.parquet").withColumnRenamed("p_partkey", "version")
+    scripts = part.filter("version % 5 > 0").select("version", F.sha2("p_name", 256).alias("checksum"))
+    ledger = part.filter("version % 3 > 0").select("version", F.sha2(F.when(F.col("version") % 7 == 0, F.col("p_type")).otherwise(F.col("p_name")), 256).alias("checksum"))
+    return maintenance.ledger_drift(scripts, ledger)
+
+
+def schema_health(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("version"))
+    return maintenance.schema_health(part, 7)
 
 
 def ordered_digest(spark, d):
@@ -152,9 +164,12 @@ def ordered_digest(spark, d):
 
 
 def file_hash(spark, d):
-    return sources.file_digests(spark, f"{d}/region.parquet").select("size", "sha256")
+    """The files of the pages table, each whole."""
+    return sources.file_digests(spark, f"{d}/pages.parquet").select("size", "sha256")
 
 
+#: What an entry invalidates, by its key.
+_KINDS = [[], ["corpus", "queries"], ["counts"], ["judge", "counts"], ["generation"], ["queries", "generation", "judge"]]
 _AXES = ["the", "der", "que"]
 
 
@@ -175,10 +190,14 @@ def answer_end_to_end(spark, d):
 
 
 _ANSWERS = "(SELECT conv_id || '/' || turn AS id, conv_id, text || chr(10) || CASE conv_id % 3 " + " ".join(f"WHEN {n} THEN '{c}'" for n, c in enumerate(_CITES)) + " END || chr(10) AS answer FROM conversations WHERE role = 'assistant')"
-#: By conv_id % 3: position, spelling, canonical.
-_CITED = "(VALUES (0, 0, 'AC-2', 'ac-2'), (0, 1, 'ia-5', 'ia-5'), (1, 0, 'SC-28', 'sc-28'), (1, 1, 'ZZ-9', 'zz-9'), (1, 2, 'AC-2(3)', 'ac-2.3'), (2, 0, 'AC-1', 'ac-1')) AS c(m, pos, cited_as, canonical)"
-_CHECKED = f"""(SELECT id, CAST(pos AS INTEGER) AS pos, cited_as, canonical, canonical IN ({', '.join(f"'{c}'" for c in CONTROLS)}) AS exists_flag,
-  CASE WHEN conv_id % 2 = 0 THEN canonical IN ('ac-2', 'ia-5') ELSE canonical = 'ac-2.3' END AS retrieved_flag FROM {_ANSWERS} a JOIN {_CITED} ON conv_id % 3 = m)"""
+#: Brackets cut out and named by digits and letters alone, without the pattern under test.
+_PARSED = f"""(SELECT id, conv_id, CAST(row_number() OVER (PARTITION BY id ORDER BY nr) - 1 AS INTEGER) AS pos, text AS cited_as, canonical FROM (
+  SELECT *, row_number() OVER (PARTITION BY id, canonical ORDER BY nr) AS nth FROM (
+    SELECT id, conv_id, nr, text, {CANON} AS canonical FROM (
+      SELECT id, conv_id, unnest(list_transform(regexp_extract_all(answer, '\\[([^\\[\\]]+)\\]', 1), lambda x: trim(x))) AS text, unnest(range(len(regexp_extract_all(answer, '\\[([^\\[\\]]+)\\]', 1)))) AS nr FROM {_ANSWERS} a))
+  WHERE canonical IS NOT NULL) WHERE nth = 1)"""
+_CHECKED = f"""(SELECT id, pos, cited_as, canonical, canonical IN ({', '.join(f"'{c}'" for c in CONTROLS)}) AS exists_flag,
+  CASE WHEN conv_id % 2 = 0 THEN canonical IN ('ac-2', 'ia-5') ELSE canonical = 'ac-2.3' END AS retrieved_flag FROM {_PARSED})"""
 _Q = "(SELECT q.conv_id || '/' || q.turn AS id, q.conv_id, q.turn, q.text AS question, r.text AS reply FROM conversations q LEFT JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant' WHERE q.role = 'user')"
 _JSON = """'"' || array_to_string(list_transform(regexp_extract_all(replace(replace(question, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '[ -~]+|[^ -~]'), lambda c: CASE WHEN regexp_matches(c, '^[ -~]') THEN c
   WHEN c = chr(10) THEN chr(92) || 'n' WHEN c = chr(13) THEN chr(92) || 'r' WHEN c = chr(9) THEN chr(92) || 't' WHEN c = chr(8) THEN chr(92) || 'b' WHEN c = chr(12) THEN chr(92) || 'f'
@@ -195,17 +214,17 @@ def _axes(x: str) -> str:
     return f"CASE WHEN {' + '.join(hits)} = 0 THEN [1 / sqrt(3), 1 / sqrt(3), 1 / sqrt(3)] ELSE [{', '.join(f'{h} / sqrt({" + ".join(hits)})' for h in hits)}] END"
 
 
-QUERIES = {f.__name__: f for f in (citation_parse, citation_check, citation_counts, answer_segments, answer_lines, prompt_render, request_key, replay_or_decline, recorded_vector_lookup, orphans, skip_recorded, same_questions, upsert_merge, stale_delete, provenance_check, manifest_compare, ledger_drift, ordered_digest, file_hash, answer_end_to_end)}
+QUERIES = {f.__name__: f for f in (citation_parse, citation_check, citation_counts, answer_segments, answer_lines, prompt_render, request_key, replay_or_decline, recorded_vector_lookup, orphans, skip_recorded, same_questions, upsert_merge, stale_delete, provenance_check, manifest_compare, ledger_drift, schema_health, ordered_digest, file_hash, answer_end_to_end)}
 SQL = {
-    "citation_parse": f"SELECT id, CAST(pos AS INTEGER) AS pos, cited_as, canonical FROM {_ANSWERS} a JOIN {_CITED} ON conv_id % 3 = m",
+    "citation_parse": f"SELECT id, pos, cited_as, canonical FROM {_PARSED}",
     "citation_check": f"SELECT *, exists_flag AND retrieved_flag AS valid, CASE WHEN exists_flag AND retrieved_flag THEN NULL WHEN NOT exists_flag THEN 'not a control in the catalog' ELSE 'cited but not retrieved' END AS reason FROM {_CHECKED}",
     "citation_counts": f"SELECT id, count(*) AS total, count(*) FILTER (NOT (exists_flag AND retrieved_flag)) AS invalid FROM {_CHECKED} GROUP BY id",
-    "answer_segments": f"""WITH a AS (SELECT id, conv_id % 3 AS m, substr(answer, 1, strpos(answer, chr(10) || CASE conv_id % 3 WHEN 0 THEN '[AC-2] says' WHEN 1 THEN 'See [SC' ELSE 'No cit' END)) AS head FROM {_ANSWERS}), p AS (
-SELECT id, unnest(CASE m WHEN 0 THEN [('text', head), ('citation', 'AC-2'), ('text', ' says so, and [ ia-5 ] too; [ac-02] again [not one].' || chr(10))]
- WHEN 1 THEN [('text', head || 'See '), ('citation', 'SC-28'), ('text', ' and '), ('citation', 'ZZ-9'), ('text', ' ('), ('citation', 'AC-2(3)'), ('text', ').' || chr(10))]
- ELSE [('text', head || 'No citation, but [brackets] and '), ('citation', 'AC-1'), ('text', '.' || chr(10))] END) AS s, unnest(range(0, CASE m WHEN 1 THEN 7 ELSE 3 END)) AS pos FROM a)
-SELECT id, CAST(pos AS INTEGER) AS pos, s[1] AS kind, s[2] AS text FROM p""",
-    "answer_lines": f"SELECT id, CAST(len(string_split(answer, chr(10))) AS INTEGER) AS n, true AS same FROM {_ANSWERS}",
+    "answer_segments": f"""WITH c AS (SELECT id, list(cited_as) AS cited FROM {_PARSED} GROUP BY id),
+a AS (SELECT id, regexp_split_to_array(answer, '\\[[^\\[\\]]+\\]') AS lit, regexp_extract_all(answer, '\\[([^\\[\\]]+)\\]', 1) AS inn, coalesce(cited, []) AS cited FROM {_ANSWERS} x LEFT JOIN c USING (id)),
+s AS (SELECT id, string_split(array_to_string(list_transform(range(1, len(lit) + 1), lambda i: lit[i] || CASE WHEN i > len(inn) THEN '' WHEN list_contains(cited, inn[i]) THEN chr(1) || chr(2) || inn[i] || chr(1) ELSE '[' || inn[i] || ']' END), ''), chr(1)) AS runs FROM a),
+r AS (SELECT id, unnest(list_filter(runs, lambda x: x <> '')) AS run, unnest(range(len(list_filter(runs, lambda x: x <> '')))) AS pos FROM s)
+SELECT id, CAST(pos AS INTEGER) AS pos, CASE WHEN run[1] = chr(2) THEN 'citation' ELSE 'text' END AS kind, CASE WHEN run[1] = chr(2) THEN substr(run, 2) ELSE run END AS text FROM r""",
+    "answer_lines": f"SELECT id, CAST(len(answer) - len(replace(answer, chr(10), '')) + 1 AS INTEGER) AS n, array_to_string(string_split(answer, chr(10)), chr(10)) = answer AS same FROM {_ANSWERS}",
     "prompt_render": _TOP + f"""SELECT q_id, '{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[D-' || vec_id || E']\\n' || text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: what about ' || q_id || '?' AS prompt
 FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 3 GROUP BY q_id""",
     "request_key": f"SELECT id, key FROM {_KEYS}",
@@ -218,9 +237,13 @@ SELECT 'record' AS what, count(*) AS n FROM k WHERE key NOT IN (SELECT key FROM
     "same_questions": f"WITH k AS (SELECT * FROM {_Q}) SELECT *, missing = 0 AND extra = 0 AS same FROM (SELECT count(DISTINCT question) AS missing, CAST(0 AS BIGINT) AS extra FROM k WHERE question NOT IN (SELECT question FROM k WHERE reply IS NOT NULL))",
     "upsert_merge": "SELECT doc_id, n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2025-01-01' END AS created FROM documents",
     "stale_delete": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "provenance_check": "SELECT * FROM (VALUES ('a', NULL), ('b', 'name'), ('c', 'revision'), ('d', 'dimensions'), ('e', 'chunker')) AS t(id, failure)",
-    "manifest_compare": "SELECT name, state, CAST(rank AS INTEGER) AS rank, CAST(kinds AS INTEGER) AS kinds FROM (VALUES ('catalog', 'identity', 0, 2), ('prompt', 'digest', 0, 1), ('chunks', 'appeared', 3, 2), ('lost', 'gone', 5, 0)) AS t(name, state, rank, kinds)",
-    "ledger_drift": "SELECT * FROM (VALUES (2, 'changed'), (3, 'pending'), (9, 'ahead')) AS t(version, state)",
+    "provenance_check": "SELECT p_partkey, CASE WHEN p_partkey % 2 > 0 AND p_name <> 'm' THEN 'name' WHEN p_partkey % 3 = 0 THEN 'revision' WHEN p_size <= 25 THEN 'dimensions' WHEN p_type = 'SMALL' THEN 'chunker' END AS failure FROM part",
+    "manifest_compare": f"""WITH e AS (SELECT p_partkey AS k, p_brand AS identity, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS made, CASE p_partkey % {len(_KINDS)} {" ".join(f"WHEN {n} THEN {x}::VARCHAR[]" for n, x in enumerate(_KINDS))} END AS kinds,
+  CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS seen, CASE WHEN p_partkey % 7 > 0 THEN CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END END AS now FROM part)
+SELECT * FROM (SELECT 'e' || k AS name, CASE WHEN made IS NULL AND now IS NOT NULL THEN 'appeared' WHEN made IS NOT NULL AND now IS NULL THEN 'gone' WHEN identity <> seen THEN 'identity' WHEN made <> now THEN 'digest' END AS state,
+  CAST(CASE WHEN list_contains(kinds, 'corpus') THEN 0 WHEN list_contains(kinds, 'queries') THEN 1 WHEN list_contains(kinds, 'generation') THEN 2 WHEN list_contains(kinds, 'judge') THEN 3 WHEN list_contains(kinds, 'counts') THEN 4 ELSE 5 END AS INTEGER) AS rank, CAST(len(kinds) AS INTEGER) AS kinds FROM e) WHERE state IS NOT NULL""",
+    "ledger_drift": "SELECT * FROM (SELECT p_partkey AS version, CASE WHEN p_partkey % 5 > 0 AND p_partkey % 3 = 0 THEN 'pending' WHEN p_partkey % 5 = 0 AND p_partkey % 3 > 0 THEN 'ahead' WHEN p_partkey % 5 > 0 AND p_partkey % 7 = 0 AND p_name <> p_type THEN 'changed' END AS state FROM part) WHERE state IS NOT NULL",
+    "schema_health": "SELECT max(p_partkey) = 7 AS healthy, 7 AS expected, max(p_partkey) AS applied FROM part",
     "ordered_digest": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) SELECT source, sha256(string_agg(i || chr(31) || doc_id || chr(31) || coalesce(lang, '') || chr(31) || n_chars || chr(30), '' ORDER BY i)) AS digest FROM r GROUP BY source",
     "answer_end_to_end": f"""WITH docs AS (SELECT doc_id, 'AC-' || (doc_id % 9 + 1) AS label, text FROM documents), corpus AS (SELECT *, {_axes('text')} AS e FROM docs),
 asked AS (SELECT id AS q_id, conv_id, question, reply IS NOT NULL AS answered FROM {_Q} WHERE conv_id % 20 = 0), qs AS (SELECT *, {_axes('question')} AS q FROM asked),

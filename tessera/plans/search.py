@@ -98,6 +98,6 @@ SQL = {
 m AS (SELECT q_id, k, relevant, (SELECT count(*) FROM r WHERE r.q_id = n.q_id AND rank <= k AND label = q_label) AS found,
   (SELECT min(rank) FROM r WHERE r.q_id = n.q_id AND rank <= k AND label = q_label) AS first FROM n, (SELECT unnest([1, 3, 5, 10]) AS k))
 SELECT k, round(avg(found / relevant), 6) AS recall, round(avg(found / k), 6) AS precision, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM m GROUP BY k""",
-    "vector_normalise": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, 1.0::DOUBLE AS length, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first FROM v",
+    "vector_normalise": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(u, u)), 6) AS length, round(u[1], 5) AS first FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v)",
     "vector_widths": "SELECT CAST(min(len(embedding)) AS INTEGER) AS least, CAST(max(len(embedding)) AS INTEGER) AS most, CAST(4 * sum(len(embedding)) AS BIGINT) AS bytes FROM embeddings",
 }

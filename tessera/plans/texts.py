@@ -8,32 +8,36 @@ from tessera.functions import text as T
 from tessera.operators import catalog, maintenance
 from tessera.operators.encoders import word_count
 
-#: Fixed cases: what is an identifier, and what isn't.
-IDENTIFIERS = ["  AC-2  ", "ac2", "AC 2", "Ac-2", "AC-2.3", "ac-02(3)", "AC 2 (3)", "ac-2 (03)", "AC-02.3", "AC-99", "ac-2.14", "ac-2(99)", "zz-1", "ZZ-1(1)", "", "   ", "AC", "access control", "ac-2 accounts", "see AC-2", "2", "AC-2(3", "AC-2 3)", "ac-23)", "AC-2(3))", "AC-2()"]
-PARTS = ["ac-2.3_smt.a", "ac-2_obj", "ac-2", "ac-2_", "_smt.a"]
 CONTROLS = ["ac-1", "ac-2", "ac-2.3", "ia-5", "ia-5.1", "sc-28"]
 PUNCTUATED = ". \u00a0 \t, x\u00a0 ;\n \n\n\n\ny"
 
 
-def _values(spark, rows: list[str], column: str = "text"):
-    return spark.createDataFrame([(x,) for x in rows], f"{column} string")
+def _cases(spark, d):
+    """``k, text``: identifiers in all notations, some damaged, made of each part's key; see ``_CASES``."""
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.expr(_CASE).alias("text"))
+
+
+def _known(spark, d):
+    """Controls by canonical identifier: a seventh of all that the cases can name."""
+    return spark.read.parquet(f"{d}/part.parquet").filter("p_partkey % 7 = 0").select(F.expr(_CANONICAL).alias("id")).distinct()
 
 
 def canonical_id(spark, d):
-    return _values(spark, IDENTIFIERS).select("text", T.canonical_id(F.col("text")).alias("canonical"))
+    return _cases(spark, d).select("k", "text", T.canonical_id(F.col("text")).alias("canonical"))
 
 
 def control_of_part(spark, d):
-    return _values(spark, PARTS).select("text", T.control_of_part(F.col("text")).alias("control"), T.whole_part(F.col("text")).alias("suffix"))
+    tail = F.element_at(F.array(*map(F.lit, ["_smt.a", "_obj", "", "_", "_a_b"])), (F.col("k") % 5 + 1).cast("int"))
+    parts = _cases(spark, d).select("k", F.concat("text", tail).alias("text"))
+    return parts.select("k", "text", T.control_of_part(F.col("text")).alias("control"), T.whole_part(F.col("text")).alias("suffix"))
 
 
 def published_forms(spark, d):
-    return _values(spark, CONTROLS, "id").select("id", F.posexplode(T.published_forms(F.col("id"))).alias("pos", "form"))
+    return _known(spark, d).select("id", F.posexplode(T.published_forms(F.col("id"))).alias("pos", "form"))
 
 
 def identifier_resolve(spark, d):
-    asked = _values(spark, IDENTIFIERS)
-    return catalog.resolve(asked, _values(spark, CONTROLS, "id")).select("text", "canonical", "resolved")
+    return catalog.resolve(_cases(spark, d), _known(spark, d)).select("k", "text", "canonical", "resolved")
 
 
 def whitespace_normalise(spark, d):
@@ -56,7 +60,7 @@ def _parameters(spark, d):
     values = F.when(n % 5 == 0, F.array(F.col("p_brand"), F.col("p_type"))).otherwise(none.cast("array<string>"))
     choices = F.when(n % 5 == 1, F.array(F.col("p_brand"), F.col("p_type"))).when(n % 25 == 2, F.array().cast("array<string>")).otherwise(none.cast("array<string>"))
     label = F.when(n % 5 == 3, F.concat(F.when(n % 2 == 0, "organization-defined ").otherwise(""), F.lower("p_name")))
-    guide = F.when(n % 5 == 4, F.concat(F.lower("p_name"), F.lit(" ; .")))
+    guide = F.when(n % 5 == 4, F.array(F.lit(" ;."), F.concat(F.lower("p_name"), F.lit(" ; ."))))
     shown = T.rendered_parameter(values, F.when(n % 2 == 0, "one-or-more").otherwise("one"), choices, label, guide)
     return part.select(F.concat(F.lit("p_"), n.cast("string")).alias("param"), n.alias("id"), shown.alias("rendered"))
 
@@ -135,24 +139,29 @@ def repeated_texts(spark, d):
     return maintenance.duplicates(spark.read.parquet(f"{d}/documents.parquet").select(F.sha2("text", 256).alias("sha256")), "sha256")
 
 
-def _list(rows: list[str], column: str = "text") -> str:
-    quoted = ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
-    return f"(SELECT * FROM (VALUES {quoted}) AS t({column}))"
-
-
-_ID = r"^\s*([A-Za-z]{2})\s*[-_ ]?\s*(\d{1,3})\s*(?:\(\s*(\d{1,3})\s*\)|\.(\d{1,3}))?\s*$"
+#: Family, number and enhancement of a part's key; the same words for Spark and for DuckDB.
+_FAMILY, _NUMBER, _EXTRA = "substring('acausciapm', CAST(k % 5 AS INT) * 2 + 1, 2)", "CAST(k % 40 + 1 AS STRING)", "CAST(k % 3 AS STRING)"
+_CANONICAL = f"{_FAMILY} || '-' || {_NUMBER} || CASE WHEN k % 3 = 0 THEN '' ELSE '.' || {_EXTRA} END".replace("k %", "p_partkey %")
+#: Notations by the key's remainder: what stands between family and number, and around the enhancement. The last ones are none.
+_NOTATIONS = [("-", "(", ")"), (" ", " (", ")"), ("", ".", ""), ("_", ". ", " "), (" - ", "( ", " )"), ("-0", "(0", ")"), ("-", " .", ""), ("-", "(", ""), ("--", ".", ""), ("-", "", ")")]
+_CASE = "CASE k % 11 " + " ".join(f"WHEN {n} THEN {'upper' if n % 2 else ''}({_FAMILY}) || '{a}' || {_NUMBER} || CASE WHEN k % 3 = 0 THEN '' ELSE '{b}' || {_EXTRA} || '{c}' END" for n, (a, b, c) in enumerate(_NOTATIONS)) + " ELSE 'see ' || p_name END"
+_CASE = _CASE.replace("k %", "p_partkey %")
 
 
-def _canonical(x: str) -> str:
-    g = lambda n: f"regexp_extract({x}, '{_ID}', {n})"
-    extra = f"coalesce(nullif({g(3)}, ''), nullif({g(4)}, ''))"
-    return f"CASE WHEN regexp_matches({x}, '{_ID}') THEN lower({g(1)}) || '-' || TRY_CAST({g(2)} AS INTEGER) || coalesce('.' || TRY_CAST({extra} AS INTEGER), '') END"
+def _numbers(text: str, n: int) -> str:
+    return f"CAST(list_filter(regexp_split_to_array({text}, '[^0-9]+'), lambda x: x <> '')[{n}] AS INTEGER)"
 
 
+#: By hand, without the pattern under test: digits only, and what is left of the text without them.
+_PARTED = r"regexp_replace(regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g'), ' ', '', 'g')"
+CANON = f"""CASE WHEN regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#$') THEN left(lower(trim(text)), 2) || '-' || {_numbers('text', 1)}
+  WHEN regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#\.#$') OR regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#\(#\)$') THEN left(lower(trim(text)), 2) || '-' || {_numbers('text', 1)} || '.' || {_numbers('text', 2)} END"""
+_CASES = f"(SELECT p_partkey AS k, {_CASE.replace('AS STRING', 'AS VARCHAR')} AS text FROM part)"
+_KNOWN = f"(SELECT DISTINCT {_CANONICAL.replace('AS STRING', 'AS VARCHAR')} AS id FROM part WHERE p_partkey % 7 = 0)"
 _FORMS = """SELECT id, unnest([id, fam || '-' || num || CASE WHEN ext = '' THEN '' ELSE '(' || ext || ')' END,
   fam || '-' || lpad(num, 2, '0') || CASE WHEN ext = '' THEN '' ELSE '(' || lpad(ext, 2, '0') || ')' END,
   lower(fam) || '-' || lpad(num, 2, '0') || CASE WHEN ext = '' THEN '' ELSE '.' || lpad(ext, 2, '0') END]) AS form, unnest([0, 1, 2, 3]) AS pos
-FROM (SELECT id, upper(split_part(id, '-', 1)) AS fam, regexp_extract(id, '-(\\d+)', 1) AS num, regexp_extract(id, '\\.(\\d+)$', 1) AS ext FROM """ + _list(CONTROLS, "id") + ")"
+FROM (SELECT id, upper(split_part(id, '-', 1)) AS fam, regexp_extract(id, '-(\\d+)', 1) AS num, regexp_extract(id, '\\.(\\d+)$', 1) AS ext FROM """ + _KNOWN + ")"
 _SPACED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' +([;,.:])', '\1', 'g'), '[ \t\r\f\x0b]+(\n|$)', '\1', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
 _PARAMS = """(SELECT p_partkey AS id, 'p_' || p_partkey AS param, CASE
   WHEN p_partkey % 5 = 0 THEN p_brand || ', ' || p_type
@@ -168,13 +177,15 @@ _CHUNKS = f"""(SELECT doc_id AS id, doc_id || ':' || path AS chunk_id, path AS p
 
 QUERIES = {f.__name__: f for f in (canonical_id, control_of_part, published_forms, identifier_resolve, whitespace_normalise, preview, script_checksum, slot_render, marker_resolve, chunk_assemble, part_path_counts, length_distribution, truncation_counts, token_count, tree_flatten, catalog_counts, count_differences, class_order, repeated_texts)}
 SQL = {
-    "canonical_id": f"SELECT text, {_canonical('text')} AS canonical FROM {_list(IDENTIFIERS)}",
-    "control_of_part": f"SELECT text, CASE WHEN regexp_matches(text, '_.') AND {_canonical("split_part(text, '_', 1)")} IS NOT NULL THEN {_canonical("split_part(text, '_', 1)")} END AS control, nullif(substr(text, strpos(text, '_') + 1), CASE WHEN strpos(text, '_') = 0 THEN text ELSE '' END) AS suffix FROM {_list(PARTS)}",
+    "canonical_id": f"SELECT k, text, {CANON} AS canonical FROM {_CASES}",
+    "control_of_part": f"""WITH p AS (SELECT k, text || CASE k % 5 WHEN 0 THEN '_smt.a' WHEN 1 THEN '_obj' WHEN 2 THEN '' WHEN 3 THEN '_' ELSE '_a_b' END AS whole FROM {_CASES}),
+c AS (SELECT k, whole, split_part(whole, '_', 1) AS text, CASE WHEN contains(whole, '_') THEN nullif(substr(whole, strpos(whole, '_') + 1), '') END AS suffix FROM p)
+SELECT k, whole AS text, CASE WHEN suffix IS NOT NULL THEN {CANON} END AS control, suffix FROM c""",
     "published_forms": f"SELECT id, pos, form FROM ({_FORMS})",
-    "identifier_resolve": f"""WITH f AS (SELECT DISTINCT lower(form) AS form, id FROM ({_FORMS})), a AS (SELECT text, {_canonical('text')} AS canonical FROM {_list(IDENTIFIERS)})
-SELECT text, canonical, coalesce(f.id, c.id) AS resolved FROM a LEFT JOIN f ON lower(trim(text)) = form LEFT JOIN {_list(CONTROLS, 'id')} c ON c.id = canonical""",
+    "identifier_resolve": f"""WITH f AS (SELECT DISTINCT lower(form) AS form, id FROM ({_FORMS})), a AS (SELECT k, text, {CANON} AS canonical FROM {_CASES})
+SELECT k, text, canonical, coalesce(f.id, c.id) AS resolved FROM a LEFT JOIN f ON lower(trim(text)) = form LEFT JOIN {_KNOWN} c ON c.id = canonical""",
     "whitespace_normalise": "SELECT doc_id, " + _SPACED.format(x="replace(replace(text, '. ', '. ' || chr(160) || ' ' || chr(9) || ', x' || chr(160) || ' ;' || chr(10) || ' ' || repeat(chr(10), 4) || 'y'), chr(160), ' ')") + " AS text FROM documents",
-    "preview": r"SELECT doc_id, CASE WHEN length(x) <= 240 THEN x ELSE regexp_extract(substr(x, 1, 237), '^(.*)\s\S*$', 1) || ' ...' END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)",
+    "preview": r"SELECT doc_id, CASE WHEN length(x) <= 240 THEN x ELSE CASE WHEN strpos(substr(x, 1, 237), ' ') = 0 THEN '...' ELSE left(x, 237 - strpos(reverse(substr(x, 1, 237)), ' ')) || ' ...' END END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM documents)",
     "script_checksum": "SELECT item_id, sha256(text) AS checksum FROM benchmark",
     "slot_render": f"SELECT id, rendered FROM {_PARAMS}",
     "marker_resolve": f"""SELECT id, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Policy ' ELSE 'within (' END || rendered || ' and ' || rendered ||
@@ -186,8 +197,8 @@ SELECT lang, max(n) AS n, max(n_chars) AS largest, max(n_chars) FILTER (i = leas
     "truncation_counts": r"""WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM documents)
 SELECT w2 AS window, count(*) FILTER (words > w2) AS cut, round(100.0::DOUBLE * count(*) FILTER (words > w2) / count(*), 1) AS percent FROM w, (SELECT unnest([256, 512, 8192]) AS w2) GROUP BY w2""",
     "token_count": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS tokens FROM documents",
-    "tree_flatten": f"""WITH RECURSIVE t AS (SELECT root, '00000' AS path, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, replace('{TREE}', 'ac', f)::JSON AS node FROM (VALUES (0, 'ac'), (1, 'au'), (2, 'cm')) AS r(root, f)
-UNION ALL SELECT root, path || '.' || lpad(CAST(i AS VARCHAR), 5, '0'), depth + 1, node->>'id', json_extract(node, '$.parts[' || i || ']') FROM (SELECT *, unnest(range(0, CAST(json_array_length(node, '$.parts') AS BIGINT))) AS i FROM t))
+    "tree_flatten": f"""WITH RECURSIVE t AS (SELECT root, '0' AS path, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, replace('{TREE}', 'ac', f)::JSON AS node FROM (VALUES (0, 'ac'), (1, 'au'), (2, 'cm')) AS r(root, f)
+UNION ALL SELECT root, path || '.' || lpad(CAST(i AS VARCHAR), 9, '0'), depth + 1, node->>'id', json_extract(node, '$.parts[' || i || ']') FROM (SELECT *, unnest(range(0, CAST(json_array_length(node, '$.parts') AS BIGINT))) AS i FROM t))
 SELECT root, path, depth, parent, node->>'id' AS id, node->>'prose' AS prose FROM t""",
     "catalog_counts": "SELECT count(*) FILTER (doc_id % 3 <> 0) AS base, count(*) FILTER (doc_id % 3 = 0) AS enhancements, count(*) FILTER (quality = 0) AS withdrawn, count(*) FILTER (quality <> 0) AS live FROM labels",
     "count_differences": """SELECT * FROM (SELECT 'rows' AS field, count(*) AS expected, count(*) FILTER (quality = 1) AS actual FROM labels

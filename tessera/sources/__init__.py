@@ -18,7 +18,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, sha256`` of each file, bytes as they are."""
+    """``path, size, sha256`` of each file, bytes as they are. A file is one row, so one of 2 GB or more fails the query: tables
+    are written in smaller files, and ``maintenance.ranged_digest`` digests rows instead."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
