@@ -209,9 +209,10 @@ def parse(source: str) -> tuple:
         pos = m.end()
     if pos < len(source):
         pieces.append(("text", source[pos:]))
-    body, rest, closed = _body(pieces, 0, ())
-    assert rest == len(pieces) and closed is None
-    return body
+    for kind, value in pieces:
+        if kind == "text" and (left := re.search(r"\{[{%#]", value)):
+            raise TemplateError(f"a tag that isn't closed: {value[left.start() : left.start() + 20]!r}")
+    return _body(pieces, 0, ())[0]
 
 
 def _body(pieces: list, at: int, ends: tuple[str, ...]) -> tuple[tuple, int, _Tokens | None]:

@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import width
+from tessera.llm.common import long_rows, width
 
 LAST = "\U0010ffff"
-#: Keys sampled for each range; with 200 the largest range is within a few tenths of the mean.
-SAMPLES = 200
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -83,16 +81,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id",
     with equal host and path; rules with a null field are ignored; an empty table gives no rows. Other columns of
     either table are not read.
     """
-    spark, parts = pages.sparkSession, width(pages.sparkSession)
+    long_rows(pages.sparkSession)
+    parts = width(pages.sparkSession)
     read = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("u"))
     read = read.select("page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     read = read.withColumn("at", F.concat(reversed_host(F.col("host")), F.lit("\x00"), "path", F.lit("\x00"), F.hex(F.xxhash64(F.col("page_id")))))
     known = rules.select("host", "path", "verdict").dropna().distinct().withColumn("at", reversed_host(F.col("host")))
 
-    rows = read.count()
-    sample = read.select("at").sample(min(1.0, SAMPLES * parts / max(1, rows)), seed=7) if rows > SAMPLES * parts else read.select("at")
-    keys = sorted(x.at for x in sample.collect())  # about SAMPLES for each partition, whatever the size of the table
-    splits = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    # the ranges that the engine itself draws for sorting, of which the driver sees one key each
+    ranged = read.select("at").repartitionByRange(parts, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("at"))
+    splits = sorted(x.at for x in ranged.collect())[1:]
 
     @F.pandas_udf("int")
     def range_of(at: pd.Series) -> pd.Series:
