@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import forget, saved
 
 
 def _hooked(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hooked(both, True).filter("u > v").distinct()
-        edges = saved(_hooked(large, False).filter("u > v").distinct())
+        done, edges = edges, saved(_hooked(large, False).filter("u > v").distinct())
+        forget(done)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
