@@ -248,6 +248,19 @@ def resolve(asked: DataFrame, controls: DataFrame, column: str = "text") -> Data
     return found.withColumn("resolved", F.coalesce("by_form", "by_id")).drop("form", "by_form", "by_id")
 
 
+def known_controls(asked: DataFrame, controls: DataFrame, column: str = "id") -> DataFrame:
+    """``asked`` with ``known``: whether this is exactly a canonical identifier of a control. No other form counts."""
+    ids = controls.select(F.col("id").alias(column)).distinct().withColumn("known", F.lit(True))
+    return asked.join(ids, column, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def checked_count(rows: DataFrame, expected: int, what: str = "chunks") -> DataFrame:
+    """The rows, if there are as many as expected: the live controls of the pinned document."""
+    if (n := rows.count()) != expected:
+        raise ValueError(f"{n} {what}, not {expected}")
+    return rows
+
+
 def required_controls(asked: DataFrame, controls: DataFrame, column: str = "text") -> DataFrame:
     """``resolve`` where each must name a control; one that doesn't fails the query."""
     out = resolve(asked, controls, column)

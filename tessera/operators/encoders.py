@@ -40,6 +40,25 @@ def embed(rows: DataFrame, text: str, load: Callable[[], Encode], dimensions: in
     return rows.withColumn(out, run(F.col(text)))
 
 
+#: Makes a number of tokens for each text.
+Count = Callable[[list[str]], list[int]]
+
+
+def counted(rows: DataFrame, text: str, load: Callable[[], Count], out: str = "tokens") -> DataFrame:
+    """``rows`` with a number of tokens; the counter is loaded once in a worker and must give one number a text. Null texts are empty."""
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = load()
+        for b in batches:
+            n = count(list(b.fillna("")))
+            if len(n) != len(b):
+                raise ValueError(f"the counter gave {len(n)} numbers for {len(b)} texts")
+            yield pd.Series(n, index=b.index, dtype="int64")
+
+    return rows.withColumn(out, run(F.col(text)))
+
+
 def word_count(text: Column) -> Column:
     """A stand-in for a token counter: words between white space."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import answer_lines
-from tessera.operators.maintenance import unique
+from tessera.operators.maintenance import current, publish, unique
 
 RECORDING = "key string, purpose string, question string, control_ids array<string>, model string, model_version string, recorded_on date, usage_prompt_tokens int, usage_completion_tokens int, counted_prompt_tokens int, answer_lines array<string>"
 
@@ -111,6 +111,26 @@ def vectors_are_recorded(questions: DataFrame, stored: DataFrame, question: str
     return mine.join(theirs, "question", "left_anti").isEmpty() and theirs.join(mine, "question", "left_anti").isEmpty()
 
 
+def record_query_vectors(questions: DataFrame, encode, root: str, index: dict[str, object], question: str = "question", force: bool = False) -> bool:
+    """Encode and publish the vectors of all questions under ``root``, with the index in the rows; returns whether it did.
+
+    Nothing is done where exactly these questions are recorded by the model that ``index`` names, unless ``force``.
+    """
+    spark = questions.sparkSession
+    named = ("embedder_name", "embedder_revision", "dimensions")
+    try:
+        old = current(spark, root)
+        first = old.select(*named).first()
+        if not force and first is not None and all(first[c] == index[c] for c in named) and vectors_are_recorded(questions, old, question):
+            return False
+    except Exception as missing:  # nothing has been recorded
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    made = query_vectors(encode(questions.select(question)), int(index["dimensions"]), question)
+    publish(made.select("*", *(F.lit(index[c]).alias(c) for c in named)), root)
+    return True
+
+
 def recording_report(requests: DataFrame, recordings: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """``recorded, skipped, orphans, prompt_tokens, completion_tokens``, in one row.
 

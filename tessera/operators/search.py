@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,20 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vect
     return ranked.select("rank", key, (1.0 - F.col("distance")).alias("score"), F.lit(k).alias("k"))
 
 
+def retrieve(corpus: DataFrame, question: str, encode: Callable[[str], list[float]], width: int, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """The k nearest rows of a question: ``rank, score, k, question`` and all columns of the corpus but the vector.
+
+    Refused, in this order: k below 1, a blank question, an encoder of another width than the stored vectors', an empty corpus.
+    """
+    checked_k(k)
+    asked_question(question)
+    q = [float(x) for x in encode(question)]
+    if len(q) != width:
+        raise ValueError(f"the encoder gave a vector of width {len(q)}, not {width}")
+    found = top_k(corpus, corpus.sparkSession.createDataFrame([(q,)], "q array<double>"), k, key, vector, refuse_empty=True)
+    return corpus.drop(vector).join(F.broadcast(found), key).withColumn("question", F.lit(question))  # k rows
+
+
 def _nearest(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int, but_itself: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The k nearest rows of each piece of a batch, for each query.
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, catalog, maintenance, records, search
+from tessera.operators import answers, catalog, encoders, maintenance, records, search
 
 
 def catalog_of(controls, **top):
@@ -229,3 +229,25 @@ def test_digests(spark):
     assert {r.s: (r.ranges, r.digest) for r in maintenance.ranged_digest(df, "k", ["k", "x"], "s", 10).collect()} == want
     assert spark.range(1).select(T.multi_digest(F.lit("a"), F.lit(None))).first()[0] == sha(b"a\x1e\x1e")
     assert maintenance.schema_health(spark.createDataFrame([], "version int"), 3).first().applied is None
+
+
+def test_retrieve_count_and_look_up(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [0.0, 1.0])], "chunk_id string, text string, embedding array<float>")
+    got = search.retrieve(corpus, "why?", lambda _: [0.0, 2.0], 2, k=5).orderBy("rank").collect()
+    assert [(r.chunk_id, r.text, r["rank"], r.k, r.question) for r in got] == [("b", "y", 1, 5, "why?"), ("a", "x", 2, 5, "why?")] and got[0].score == pytest.approx(1.0)
+    for bad, message in ((lambda: search.retrieve(corpus, " ", lambda _: [0.0], 2, k=0), "at least 1"), (lambda: search.retrieve(corpus, " ", lambda _: [0.0], 2), "blank"), (lambda: search.retrieve(corpus, "q", lambda _: [0.0], 2), "of width 1"), (lambda: search.retrieve(corpus.limit(0), "q", lambda _: [0.0, 1.0], 2), "empty")):
+        with pytest.raises(ValueError, match=message):
+            bad()
+    texts = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    assert {r.id: r.tokens for r in encoders.counted(texts, "text", lambda: lambda some: [len(t.split()) for t in some]).collect()} == {1: 2, 2: 0}
+    with pytest.raises(Exception, match="the counter gave"):
+        encoders.counted(texts, "text", lambda: lambda some: [1, 2, 3]).collect()
+    controls = spark.createDataFrame([("ac-2",)], "id string")
+    assert {r.id: r.known for r in catalog.known_controls(spark.createDataFrame([("ac-2",), ("AC-2",), (None,)], "id string"), controls).collect()} == {"ac-2": True, "AC-2": False, None: False}
+    assert catalog.checked_count(controls, 1).count() == 1
+    with pytest.raises(ValueError, match="1 chunks, not 2"):
+        catalog.checked_count(controls, 2)
+    asked, index, root = spark.createDataFrame([("b",), ("a",)], "question string"), {"embedder_name": "m", "embedder_revision": "r", "dimensions": 1}, str(tmp_path / "q")
+    encode = lambda df: df.withColumn("embedding", F.array(F.length("question").cast("float")))
+    assert [records.record_query_vectors(asked, encode, root, index), records.record_query_vectors(asked, encode, root, index)] == [True, False]
+    assert records.record_query_vectors(asked, encode, root, index, force=True) and records.record_query_vectors(asked.limit(1), encode, root, index) and records.record_query_vectors(asked.limit(1), encode, root, {**index, "embedder_revision": "s"})
