@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera import sources
 from tessera.functions import text as T
-from tessera.functions.vectors import norm
 from tessera.operators import answers, encoders, maintenance, search
 from tessera.plans.texts import CANON, CONTROLS
 

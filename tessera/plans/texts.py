@@ -154,7 +154,7 @@ def _numbers(text: str, n: int) -> str:
 
 #: By hand, without the pattern under test: digits only, and what is left of the text without them.
 _PARTED = r"regexp_replace(regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g'), ' ', '', 'g')"
-CANON = f"""CASE WHEN regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#$') THEN left(lower(trim(text)), 2) || '-' || {_numbers('text', 1)}
+CANON = rf"""CASE WHEN regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#$') THEN left(lower(trim(text)), 2) || '-' || {_numbers('text', 1)}
   WHEN regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#\.#$') OR regexp_matches({_PARTED}, '^[a-z][a-z][-_]?#\(#\)$') THEN left(lower(trim(text)), 2) || '-' || {_numbers('text', 1)} || '.' || {_numbers('text', 2)} END"""
 _CASES = f"(SELECT p_partkey AS k, {_CASE.replace('AS STRING', 'AS VARCHAR')} AS text FROM part)"
 _KNOWN = f"(SELECT DISTINCT {_CANONICAL.replace('AS STRING', 'AS VARCHAR')} AS id FROM part WHERE p_partkey % 7 = 0)"
