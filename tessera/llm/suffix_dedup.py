@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, documents, long_rows, schema_of
 from tessera.llm.suffix_array import BLOCK, Store, blocks, suffix_array
