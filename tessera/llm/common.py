@@ -53,16 +53,56 @@ def saved(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+    out._saved_at = tracked(spark, path, out)
     return out
 
 
+#: Folders that are to be removed, each with a weak reference to the relation that reads it, and whose they are.
+_TRACKED: dict[str, tuple[SparkSession, object]] = {}
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def tracked(spark: SparkSession, path: str, reader: DataFrame | None = None) -> str:
+    """The path, which is removed when nothing can read it any more.
+
+    That is when the driver has let go of the relation that ``reader`` reads it by, which every plan made of it holds, and at the
+    latest when the session's JVM ends. Without a reader it is the end of the JVM, or ``forget_path``. What has been let go since
+    is removed on the way.
+    """
+    fs, place = _place(spark, path)
+    fs.deleteOnExit(place)
+    sweep(spark)
+    if reader is not None:
+        relation = reader._jdf.queryExecution().analyzed().relation()
+        _TRACKED[path] = (spark, spark._jvm.java.lang.ref.WeakReference(relation))
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the saved tables of this session that no plan reads any more."""
+    for path, (owner, reference) in list(_TRACKED.items()):
+        if owner is not spark:
+            if owner.sparkContext._jsc is None:  # it has ended, and its tables with it
+                del _TRACKED[path]
+        elif reference.refersTo(None):
+            forget_path(spark, path)
+
+
+def forget_path(spark: SparkSession, path: str) -> None:
+    _TRACKED.pop(path, None)
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
+    fs.cancelDeleteOnExit(place)
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables that ``saved`` made and that nothing is still to be computed from."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._saved_at
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        forget_path(df.sparkSession, df._saved_at)
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
