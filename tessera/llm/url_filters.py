@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import long_rows, width
 
-LAST = "\U0010ffff"
-
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -97,7 +95,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, page_id: str = "page_id",
         return pd.Series([bisect.bisect_right(splits, x) for x in at], dtype="int32")
 
     urls = read.withColumn("kind", F.lit(1)).withColumn("verdict", F.lit(None).cast("string")).withColumn("part", range_of("at"))
-    spread = known.withColumn("part", F.explode(F.sequence(range_of("at"), range_of(F.concat("at", F.lit(LAST))))))
+    # no key with a rule's prefix lies behind the prefix with its last dot replaced by the next character
+    after = F.concat(F.expr("substring(at, 1, length(at) - 1)"), F.lit("/"))
+    spread = known.withColumn("part", F.explode(F.sequence(range_of("at"), range_of(after))))
     spread = spread.select(F.lit(None).cast("long").alias("page_id"), "host", "path", "at", F.lit(0).alias("kind"), "verdict", "part")
     sorted_rows = urls.unionByName(spread).repartition(parts, "part").sortWithinPartitions("part", "at", "kind", "path")
 

@@ -249,3 +249,16 @@ def test_quality_rules_are_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = quality_rules.clean_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
+
+
+# ---- 9: a host's label may be any character
+
+
+def test_url_rules_hold_for_the_last_characters(spark):
+    from tessera.llm import url_filters
+
+    labels = ["\U0010ffff", "\U0010ffff" * 3, "\U0010fffe", "z", "￿", "."]
+    pages = [(i, f"http://{labels[i % 6]}{i % 7}.org/a{i}") for i in range(400)] + [(400 + i, f"http://{labels[i % 6]}.example.org/es/{i}") for i in range(100)] + [(500, "http://org/")]
+    df = spark.createDataFrame(pages, "page_id long, url string").repartition(3)
+    found = {r.page_id: r.rule for r in url_filters.filter_urls(df, spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")).collect()}
+    assert found == {i: "example.org/es/" if 400 <= i < 500 else "org/" for i in range(501)}
