@@ -5,6 +5,8 @@ Patterns are ASCII: ``\\d`` and letters don't match other scripts' digits or let
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +39,20 @@ def control_of_part(x: Column) -> Column:
     return F.when((at > 0) & (F.length(x) > at), canonical_id(F.substring(x, F.lit(1), at - 1)))
 
 
+#: Characters whose full case folding isn't their lower case, with what they fold to, as Python's Unicode tables have it.
+FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c.lower()}
+
+
+def casefolded(x: Column) -> Column:
+    """Full Unicode case folding, character by character: ``Straße`` and ``STRASSE`` are one."""
+    folds = F.from_json(F.lit(json.dumps(FOLDS)), "map<string,string>")
+    each = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)."), 0), lambda c: F.coalesce(F.try_element_at(folds, c), F.lower(c)))
+    return F.when(x.rlike(r"\A[\x00-\x7f]*\z"), F.lower(x)).otherwise(F.array_join(each, ""))
+
+
 def form_key(x: Column) -> Column:
-    """The key of a published form: stripped, in lower case; null if nothing is left."""
-    return F.nullif(F.lower(stripped(x)), F.lit(""))
+    """The key of a published form: stripped and case-folded; null if nothing is left."""
+    return F.nullif(casefolded(stripped(x)), F.lit(""))
 
 
 def published_forms(canonical: Column) -> Column:
@@ -60,10 +73,13 @@ def slot(label: Column) -> Column:
 
 
 def rendered_parameter(values: Column, how_many: Column, choices: Column, label: Column, guidelines: Column) -> Column:
-    """Values, else a selection, else the label, else the first guideline that says something, else a general blank."""
-    selection = F.concat(F.lit("[selection ("), F.replace(how_many, F.lit("-"), F.lit(" ")), F.lit("): "), F.array_join(choices, "; "), F.lit("]"))
+    """Values, else a selection, else the label, else the first guideline that says something, else a general blank.
+
+    Choices and guidelines have no markers any more: they are stripped here, after their markers are resolved.
+    """
+    selection = F.concat(F.lit("[selection ("), F.replace(how_many, F.lit("-"), F.lit(" ")), F.lit("): "), F.array_join(F.transform(choices, stripped), "; "), F.lit("]"))
     selection = F.when(F.size(choices) == 0, F.lit("[organization-defined selection]")).otherwise(selection)
-    said = F.transform(guidelines, lambda x: stripped(F.regexp_replace(x, r"[;. ]+$", "")))
+    said = F.transform(guidelines, lambda x: stripped(F.regexp_replace(x, r"[;. ]+\z", "")))
     advice = F.get(F.filter(said, lambda x: x != ""), F.lit(0))
     return (
         F.when(F.size(values) > 0, F.array_join(values, ", "))

@@ -24,11 +24,11 @@ def stale(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def unique(rows: DataFrame, *key: str, what: str = "repeated") -> DataFrame:
-    """The rows; a key that stands more than once fails the query."""
-    once = rows.groupBy(*key).agg(F.count("*").alias("__n"))
-    joined = rows.join(once, list(key))
-    first = F.col(key[-1])
-    return joined.withColumn(key[-1], F.when(F.col("__n") == 1, first).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), first.cast("string"))))).select(*rows.columns)
+    """The rows; a key that stands more than once fails the query. Rows are dealt by the key once, and read once."""
+    last = F.col(f"`{key[-1]}`")
+    counted = rows.withColumn("__n", F.count("*").over(Window.partitionBy(*(f"`{k}`" for k in key))))
+    refused = F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(last.cast("string"), F.lit("null"))))
+    return counted.withColumn(key[-1], F.when(F.col("__n") == 1, last).otherwise(refused)).select(*(f"`{c}`" for c in rows.columns))
 
 
 def publish(df: DataFrame, root: str) -> str:

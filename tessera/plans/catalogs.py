@@ -22,9 +22,9 @@ def _controls(spark, d) -> DataFrame:
     none = F.lit(None).cast("string")
     props = F.array(prop("label", F.concat(F.lit("0"), key), "zero-padded"), prop("label", F.concat(F.lit("XX-"), key)), prop("sort-id", F.concat(F.lit("xx-"), F.lpad(key, 9, "0"))), prop("status", F.when(k % 7 == 3, "withdrawn").otherwise("live")))
     param = F.struct(
-        F.concat(F.lit("p_"), key).alias("id"), F.when(k % 4 == 2, F.col("p_name")).alias("label"), F.when(k % 4 == 0, F.array("p_brand", "p_type")).alias("values"),
-        F.when(k % 4 == 1, F.struct(F.when(k % 8 == 1, "one-or-more").alias("how-many"), F.array("p_type", F.concat(F.lit("as "), _marker("up"))).alias("choice"))).alias("select"),
-        F.when(k % 4 == 3, F.array(F.struct(F.lit(" ; ").alias("prose")), F.struct(F.concat("p_name", F.lit(";. ")).alias("prose")))).alias("guidelines"),
+        F.concat(F.lit("p_"), key).alias("id"), F.when(k % 8 == 2, F.concat("p_name", F.lit(" "), _marker())).when(k % 8 == 6, F.col("p_name")).alias("label"), F.when(k % 4 == 0, F.array("p_brand", "p_type")).alias("values"),
+        F.when(k % 4 == 1, F.struct(F.when(k % 8 == 1, "one-or-more").alias("how-many"), F.array(F.concat(F.lit("  "), F.col("p_type"), F.lit(" ")), F.concat(F.lit("as "), _marker("up"), F.lit("\n"))).alias("choice"))).alias("select"),
+        F.when(k % 4 == 3, F.array(F.struct(F.lit(" ; ").alias("prose")), F.struct(F.when(k % 8 == 3, F.concat(F.lit(" "), _marker("up"), F.lit(" ;. "))).otherwise(F.concat("p_name", F.lit(";. "))).alias("prose")))).alias("guidelines"),
     )
     part = lambda name, id_, prose, label=none, parts=None: [id_.alias("id"), F.lit(name).alias("name"), prose.alias("prose"), F.when(label.isNotNull(), F.array(prop("label", label))).alias("props"), *([parts.alias("parts")] if parts is not None else [])]
     leaf = F.struct(*part("item", F.concat(F.lit("xx-"), key, F.lit("_smt.a")), F.concat(F.lit("use  "), _marker(), F.lit(" daily")), F.lit("a.")))
@@ -34,7 +34,7 @@ def _controls(spark, d) -> DataFrame:
     unread = F.struct(*part("assessment", none, F.lit("not read"), none, F.array(empty)))
     parts = F.when(k % 2 == 0, F.array(other, unread, statement)).otherwise(F.array(statement, other, unread))
     rows = spark.read.parquet(f"{d}/part.parquet").withColumn("k", F.col("p_partkey")).withColumn("up", F.greatest(F.col("k") - F.col("k") % 4, F.lit(0)))
-    # a parameter that is a selection names the one of its block of four that has values
+    # a parameter that is a selection, or has guidelines, names the one of its block of four that has values
     return rows.select("k", F.struct(F.concat(F.lit("xx-"), key).alias("id"), F.col("p_name").alias("title"), props.alias("props"), F.array(param).alias("params"), parts.alias("parts")).alias("c"))
 
 
@@ -46,7 +46,7 @@ def catalog_documents(spark, d) -> DataFrame:
     second = below(all_.filter("k % 3 = 1").join(third, "k", "left")).select((F.col("k") - 1).alias("k"), F.col("c").alias("inner"))
     first = below(all_.filter("k % 3 = 0").join(second, "k", "left"))
     group = first.groupBy(F.floor(F.col("k") / GROUP).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("c").alias("c")))), lambda x: x["c"]).alias("controls"))
-    body = F.concat(F.lit('{"id":"g'), F.col("g").cast("string"), F.lit('","title":"Group '), F.col("g").cast("string"), F.lit('","controls":['), F.array_join("controls", ","), F.lit("]}"))
+    body = F.concat(F.lit('{"id":"g'), F.col("g").cast("string"), F.lit('","title":"Group '), F.col("g").cast("string"), F.lit('","parts":[{"name":"overview","prose":"About these.","parts":[{"name":"item"}]}],"controls":['), F.array_join("controls", ","), F.lit("]}"))
     root = group.select(F.floor(F.col("g") * GROUP / ROOT).alias("root"), "g", body.alias("body")).groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "body"))), lambda x: x["body"]), ",").alias("groups"))
     head = F.concat(F.lit('{"catalog":{"uuid":"u'), F.col("root").cast("string"), F.lit('","metadata":{"title":"t","version":"1","last-modified":"2024-01-01","oscal-version":"1.1"},"groups":['), "groups", F.lit("]}}"))
     return root.select("root", F.parse_json(head).alias("document"))
@@ -73,8 +73,29 @@ def catalog_parts(spark, d):
 
 
 def parameter_render(spark, d):
-    shown = catalog.rendered(_tables(spark, d).parameters)
-    return shown.select(F.substring_index("param", "\x1f", 1).cast("long").alias("root"), F.substring_index("param", "\x1f", -1).alias("param"), "rendered")
+    return catalog.rendered(_tables(spark, d).parameters)
+
+
+def _named_documents(spark, d) -> DataFrame:
+    """Documents as controls whose labels have nothing to do with their ids."""
+    n = F.col("doc_id").cast("string")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return rows.select("doc_id", F.concat(F.lit("zz-"), n).alias("id"), F.concat(F.lit("Straße "), n).alias("label"), F.concat(F.upper("source"), F.lit("/"), n).alias("padded_label"), F.concat(F.lit("ΟΔΟΣ "), n, F.lit("ς")).alias("sort_id"), (F.col("n_chars") % 5 == 0).alias("withdrawn"))
+
+
+def control_index(spark, d):
+    """What names each document: the forms that it is published under, by their keys."""
+    return catalog.control_index(_named_documents(spark, d)).select("form", "id")
+
+
+def index_resolve(spark, d):
+    """A turn of a conversation asks for a document, in one of eight spellings; two of them name none."""
+    named = _named_documents(spark, d)
+    n = (F.col("conv_id") * 7 + F.col("turn")).cast("string")
+    said = ["STRASSE %s", "  straße %s\n", "zz-%s", "SRC3/%s", "οδοσ %sΣ", "ZZ-0%s", "strase %s", "Straße  %s"]
+    text = F.element_at(F.array(*(F.replace(F.lit(x), F.lit("%s"), n) for x in said)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    asked = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.alias("text"))
+    return catalog.resolve(asked, named).select("conv_id", "turn", "text", "resolved")
 
 
 def chunk_catalog(spark, d):
@@ -124,25 +145,31 @@ def multi_part_digest(spark, d):
 _K = "(SELECT *, p_partkey AS k FROM part)"
 _R = f"""(SELECT k, k // {ROOT} AS root, p_name, p_type, CASE k % 4 WHEN 0 THEN p_brand || ', ' || p_type
   WHEN 1 THEN '[selection (' || CASE WHEN k % 8 = 1 THEN 'one or more' ELSE 'one' END || '): ' || p_type || '; as ' || (SELECT q.p_brand || ', ' || q.p_type FROM part q WHERE q.p_partkey = k - 1) || ']'
-  ELSE '[organization-defined ' || p_name || ']' END AS rendered FROM {_K})"""
+  WHEN 3 THEN CASE WHEN k % 8 = 3 THEN '[organization-defined ' || (SELECT q.p_brand || ', ' || q.p_type FROM part q WHERE q.p_partkey = k - 3) || ']' ELSE '[organization-defined ' || p_name || ']' END
+  ELSE '[organization-defined ' || p_name || CASE WHEN k % 8 = 2 THEN ' {{{{ insert: param, p_' || k || ' }}}}' ELSE '' END || ']' END AS rendered FROM {_K})"""
 _SAID = "CASE WHEN k % 5 = 0 THEN NULL ELSE p_type END"
-QUERIES = {f.__name__: f for f in (catalog_metadata, catalog_groups, parent_propagation, catalog_parts, parameter_render, chunk_catalog, resolution_digest, catalog_totals, query_vector_rows, encoder_with_recordings, recording_report, ranged_digest, multi_part_digest)}
+_NAMED = "(SELECT doc_id, 'zz-' || doc_id AS id, unnest(['zz-' || doc_id, 'strasse ' || doc_id, lower(source) || '/' || doc_id, 'οδοσ ' || doc_id || 'σ']) AS form FROM documents)"
+QUERIES = {f.__name__: f for f in (catalog_metadata, catalog_groups, parent_propagation, catalog_parts, parameter_render, control_index, index_resolve, chunk_catalog, resolution_digest, catalog_totals, query_vector_rows, encoder_with_recordings, recording_report, ranged_digest, multi_part_digest)}
 SQL = {
     "catalog_metadata": f"SELECT root, 'u' || root AS uuid, 't' AS title, '1' AS version, '2024-01-01' AS last_modified, '1.1' AS oscal_version, CAST(count(DISTINCT k // {GROUP}) AS INTEGER) AS n_groups FROM (SELECT k, k // {ROOT} AS root FROM {_K}) GROUP BY root",
     "catalog_groups": f"SELECT DISTINCT k // {ROOT} AS root, 'g' || (k // {GROUP}) AS group_id, 'Group ' || (k // {GROUP}) AS title FROM {_K}",
     "parent_propagation": f"""SELECT k // {ROOT} AS root, 'g' || (k // {GROUP}) AS group_id, 'xx-' || k AS id, p_name AS title, 'XX-' || k AS label, '0' || k AS padded_label, 'xx-' || lpad(CAST(k AS VARCHAR), 9, '0') AS sort_id,
   k % 7 = 3 AS withdrawn, 'xx-' || CASE WHEN k % 3 = 0 THEN k ELSE k - 1 END AS base_id, k % 3 > 0 AS is_enhancement FROM {_K}""",
-    "catalog_parts": f"SELECT k // {ROOT} AS root, 'xx-' || k AS control_id, CAST(7 AS BIGINT) AS parts, CAST(4 AS BIGINT) AS inner_parts, CAST(3 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS said, 'a.' AS label FROM {_K}",
+    "catalog_parts": f"SELECT k // {ROOT} AS root, 'xx-' || k AS control_id, CAST(7 AS BIGINT) AS parts, CAST(4 AS BIGINT) AS inner_parts, CAST(3 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS said, 'a.' AS label FROM {_K} UNION ALL SELECT k // {ROOT}, NULL, 2 * count(DISTINCT k // {GROUP}), count(DISTINCT k // {GROUP}), count(DISTINCT k // {GROUP}), NULL FROM {_K} GROUP BY 1",
     "parameter_render": f"SELECT root, 'p_' || k AS param, rendered FROM {_R}",
+    "control_index": f"SELECT form, id FROM {_NAMED}",
+    "index_resolve": f"""WITH a AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS c, CAST(conv_id * 7 + turn AS VARCHAR) AS n FROM conversations),
+t AS (SELECT *, CASE c WHEN 0 THEN 'STRASSE ' || n WHEN 1 THEN '  straße ' || n || chr(10) WHEN 2 THEN 'zz-' || n WHEN 3 THEN 'SRC3/' || n WHEN 4 THEN 'οδοσ ' || n || 'Σ' WHEN 5 THEN 'ZZ-0' || n WHEN 6 THEN 'strase ' || n ELSE 'Straße  ' || n END AS text FROM a)
+SELECT conv_id, turn, t.text, CASE WHEN c IN (0, 1, 2, 4) OR c = 3 AND source = 'src3' OR c = 5 AND length(n) < 3 THEN 'zz-' || doc_id END AS resolved FROM t LEFT JOIN documents ON CAST(doc_id AS VARCHAR) = n""",
     "chunk_catalog": f"""SELECT root, 'xx-' || k || ':smt' || CASE WHEN said IS NULL THEN '' ELSE '+guidance' END AS chunk_id, 'xx-' || k AS control_id, 'xx-' || CASE WHEN k % 3 = 0 THEN k ELSE k - 1 END AS base_control_id, 'XX-' || k AS control_label, p_name AS title,
   'smt' || CASE WHEN said IS NULL THEN '' ELSE '+guidance' END AS part_path, 'XX-' || k || ' ' || p_name || E'\\n\\nControl:\\nDo ' || rendered || E'.\\na. use ' || rendered || ' daily' || CASE WHEN said IS NULL THEN '' ELSE E'\\n\\nDiscussion:\\n' || said END AS text
 FROM (SELECT *, {_SAID} AS said FROM {_R}) WHERE k % 7 <> 3""",
-    "resolution_digest": f"""WITH p AS (SELECT root, k, unnest(CASE WHEN k % 2 = 0 THEN [0, 2, 4, 5] ELSE [0, 1, 3, 5] END) AS n, unnest(CASE WHEN k % 2 = 0 THEN [said, 'not read', stm, leaf] ELSE [stm, leaf, said, 'not read'] END) AS prose
+    "resolution_digest": f"""WITH p AS (SELECT root, k, unnest(range(7)) AS n, unnest(CASE WHEN k % 2 = 0 THEN [coalesce(said, ''), '', 'not read', '', stm, leaf, ''] ELSE [stm, leaf, '', coalesce(said, ''), '', 'not read', ''] END) AS prose
   FROM (SELECT *, {_SAID} AS said, 'Do ' || rendered || '.' AS stm, 'use ' || rendered || ' daily' AS leaf FROM {_R})),
-c AS (SELECT root, k, sha256(string_agg('xx-' || k || chr(31) || n || chr(31) || prose || chr(30), '' ORDER BY n)) AS digest FROM p WHERE prose IS NOT NULL GROUP BY root, k)
+c AS (SELECT root, k, sha256(string_agg('xx-' || k || chr(31) || n || chr(31) || prose || chr(30), '' ORDER BY n)) AS digest FROM p GROUP BY root, k)
 SELECT CAST(root AS VARCHAR) AS root, sha256((SELECT string_agg(digest || chr(30), '' ORDER BY k) FROM c WHERE c.root = r.root) || (SELECT string_agg('p_' || k || chr(31) || rendered || chr(30), '' ORDER BY 'p_' || k) FROM {_R} x WHERE x.root = r.root)) AS digest
 FROM (SELECT DISTINCT root FROM {_R}) r""",
-    "catalog_totals": f"SELECT k // {ROOT} AS root, count(*) FILTER (k % 3 = 0) AS base, count(*) FILTER (k % 3 > 0) AS enhancements, count(*) FILTER (k % 7 = 3) AS withdrawn, count(*) FILTER (k % 7 <> 3) AS live, 7 * count(*) AS parts, count(*) AS parameters FROM {_K} GROUP BY 1",
+    "catalog_totals": f"SELECT k // {ROOT} AS root, count(*) FILTER (k % 3 = 0) AS base, count(*) FILTER (k % 3 > 0) AS enhancements, count(*) FILTER (k % 7 = 3) AS withdrawn, count(*) FILTER (k % 7 <> 3) AS live, 7 * count(*) + 2 * count(DISTINCT k // {GROUP}) AS parts, count(*) AS parameters FROM {_K} GROUP BY 1",
     "query_vector_rows": "SELECT 'what is ' || vec_id || '?' AS question, row_number() OVER (ORDER BY 'what is ' || vec_id || '?') - 1 AS row, CAST(len(embedding) AS INTEGER) AS width FROM embeddings",
     "encoder_with_recordings": "SELECT CAST(vec_id AS VARCHAR) AS question, vec_id % 3 > 0 AS recorded, CAST(CASE WHEN vec_id % 3 > 0 THEN len(embedding) ELSE 1 END AS INTEGER) AS width FROM embeddings",
     "recording_report": """WITH t AS (SELECT sha256(text) AS key, conv_id, length(text) AS n FROM conversations WHERE role = 'user'), b AS (SELECT key FROM t WHERE conv_id % 3 = 0),

@@ -109,13 +109,16 @@ def token_count(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", word_count(F.col("text")).alias("tokens"))
 
 
-TREE = '{"id":"ac","parts":[{"id":"ac-1","prose":"first","parts":[{"id":"ac-1.1","prose":"inner"},{"id":"ac-1.2"}]},{"id":"ac-2","prose":"","parts":[{"id":"ac-2.1","prose":"last"}]}]}'
-
-
 def tree_flatten(spark, d):
-    roots = spark.createDataFrame([(n, TREE.replace("ac", f)) for n, f in enumerate(["ac", "au", "cm"])], "root int, json string").select("root", F.parse_json("json").alias("node"))
+    """Regions with their nations, and those with their customers' segments, as JSON trees."""
+    nation, customer = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "customer"))
+    ordered = lambda items: F.array_sort(F.collect_list(items))
+    leaves = customer.select("c_nationkey", "c_mktsegment").distinct().groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(ordered(F.struct(F.col("c_mktsegment").alias("id"))).alias("parts"))
+    inner = nation.join(leaves, "n_nationkey", "left").groupBy("n_regionkey").agg(ordered(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("prose"), "parts")).alias("parts"))
+    roots = spark.read.parquet(f"{d}/region.parquet").join(inner, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    node = F.to_json(F.struct(F.col("r_name").alias("id"), F.lit("").alias("prose"), "parts"))
     get = lambda p: F.expr(f"try_variant_get(node, '{p}', 'string')")
-    return catalog.flatten(roots, "parts").select("root", "path", "depth", "parent", get("$.id").alias("id"), get("$.prose").alias("prose"))
+    return catalog.flatten(roots.select(F.col("r_regionkey").alias("root"), F.parse_json(node).alias("node")), "parts").select("root", "path", "depth", "parent", get("$.id").alias("id"), get("$.prose").alias("prose"))
 
 
 def catalog_counts(spark, d):
@@ -197,9 +200,11 @@ SELECT lang, max(n) AS n, max(n_chars) AS largest, max(n_chars) FILTER (i = leas
     "truncation_counts": r"""WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM documents)
 SELECT w2 AS window, count(*) FILTER (words > w2) AS cut, round(100.0::DOUBLE * count(*) FILTER (words > w2) / count(*), 1) AS percent FROM w, (SELECT unnest([256, 512, 8192]) AS w2) GROUP BY w2""",
     "token_count": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS tokens FROM documents",
-    "tree_flatten": f"""WITH RECURSIVE t AS (SELECT root, '0' AS path, 0 AS depth, CAST(NULL AS VARCHAR) AS parent, replace('{TREE}', 'ac', f)::JSON AS node FROM (VALUES (0, 'ac'), (1, 'au'), (2, 'cm')) AS r(root, f)
-UNION ALL SELECT root, path || '.' || lpad(CAST(i AS VARCHAR), 9, '0'), depth + 1, node->>'id', json_extract(node, '$.parts[' || i || ']') FROM (SELECT *, unnest(range(0, CAST(json_array_length(node, '$.parts') AS BIGINT))) AS i FROM t))
-SELECT root, path, depth, parent, node->>'id' AS id, node->>'prose' AS prose FROM t""",
+    "tree_flatten": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY CAST(n_nationkey AS VARCHAR)) - 1 AS i FROM nation),
+c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer))
+SELECT r_regionkey AS root, '0' AS path, 0 AS depth, NULL AS parent, r_name AS id, '' AS prose FROM region
+UNION ALL SELECT n_regionkey, '0.' || lpad(CAST(i AS VARCHAR), 9, '0'), 1, r_name, CAST(n_nationkey AS VARCHAR), n_name FROM n JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT n_regionkey, '0.' || lpad(CAST(i AS VARCHAR), 9, '0') || '.' || lpad(CAST(j AS VARCHAR), 9, '0'), 2, CAST(n_nationkey AS VARCHAR), c_mktsegment, NULL FROM c JOIN n ON c_nationkey = n_nationkey""",
     "catalog_counts": "SELECT count(*) FILTER (doc_id % 3 <> 0) AS base, count(*) FILTER (doc_id % 3 = 0) AS enhancements, count(*) FILTER (quality = 0) AS withdrawn, count(*) FILTER (quality <> 0) AS live FROM labels",
     "count_differences": """SELECT * FROM (SELECT 'rows' AS field, count(*) AS expected, count(*) FILTER (quality = 1) AS actual FROM labels
 UNION ALL SELECT 'good', CAST(sum(quality) AS BIGINT), CAST(sum(quality) FILTER (quality = 1) AS BIGINT) FROM labels) WHERE expected <> actual""",

@@ -40,7 +40,7 @@ def test_catalog_walk(spark):
     assert [(r.name, r.depth, r.top_name, r.prose, r.label) for r in t.parts.orderBy("root", "path").collect()] == [("guidance", 0, "guidance", "g", None), ("statement", 0, "statement", None, None), ("item", 1, "statement", "x", "a."), ("item", 2, "statement", "y", None)]
     got = {r.param: (r.label, r["values"], r.how_many, r.choices, r.guidelines, r.alt_identifier) for r in t.parameters.collect()}
     assert got == {"p1": (None, ["v", "2"], None, None, [], None), "p2": (None, [], "one", ["a", "b"], [], None), "p3": (None, [], None, None, [" ; ", "say; "], "q")}
-    shown = {r.param.split("\x1f")[1]: r.rendered for r in catalog.rendered(t.parameters).collect()}
+    shown = {r.param: r.rendered for r in catalog.rendered(t.parameters).collect()}
     assert shown == {"p1": "v, 2", "p2": "[selection (one): a; b]", "p3": "[organization-defined say]"}
 
 
@@ -50,8 +50,8 @@ def test_catalog_walk(spark):
     (catalog_of([control("a", params=[{"id": "p"}]), control("b", params=[{"id": "p"}])]), "a parameter twice"),
 ])
 def test_catalogs_refused(spark, document, message):
-    t = tables(spark, document)
     with pytest.raises(Exception, match=message):
+        t = tables(spark, document)
         for df in (t.metadata, t.groups, t.controls, t.parts, t.parameters):
             df.collect()
 
@@ -251,3 +251,98 @@ def test_retrieve_count_and_look_up(spark, tmp_path):
     encode = lambda df: df.withColumn("embedding", F.array(F.length("question").cast("float")))
     assert [records.record_query_vectors(asked, encode, root, index), records.record_query_vectors(asked, encode, root, index)] == [True, False]
     assert records.record_query_vectors(asked, encode, root, index, force=True) and records.record_query_vectors(asked.limit(1), encode, root, index) and records.record_query_vectors(asked.limit(1), encode, root, {**index, "embedder_revision": "s"})
+
+
+# ---- a catalog's walk, parameters and index at their edges
+
+
+def _doc(*controls, parts=()):
+    return {"catalog": {"uuid": "u", "metadata": {"title": "t", "version": "1", "last-modified": "m", "oscal-version": "1"}, "groups": [{"id": "g", "title": "G", "parts": list(parts), "controls": list(controls)}]}}
+
+
+def _control(id_="ac-1", label="AC-1", padded="AC-01", sort_id="ac-01", status=None, **more):
+    props = [{"name": "label", "value": label}, {"name": "label", "class": "zero-padded", "value": padded}, {"name": "sort-id", "value": sort_id}, *([{"name": "status", "value": status}] if status else [])]
+    return {"id": id_, "title": "T", "props": [p for p in props if p["value"]], "parts": [{"name": "statement", "prose": "Do it."}], **more}
+
+
+def _tables(spark, *documents):
+    return catalog.catalog_tables(spark.createDataFrame([(n, json.dumps(x)) for n, x in enumerate(documents)], "root long, document string"))
+
+
+def test_parts_of_groups_and_one_walk(spark):
+    t = _tables(spark, _doc(_control(), parts=[{"id": "g_ovw", "name": "overview", "prose": "All.", "parts": [{"name": "item"}]}]))
+    assert [(r.control_id, r.name, r.depth, r.prose) for r in t.parts.orderBy("path").collect()] == [("ac-1", "statement", 0, "Do it."), (None, "overview", 0, "All."), (None, "item", 1, None)]
+    assert catalog.chunk_catalog(t).select("text").collect()[0].text == "AC-1 T\n\nControl:\nDo it."
+    for df in (t.controls, t.parts, catalog.chunk_catalog(t), catalog.resolution_digest(t)):
+        assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    for bad in (_doc(_control(), parts=[{"id": "x"}]), _doc(_control(), parts=["x"])):
+        with pytest.raises(Exception, match="a part (has no name|isn't an object)"):
+            _tables(spark, bad)
+    with pytest.raises(ValueError, match="two documents are 0"):
+        catalog.catalog_tables(spark.createDataFrame([(0, json.dumps(_doc(_control())))] * 2, "root long, document string"))
+
+
+def _shown(spark, *params):
+    t = _tables(spark, _doc(_control(params=list(params))))
+    return {r.param: r.rendered for r in catalog.rendered(t.parameters).collect()}
+
+
+def test_choices_and_guidelines_are_resolved_and_then_stripped(spark):
+    m = lambda x: "{{ insert: param, " + x + " }}"
+    got = _shown(
+        spark,
+        {"id": "v", "values": ["5 days."]}, {"id": "blank", "values": [" "]}, {"id": "lv", "values": ["see " + m("v")]}, {"id": "ll", "label": "time " + m("v")},
+        {"id": "c", "select": {"choice": ["  a ", "b\n", " " + m("v")]}}, {"id": "none", "select": {"how-many": "one-or-more", "choice": []}},
+        {"id": "g1", "guidelines": [{"prose": "within " + m("v")}]}, {"id": "g2", "guidelines": [{"prose": " " + m("blank") + " ;. "}, {"prose": "then this;\n"}, {"prose": m("nope")}]},
+        {"id": "g3", "guidelines": [{"prose": " ;. "}]}, {"id": "n", "select": {"how-many": "one-or-more", "choice": [m("c"), m("g1")]}}, {"id": "x"}, {"id": "o", "label": "Organization-defined thing"},
+    )
+    assert got == {
+        "v": "5 days.", "blank": " ", "lv": "see " + m("v"), "ll": "[organization-defined time " + m("v") + "]", "c": "[selection (one): a; b; 5 days.]", "none": "[organization-defined selection]",
+        "g1": "[organization-defined within 5 days]", "g2": "[organization-defined then this;]", "g3": "[organization-defined value]",
+        "n": "[selection (one or more): [selection (one): a; b; 5 days.]; [organization-defined within 5 days]]", "x": "[organization-defined value]", "o": "[Organization-defined thing]",
+    }
+
+
+def test_chains_of_parameters(spark):
+    link = lambda n, to: {"id": f"p{n}", "select": {"choice": ["{{ insert: param, p%s }}" % to]}}
+    chain = [{"id": "p0", "values": ["x"]}, *(link(n, n - 1) for n in range(1, 9))]
+    assert _shown(spark, *chain)["p8"] == "[selection (one): " * 8 + "x" + "]" * 8
+    for bad in ([*chain, link(9, 8)], [link(1, 2), link(2, 1)], [link(1, "nope")]):
+        with pytest.raises(ValueError, match="unknown, circular or too deep"):
+            _shown(spark, *bad)
+    deep = catalog.rendered(_tables(spark, _doc(_control(params=chain))).parameters)
+    flat = catalog.rendered(_tables(spark, _doc(_control(params=chain[:2]))).parameters)
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join")
+    assert joins(deep) == joins(flat) == 0
+
+
+@pytest.mark.parametrize(
+    ("controls", "match"),
+    [
+        ([_control(label=None)], "not all published forms: ac-1"), ([_control(), _control()], "a control twice: ac-1"), ([_control(), _control("ac-2", "ac-1", "AC-02", "ac-02")], "a form names two controls: ac-1 is ac-1 and ac-2"),
+        ([_control(), _control("ac-2", "AC-2", None, "ac-02", status="withdrawn")], "not all published forms: ac-2"), ([_control(label="Straße"), _control("ac-2", "STRASSE", "AC-02", "ac-02", status="withdrawn")], "a form names two controls: strasse"),
+    ],
+)
+def test_an_index_that_cannot_be_is_refused(spark, controls, match):
+    with pytest.raises(Exception, match=match):
+        catalog.chunk_catalog(_tables(spark, _doc(*controls)))
+
+
+def test_resolving_by_published_labels(spark):
+    rows = [("x-1", "Straße 7", "ſ-07", "k-07"), ("ac-2", "AC-2", "AC-02", "ac-02")]
+    controls = spark.createDataFrame(rows, "id string, label string, padded_label string, sort_id string")
+    index = catalog.control_index(controls)
+    asked = ["STRASSE 7", " straße 7\n", "S-07", "K-07", "x-1", "X-01", "ac-02(01)", "AC 2", "ac-02", "", " ", None, "strase 7"]
+    got = catalog.resolve(spark.createDataFrame([(n, t) for n, t in enumerate(asked)], "n int, text string"), controls, index=index).collect()
+    assert {r.n: r.resolved for r in got} == dict(enumerate(["x-1"] * 5 + [None, None, "ac-2", "ac-2", None, None, None, None]))
+    with pytest.raises(Exception, match="no such control: strase 7"):
+        catalog.required_controls(spark.createDataFrame([("strase 7",)], "text string"), controls, index=index).collect()
+
+
+def test_case_folding_is_that_of_python(spark):
+    import sys
+    from tessera.functions.text import casefolded
+
+    points = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    rows = spark.createDataFrame([(x + "a",) for x in points], "t string").select("t", casefolded(F.col("t")).alias("f")).collect()
+    assert [r.t for r in rows if r.f != r.t.casefold()] == []

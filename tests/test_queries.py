@@ -15,7 +15,7 @@ from tessera.operators.answers import answer_segments, json_string, parse_citati
 from tessera.operators.encoders import embed, seeded
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("conversations", "documents", "embeddings", "labels", "part", "benchmark", "region")
+TABLES = ("conversations", "documents", "embeddings", "labels", "part", "benchmark", "region", "nation", "customer")
 
 
 def _plain(v):
@@ -64,7 +64,7 @@ def test_unknown_marker_and_shared_form_fail(spark):
     with pytest.raises(Exception, match="no such parameter"):
         catalog.resolve_markers(prose, spark.createDataFrame([("a", "b")], "param string, rendered string")).collect()
     with pytest.raises(Exception, match="two controls"):
-        catalog.identity_forms(spark.createDataFrame([("ac-2",), ("AC-2",)], "id string")).collect()
+        catalog.control_index(spark.createDataFrame([("ac-2",), ("AC-2",)], "id string")).collect()
 
 
 def test_nested_markers(spark):
@@ -75,7 +75,7 @@ def test_nested_markers(spark):
             catalog.nested_parameters(spark.createDataFrame(bad, "param string, rendered string")).collect()
 
 
-@pytest.mark.parametrize(("text", "wanted"), [("Policy {{insert: param, p}} and following {{ insert: param, p }} ; and", "Policy X and following X; and"), ("{{ insert: param, p }}{{ insert: param, p }}", "XX"), ("[ {{ insert: param, p }} ]", "[X]"), ("[AC-25](#ac-25) . The policy", "[AC-25](#ac-25) . The policy"), ("", "")])
+@pytest.mark.parametrize(("text", "wanted"), [("Keep {{insert: param, p}} next to {{ insert: param, p }} ; or", "Keep X next to X; or"), ("{{ insert: param, p }}{{ insert: param, p }}", "XX"), ("[ {{ insert: param, p }} ]", "[X]"), ("[AB-1](#x) . Left as it is", "[AB-1](#x) . Left as it is"), ("", "")])
 def test_marker_seams(spark, text, wanted):
     prose = spark.createDataFrame([(1, text)], "id int, text string")
     assert catalog.resolve_markers(prose, spark.createDataFrame([("p", "X")], "param string, rendered string")).first().resolved == wanted
