@@ -1,17 +1,17 @@
-"""What the operators of this package share: shuffle width, saved stages, batch sizes and the tables they read."""
+"""What the operators of this package share: shuffle width, saved tables (see ``tessera.storage``), batch sizes and the tables they read."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import forget, forget_path, saved, shared_folder, sweep, tracked  # noqa: F401 - what the operators use
+
 #: Bytes and rows in one Arrow batch; texts can be megabytes long, so it is the bytes that bound a Python worker.
 ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def width(spark: SparkSession) -> int:
@@ -31,80 +31,6 @@ def long_rows(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints. Where it names none, as in tests, one beside the warehouse, which
-    all executors of a cluster see too."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-saved"
-
-
-def saved(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
-    """Cut the lineage: write the rows to a table of their own in the shared folder and read them again.
-
-    The table outlives any executor, and the shuffles that made it are given back as soon as it is written. Columns named as
-    ``distinct`` have few repeats, so no dictionaries are tried for them.
-    """
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").options(**{f"parquet.enable.dictionary#{c}": "false" for c in distinct}).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = tracked(spark, path, out)
-    return out
-
-
-#: Folders that are to be removed, each with a weak reference to the relation that reads it, and whose they are.
-_TRACKED: dict[str, tuple[SparkSession, object]] = {}
-
-
-def _place(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
-
-
-def tracked(spark: SparkSession, path: str, reader: DataFrame | None = None) -> str:
-    """The path, which is removed when nothing can read it any more.
-
-    That is when the driver has let go of the relation that ``reader`` reads it by, which every plan made of it holds, and at the
-    latest when the session's JVM ends. Without a reader it is the end of the JVM, or ``forget_path``. What has been let go since
-    is removed on the way.
-    """
-    fs, place = _place(spark, path)
-    fs.deleteOnExit(place)
-    sweep(spark)
-    if reader is not None:
-        relation = reader._jdf.queryExecution().analyzed().relation()
-        _TRACKED[path] = (spark, spark._jvm.java.lang.ref.WeakReference(relation))
-    return path
-
-
-def sweep(spark: SparkSession) -> None:
-    """Remove the saved tables of this session that no plan reads any more."""
-    for path, (owner, reference) in list(_TRACKED.items()):
-        if owner is not spark:
-            if owner.sparkContext._jsc is None:  # it has ended, and its tables with it
-                del _TRACKED[path]
-        elif reference.refersTo(None):
-            forget_path(spark, path)
-
-
-def forget_path(spark: SparkSession, path: str) -> None:
-    _TRACKED.pop(path, None)
-    fs, place = _place(spark, path)
-    fs.delete(place, True)
-    fs.cancelDeleteOnExit(place)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove tables that ``saved`` made and that nothing is still to be computed from."""
-    for df in tables:
-        forget_path(df.sparkSession, df._saved_at)
-
-
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names, whatever else the table holds: ``doc_id long, data
     binary``, the text in UTF-8; a null text is empty."""
