@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import forget, saved
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, created: str, now: Column) -> DataFrame:
     """The new rows, each with the time at which its key was first written. Old keys that aren't in ``new`` are gone."""
-    first = old.select(key, F.col(created).alias("__first"))
+    first = unique(old.select(key, F.col(created).alias("__first")), key, what="a stored key twice")
     return new.join(first, key, "left").withColumn(created, F.coalesce("__first", now)).drop("__first")
 
 
@@ -55,62 +57,79 @@ def current(spark, root: str) -> DataFrame:
 PROVENANCE = ["name", "revision", "dimensions", "chunker_version", "chunker_digest", "resolution_version", "catalog_sha256"]
 
 
-def ingest(chunks: DataFrame, vectors: DataFrame, root: str, provenance: dict[str, object], now: Column, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+def ingest(chunks: DataFrame, vectors: DataFrame, root: str, provenance: dict[str, object], now: Column, key: str = "chunk_id", vector: str = "embedding", expected: int | None = None) -> DataFrame:
     """Replace the corpus under ``root`` by chunks with their vectors, and tell what happened, in one row: ``written, deleted,
-    dimensions, vector_bytes, table_bytes, corpus_digest, previous_digest``.
+    dimensions, vector_bytes, table_bytes, corpus_digest, previous_digest, version, changed, touched``.
 
-    Refused before anything is published: no chunks, a key that repeats, a chunk without a vector, and vectors of another
-    width than ``provenance["dimensions"]``. Rows and provenance become current with one pointer: provenance is stored with
-    each row's version, as columns of a table of one row next to the rows.
+    Refused before anything is committed: no chunks, a key that repeats, a chunk without a vector, and vectors of another
+    width than ``provenance["dimensions"]``. Rows and provenance become current together, by one entry of the corpus's log, and
+    only buckets with a chunk that is new, changed or gone are written (see ``commits.merge``, also for ``expected``). The
+    digest is over the buckets' digests, each over its chunks' keys and vectors in key order, so no task sees all.
     """
+    from tessera.operators import commits
+
     spark, root, width = chunks.sparkSession, root.rstrip("/"), int(provenance["dimensions"])
     if missing := [c for c in PROVENANCE if c not in provenance]:
         raise ValueError(f"provenance lacks {missing}")
     joined = unique(chunks, key, what="a chunk twice").join(unique(vectors.select(key, vector), key, what="a vector twice"), key, "left")
     wrong = F.when(F.col(vector).isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(key)))).when(F.size(vector) != width, F.raise_error(F.format_string("a vector of width %d for %s", F.size(vector), F.col(key))))
-    new = joined.withColumn(vector, F.coalesce(wrong.cast(joined.schema[vector].dataType), F.col(vector)))
-    if new.isEmpty():
-        raise ValueError("no chunks")
+    new = saved(joined.withColumn(vector, F.coalesce(wrong.cast(joined.schema[vector].dataType), F.col(vector))))
     try:
-        old, before = current(spark, f"{root}/rows"), read_provenance(spark, root)
-    except Exception as missing:  # nothing has been published
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        old, before = new.limit(0).withColumn("created_at", now), None
-    stored = upsert(old, new, key, "created_at", now)
-    path = publish(stored, f"{root}/rows")
-    rows = spark.read.parquet(path)
-    deleted = stale(old, rows, key).count()
-    written = rows.count()
-    digest = corpus_digest(rows, key, vector).first()["digest"]
-    # the pointer of the provenance names the version of its rows
-    row = {**{c: provenance[c] for c in PROVENANCE}, "chunks": written, "corpus_digest": digest, "version": path}
-    stamped = spark.range(1).select(*(F.lit(v).alias(c) for c, v in row.items()), now.alias("ingested_at"))
-    publish(stamped, f"{root}/provenance")
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    report = [(written, deleted, width, written * width * 4, int(size), digest, before["corpus_digest"] if before else None)]
-    return spark.createDataFrame(report, "written long, deleted long, dimensions int, vector_bytes long, table_bytes long, corpus_digest string, previous_digest string")
-
-
-def read_provenance(spark, root: str):
-    """The one row of provenance of the current corpus; None where nothing was ingested."""
-    try:
-        rows = current(spark, f"{root.rstrip('/')}/provenance").collect()  # one row
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
-    if len(rows) != 1:
-        raise ValueError(f"{len(rows)} rows of provenance, not one")
-    return rows[0]
-
-
-def corpus_of(spark, root: str) -> DataFrame:
-    """The rows that the current provenance names, whatever has been written since."""
-    found = read_provenance(spark, root)
+        if new.isEmpty():
+            raise ValueError("no chunks")
+        before = commits.entry(spark, root)
+        facts = {c: provenance[c] for c in PROVENANCE} | {"ingested_at": spark.range(1).select(now.cast("string")).first()[0]}
+        by_bucket = lambda rows: corpus_digest(rows, key, vector, commits.BUCKET)
+        done = commits.merge(new, root, key, now, complete=True, facts=facts, digest=by_bucket, expected=expected)
+    finally:
+        forget(new)
+    paths = [p["path"] for p in commits.entry(spark, root, done["version"]).parts.values()]
+    size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
+    report = [(done["rows"], done["deleted"], width, done["rows"] * width * 4, int(size), done["digest"], before.digest if before else None, done["version"], done["changed"], done["touched"])]
+    return spark.createDataFrame(report, "written long, deleted long, dimensions int, vector_bytes long, table_bytes long, corpus_digest string, previous_digest string, version long, changed long, touched long")
+
+
+def read_provenance(spark, root: str, version: int | None = None):
+    """The provenance of the current corpus, or of a version, as a row with ``chunks, corpus_digest, version, ingested_at``; None
+    where nothing was ingested."""
+    from pyspark.sql import Row
+
+    from tessera.operators import commits
+
+    found = commits.entry(spark, root, version)
+    return None if found is None else Row(**found.facts, chunks=found.rows, corpus_digest=found.digest, version=found.version)
+
+
+def corpus_of(spark, root: str, version: int | None = None) -> DataFrame:
+    """The rows of the current corpus, or of a version."""
+    from tessera.operators import commits
+
+    return commits.table(spark, root, version)
+
+
+def verify_corpus(spark, root: str, pins: dict[str, object], key: str = "chunk_id", vector: str = "embedding") -> str | None:
+    """The first thing in which the stored corpus isn't what the pins say; None if it is as they say.
+
+    In order: whether there is one; each of PROVENANCE that ``pins`` names; ``chunks``, the live controls of the pinned
+    document, if it is named; vectors' widths; and the digests of the stored rows, computed anew, against the entry's.
+    """
+    from tessera.operators import commits
+
+    found = commits.entry(spark, root)
     if found is None:
-        raise ValueError("nothing was ingested")
-    return spark.read.parquet(found["version"])
+        return "nothing was ingested"
+    for c in PROVENANCE:
+        if c in pins and found.facts.get(c) != pins[c]:
+            return f"{c}: {found.facts.get(c)!r}, not {pins[c]!r}"
+    if "chunks" in pins and found.rows != pins["chunks"]:
+        return f"chunks: {found.rows}, not {pins['chunks']}"
+    rows = commits.table(spark, root).withColumn(commits.BUCKET, F.pmod(F.xxhash64(F.col(key)), F.lit(found.width)).cast("int"))
+    width = int(found.facts["dimensions"])
+    if odd := rows.filter(F.coalesce(F.size(vector) != width, F.lit(True))).select(key).first():
+        return f"a vector of another width: {odd[0]}"
+    now = {str(r[0]): r[1] for r in corpus_digest(rows, key, vector, commits.BUCKET).collect()}  # one a bucket
+    changed = sorted(int(b) for b in now.keys() | found.parts.keys() if now.get(b) != found.parts.get(b, {}).get("digest"))
+    return f"other rows than were ingested, in buckets {changed}" if changed else None
 
 
 def count_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:

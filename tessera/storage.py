@@ -47,7 +47,8 @@ def saved(df: DataFrame, distinct: Sequence[str] = (), by: Sequence[str] = ()) -
 _TRACKED: dict[str, tuple[SparkSession, object]] = {}
 
 
-def _place(spark: SparkSession, path: str):
+def place_of(spark: SparkSession, path: str):
+    """The file system that a path is on, and the path in it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
@@ -59,7 +60,7 @@ def tracked(spark: SparkSession, path: str, reader: DataFrame | None = None) ->
     latest when the session's JVM ends. Without a reader it is the end of the JVM, or ``forget_path``. What has been let go since
     is removed on the way.
     """
-    fs, place = _place(spark, path)
+    fs, place = place_of(spark, path)
     fs.deleteOnExit(place)
     sweep(spark)
     if reader is not None:
@@ -80,7 +81,7 @@ def sweep(spark: SparkSession) -> None:
 
 def forget_path(spark: SparkSession, path: str) -> None:
     _TRACKED.pop(path, None)
-    fs, place = _place(spark, path)
+    fs, place = place_of(spark, path)
     fs.delete(place, True)
     fs.cancelDeleteOnExit(place)
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, catalog, encoders, maintenance, records, search
+from tessera.operators import answers, catalog, commits, encoders, maintenance, records, search
 
 
 def catalog_of(controls, **top):
@@ -120,7 +120,9 @@ def test_ingest(spark, tmp_path):
     vectors = lambda *ids: spark.createDataFrame([(i, [1.0, float(n)]) for n, i in enumerate(ids)], "chunk_id string, embedding array<float>")
     assert maintenance.read_provenance(spark, root) is None
     first = maintenance.ingest(chunks("b", "a"), vectors("a", "b"), root, FROM, at(1)).first()
-    digest = hashlib.sha256(b"".join(i + b"\x1f" + struct.pack("<2f", 1.0, n) + b"\x1e" for n, i in enumerate((b"a", b"b")))).hexdigest()
+    body = {i: hashlib.sha256(i.encode() + b"\x1f" + struct.pack("<2f", 1.0, n) + b"\x1e").hexdigest() for n, i in enumerate("ab")}
+    bucket = {r.chunk_id: r.b for r in chunks("a", "b").selectExpr("chunk_id", "pmod(xxhash64(chunk_id), 64) b").collect()}
+    digest = hashlib.sha256("".join(f"{bucket[i]}\x1f{body[i]}\x1e" for i in sorted("ab", key=bucket.get)).encode()).hexdigest()
     assert (first.written, first.deleted, first.vector_bytes, first.corpus_digest, first.previous_digest) == (2, 0, 16, digest, None)
     again = maintenance.ingest(chunks("b", "c"), vectors("b", "c"), root, FROM, at(2)).first()
     assert (again.written, again.deleted, again.previous_digest) == (2, 1, digest)
@@ -346,3 +348,104 @@ def test_case_folding_is_that_of_python(spark):
     points = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
     rows = spark.createDataFrame([(x + "a",) for x in points], "t string").select("t", casefolded(F.col("t")).alias("f")).collect()
     assert [r.t for r in rows if r.f != r.t.casefold()] == []
+
+
+# ---- commits
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "k string, v long, x string")
+
+
+def _state(spark, root, version=None):
+    return {r.k: (r.v, r.x, r.created_at.day) for r in commits.table(spark, root, version).collect()}
+
+
+def _day(n):
+    return F.lit(datetime.datetime(2024, 1, n))
+
+
+def test_merges_write_what_changed(spark, tmp_path):
+    root = str(tmp_path / "t")
+    first = commits.merge(_rows(spark, *((f"k{n}", n, "a") for n in range(200))), root, "k", _day(1), buckets=16, facts={"of": "one"})
+    assert (first["version"], first["inserted"], first["touched"], first["rows"]) == (1, 200, 16, 200)
+    files = lambda: {p for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    before = files()
+    two = commits.merge(_rows(spark, ("k3", 3, "b"), ("new", 0, "c"), ("k4", 4, "a")), root, "k", _day(2), deletes=_rows(spark, ("k5", 0, ""), ("k999", 0, "")))
+    assert (two["inserted"], two["changed"], two["deleted"], two["unchanged"], two["rows"]) == (1, 1, 1, 198, 200) and two["touched"] <= 3
+    assert sum(p.stat().st_size for p in files() - before) < sum(p.stat().st_size for p in before) / 3
+    now = _state(spark, root)
+    assert now["k3"] == (3, "b", 1) and now["new"] == (0, "c", 2) and now["k4"] == (4, "a", 1) and "k5" not in now and len(now) == 200
+    assert len(_state(spark, root, 1)) == 200 and _state(spark, root, 1)["k3"] == (3, "a", 1)  # an old version is still whole
+    # the same again changes and writes nothing; the digest is that of a table written at once
+    same = commits.merge(commits.table(spark, root).drop("created_at"), root, "k", _day(3), complete=True)
+    assert (same["touched"], same["version"], same["digest"]) == (0, 3, two["digest"]) and commits.entry(spark, root).facts == {"of": "one"}
+    other = commits.merge(commits.table(spark, root).drop("created_at"), str(tmp_path / "u"), "k", _day(3), buckets=16)
+    assert other["digest"] == two["digest"]
+    gone = commits.merge(_rows(spark, ("k7", 7, "a")), root, "k", _day(4), complete=True)
+    assert (gone["deleted"], gone["rows"]) == (199, 1) and _state(spark, root) == {"k7": (7, "a", 1)}
+    assert commits.vacuum(spark, root) > 0 and _state(spark, root) == {"k7": (7, "a", 1)} and len(files()) == 1
+
+
+def test_commits_are_whole_and_one_writer_wins(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    assert commits.entry(spark, root) is None
+    with pytest.raises(ValueError, match="nothing was committed"):
+        commits.table(spark, root)
+    commits.merge(_rows(spark, ("a", 1, "x")), root, "k", _day(1), facts={"n": 1}, expected=0)
+    add, seen = commits._added, []
+
+    def slow(*args):  # before the entry is added, a reader sees the version before it; meanwhile another writer commits
+        seen.append((_state(spark, root), commits.entry(spark, root).facts))
+        if len(seen) == 1:
+            commits.merge(_rows(spark, ("b", 2, "y")), root, "k", _day(2), facts={"n": 2})
+        return add(*args)
+
+    monkeypatch.setattr(commits, "_added", slow)
+    with pytest.raises(commits.Conflict):
+        commits.merge(_rows(spark, ("a", 9, "z")), root, "k", _day(3), facts={"n": 3}, expected=1)
+    assert _state(spark, root) == {"a": (1, "x", 1), "b": (2, "y", 2)} and commits.entry(spark, root).facts == {"n": 2}
+    seen.clear()
+    done = commits.merge(_rows(spark, ("a", 9, "z")), root, "k", _day(3), facts={"n": 3})  # loses once, and goes on from the winner's
+    assert seen[0] == ({"a": (1, "x", 1), "b": (2, "y", 2)}, {"n": 2}) and done["version"] == 4
+    assert _state(spark, root) == {"a": (9, "z", 1), "b": (2, "y", 2)} and commits.entry(spark, root).facts == {"n": 3}
+    monkeypatch.setattr(commits, "_added", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError, match="crash"):
+        commits.merge(_rows(spark, ("q", 1, "q")), root, "k", _day(4), complete=True)
+    assert _state(spark, root) == {"a": (9, "z", 1), "b": (2, "y", 2)}
+
+
+def test_merges_refused_and_repeated(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for bad, match in (([("a", 1, "x"), ("a", 1, "x")], "a key twice"), ([(None, 1, "x")], "a null key")):
+        with pytest.raises(Exception, match=match):
+            commits.merge(_rows(spark, *bad), root, "k", _day(1))
+    commits.merge(_rows(spark, ("a", 5, "x"), ("b", 1, "x")), root, "k", _day(1), tag=("s", 0))
+    again = commits.merge(_rows(spark, ("a", 6, "y")), root, "k", _day(2), tag=("s", 0))
+    assert again["version"] == 1 and _state(spark, root)["a"] == (5, "x", 1)
+    commits.merge(_rows(spark, ("a", 4, "old"), ("b", 2, "new")), root, "k", _day(2), newer="v", tag=("s", 1))
+    assert _state(spark, root) == {"a": (5, "x", 1), "b": (2, "new", 1)}
+    with pytest.raises(ValueError, match="the table has the columns"):
+        commits.merge(spark.createDataFrame([("a", 1)], "k string, w long"), root, "k", _day(3))
+    with pytest.raises(ValueError, match="the table's key is k"):
+        commits.merge(_rows(spark, ("a", 1, "x")), root, "x", _day(3))
+    wide = commits.merge(spark.createDataFrame([("a", 1)], "k string, w long"), root, "k", _day(3), complete=True)
+    assert wide["changed"] == 1 and [tuple(r)[:2] for r in commits.table(spark, root).collect()] == [("a", 1)]
+
+
+def test_a_stored_corpus_is_held_against_its_pins(spark, tmp_path):
+    root = str(tmp_path / "c")
+    pins = {c: FROM[c] for c in ("name", "revision", "dimensions")} | {"chunks": 2}
+    assert maintenance.verify_corpus(spark, root, pins) == "nothing was ingested"
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    maintenance.ingest(chunks, vectors, root, FROM, _day(1))
+    assert maintenance.verify_corpus(spark, root, pins) is None
+    assert maintenance.verify_corpus(spark, root, pins | {"name": "other"}) == "name: 'm', not 'other'"
+    assert maintenance.verify_corpus(spark, root, pins | {"chunks": 3}) == "chunks: 2, not 3"
+    part = next(p["path"] for p in commits.entry(spark, root).parts.values())
+    changed = spark.read.parquet(part).withColumn("embedding", F.expr("transform(embedding, x -> x + 1)")).collect()
+    spark.createDataFrame(changed, spark.read.parquet(part).schema).write.mode("overwrite").parquet(part)
+    assert "other rows than were ingested" in maintenance.verify_corpus(spark, root, pins)
+    with pytest.raises(Exception, match="a stored key twice"):
+        maintenance.upsert(spark.createDataFrame([("a", 1), ("a", 2)], "k string, c int"), spark.createDataFrame([("a",)], "k string"), "k", "c", F.lit(3)).collect()
