@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import BRACKETED, canonical_id, stripped
 from tessera.operators.maintenance import unique
@@ -77,6 +81,27 @@ def request_key(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)
 
 
+@F.pandas_udf(StringType())
+def _sorted_json(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON of a struct, map, array or VARIANT that doesn't move when fields do: keys sorted at every level, no blanks, characters
+    beyond ASCII escaped, numbers in their shortest form that reads back the same, nulls kept; as Python's ``json.dumps`` writes it.
+
+    The engine writes the value (doubles so that they read back), and a worker sorts and writes it again, in batches. Numbers
+    that aren't finite have no form in JSON; the engine writes them as strings. Objects of strings alone need no worker: see
+    ``request_key``.
+    """
+    return _sorted_json(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def whole_request_key(fields: dict[str, Column]) -> Column:
+    """SHA-256 of ``canonical_json`` of an object with these fields, of any type and nested in any way."""
+    return F.sha2(canonical_json(F.struct(*(c.alias(n) for n, c in fields.items()))).cast("binary"), 256)
+
+
 def replay_all(requests: DataFrame, recordings: DataFrame, key: str = "key") -> DataFrame:
     """``replay`` where each request must have been recorded; one that wasn't fails the query."""
     out = replay(requests, recordings, key)

@@ -49,7 +49,7 @@ def flatten(nodes: DataFrame, children: str, levels: int = LEVELS) -> DataFrame:
     return out
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Catalog:
     """A catalog's documents as tables, all keyed by ``root``, the document: see ``catalog_tables``."""
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.storage import forget, saved
+from tessera.storage import forget, place_of, saved  # noqa: F401
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, created: str, now: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import answer_lines
 from tessera.operators.maintenance import current, publish, unique
+from tessera.sources.npy import read_npy, write_npy
+from tessera.storage import forget, place_of, saved
 
 RECORDING = "key string, purpose string, question string, control_ids array<string>, model string, model_version string, recorded_on date, usage_prompt_tokens int, usage_completion_tokens int, counted_prompt_tokens int, answer_lines array<string>"
 
@@ -35,8 +37,12 @@ def read_recordings(spark: SparkSession, folder: str, purpose: str | None = None
 
 
 def write_recordings(calls: DataFrame, folder: str) -> None:
-    """Add recordings, as a partitioned table of JSON lines by purpose; a key that stands twice fails."""
+    """Add recordings, as a partitioned table of JSON lines by purpose; a key that stands twice, or is stored already, fails before
+    anything is written. (``answering.record_generations`` has a table that can be written to again.)"""
     rows = unique(calls, "key", what="a key twice")
+    fs, place = place_of(calls.sparkSession, folder)
+    if fs.exists(place) and (again := rows.join(recorded_calls(calls.sparkSession, folder).select("key"), "key", "left_semi").first()):
+        raise ValueError(f"recorded already: {again['key']}")
     rows.write.mode("append").partitionBy("purpose").option("compression", "none").json(folder)
 
 
@@ -131,6 +137,50 @@ def record_query_vectors(questions: DataFrame, encode, root: str, index: dict[st
     return True
 
 
+def write_query_store(questions: DataFrame, folder: str, index: dict[str, object], question: str = "question", vector: str = "embedding") -> None:
+    """Write vectors by question as a matrix (``vectors.npy``, a folder of shards) and an index of which row is whose.
+
+    Rows follow the sorted questions. Refused: a question twice, a null one or vector, another width than ``index["dimensions"]``.
+    """
+    rows = saved(query_vectors(questions, int(index["dimensions"]), question, vector))
+    folder = folder.rstrip("/")
+    write_npy(rows.select("row", F.col("embedding").alias("vector")), f"{folder}/vectors.npy", int(index["dimensions"]))
+    facts = [F.lit(index[c]).alias(c) for c in ("embedder_name", "embedder_revision", "dimensions")]
+    rows.select(*facts, "question", "row").write.json(f"{folder}/index")
+    forget(rows)
+
+
+def read_query_store(spark: SparkSession, folder: str, name: str, revision: str, width: int) -> DataFrame:
+    """``question, row, embedding`` of a folder with ``vectors.npy``, a file or shards, and its index: ``index.json``, one document with a
+    list of ``queries``, or ``index``, a table of JSON lines.
+
+    Refused: no vectors or no index; an index that isn't one; vectors of a model of another name or revision or of other
+    dimensions; an array that can't be read, that isn't float32, or of another shape than the index says; rows that aren't
+    each one question's; a question twice.
+    """
+    folder = folder.rstrip("/")
+    one, many = (place_of(spark, f"{folder}/{x}") for x in ("index.json", "index"))
+    facts = ("embedder_name", "embedder_revision", "dimensions")
+    if one[0].exists(one[1]):
+        document = spark.read.text(f"{folder}/index.json", wholetext=True).select(F.try_parse_json("value").alias("d"))
+        get = lambda of, path, kind: F.expr(f"try_variant_get({of}, '$.{path}', '{kind}')")
+        head = [get("d", c, "string" if c != "dimensions" else "int").alias(c) for c in facts]
+        rows = document.select(*head, F.explode_outer(get("d", "queries", "array<variant>")).alias("q")).select(*facts, get("q", "question", "string").alias("question"), get("q", "row", "long").alias("row"))
+    elif many[0].exists(many[1]):
+        rows = spark.read.schema("embedder_name string, embedder_revision string, dimensions int, question string, row long").json(f"{folder}/index")
+    else:
+        raise ValueError(f"no recorded query vectors in {folder}")
+    broken = rows.filter(" or ".join(f"{c} is null" for c in (*facts, "question", "row"))).first()
+    if broken is not None or (first := rows.select(*facts).first()) is None:
+        raise ValueError(f"{folder}: not an index of query vectors")
+    stored = read_npy(spark, f"{folder}/vectors.npy").select("row", F.col("vector").alias("embedding"))
+    sizes = stored.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    if (n := rows.count()) != sizes["n"] or (n and sizes["width"] != first["dimensions"]):
+        raise ValueError(f"{folder}: an array of {sizes['n']} by {sizes['width']}, and an index of {n} by {first['dimensions']}")
+    both = rows.select("question", "row").join(stored, "row", "left").select("question", "row", "embedding")
+    return checked_query_vectors(both, first.asDict(), name, revision, width)
+
+
 def recording_report(requests: DataFrame, recordings: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """``recorded, skipped, orphans, prompt_tokens, completion_tokens``, in one row.
 
@@ -152,6 +202,20 @@ def to_record(requests: DataFrame, recordings: DataFrame, force: bool = False) -
     return requests if force else requests.join(recordings.select("key").distinct(), "key", "left_anti")
 
 
+#: Names that a log line has itself: fixed names.
+RESERVED = ("at", "level", "message", "error", "stack")
+
+
+def log_lines(events: DataFrame, now: Column, message: Column, level: Column | None = None, error: Column | None = None, stack: Column | None = None) -> DataFrame:
+    """Rows for ``write_json_lines``: ``at`` (ISO time in UTC), ``level, message``, the columns of ``events``, and ``error, stack`` where there is
+    one. A column with a name that a line has itself moves to ``field_<name>``, so that nothing is lost or overwritten."""
+    moved = [F.col(f"`{c}`").alias(f"field_{c}" if c in RESERVED else c) for c in events.columns]
+    at = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    none = F.lit(None).cast("string")
+    failed = none if error is None else error
+    return events.select(at.alias("at"), F.coalesce(none if level is None else level, F.when(failed.isNotNull(), "ERROR").otherwise("INFO")).alias("level"), message.alias("message"), *moved, failed.alias("error"), (none if stack is None else stack).alias("stack"))
+
+
 def answer_log(answers: DataFrame, now: Column, seconds: Column) -> DataFrame:
     """Rows to append to a log: ``at`` (ISO time in UTC), ``id, answered, citations, invalid, ms`` rounded to a tenth."""
     at = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -54,8 +54,12 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vect
 def retrieve(corpus: DataFrame, question: str, encode: Callable[[str], list[float]], width: int, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows of a question: ``rank, score, k, question`` and all columns of the corpus but the vector.
 
-    Refused, in this order: k below 1, a blank question, an encoder of another width than the stored vectors', an empty corpus.
+    Refused, in this order: an encoder of another width than the stored vectors' (one that says so in ``dimensions`` isn't
+    called for that), k below 1, a blank question, an empty corpus.
     """
+    said = getattr(encode, "dimensions", None)
+    if said is not None and said != width:
+        raise ValueError(f"the encoder gives vectors of width {said}, not {width}")
     checked_k(k)
     asked_question(question)
     q = [float(x) for x in encode(question)]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import sources
 from tessera.functions import text as T
-from tessera.operators import answers, encoders, maintenance, search
+from tessera.operators import answering, answers, encoders, maintenance, search
 from tessera.plans.texts import CANON, CONTROLS
 
 #: Synthetic answers: a turn's text with citations around it, by turn number.
@@ -79,6 +79,32 @@ def request_key(spark, d):
     return _keys(spark, d).select("id", "key")
 
 
+def _sampling():
+    """Numbers, a list, a null and an object within, by turn."""
+    turn = F.col("turn")
+    penalty = F.struct((turn * 1.5).cast("double").alias("presence"), F.when(turn % 2 == 0, 0.1).alias("frequency"))
+    return F.struct(((turn % 10) / F.lit(10.0)).cast("double").alias("temperature"), (256 * (turn + 1)).cast("long").alias("max_tokens"), F.array(F.lit("\n"), F.lit("é")).alias("stop"), F.lit(None).cast("long").alias("seed"), (turn % 2 == 0).alias("stream"), penalty.alias("penalty"))
+
+
+def whole_request_key(spark, d):
+    """Keys of whole requests: fields, numbers and lists, nested."""
+    fields = {"purpose": F.lit("answer"), "model": F.lit("m-1"), "model_version": F.lit("2"), "prompt": F.col("question"), "sampling": _sampling()}
+    return _questions(spark, d).select("id", answers.whole_request_key(fields).alias("key"))
+
+
+def answer_batch(spark, d):
+    """Every user turn answered from the benchmark's items: retrieved, prompted, keyed as a whole, replayed and checked."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("chunk_id"), F.concat(F.lit("ac-"), (F.col("item_id") % 9 + 1).cast("string")).alias("control_id"), "text")
+    corpus = items.withColumn("label", F.upper("control_id")).withColumn("embedding", encoders.keyword_axes(F.col("text"), _AXES))
+    turns = _questions(spark, d)
+    asked = answering.requests(turns.select(F.col("id").alias("q_id"), "question"), corpus, lambda q: q.withColumn("q", encoders.keyword_axes(F.col("question"), _AXES)), answering.Model("m-1", "2", F.struct(F.lit(0.5).alias("temperature"))), "answer", INSTRUCTIONS, 3, lambda p: p.withColumn("tokens", encoders.word_count(F.col("prompt"))))
+    said = turns.filter("reply is not null").select(F.col("id").alias("q_id"), F.concat(F.lit("See [AC-"), (F.col("conv_id") % 9 + 1).cast("string"), F.lit("] and [AC-99].")).alias("said"))
+    recordings = asked.join(said, "q_id").groupBy("key").agg(F.min("said").alias("said")).select("key", T.answer_lines(F.col("said")).alias("answer_lines"))
+    controls = spark.createDataFrame([(f"ac-{n}",) for n in range(1, 10)], "id string")
+    out = answering.answer_all(asked, recordings, controls)
+    return out.select("q_id", "key", "control_ids", F.col("counted_prompt_tokens").alias("tokens"), "answered", "decline", "n_citations", "invalid", F.transform("citations", lambda c: c["reason"]).alias("reasons"))
+
+
 def _recordings(spark, d):
     """The assistant's replies as recordings of the questions."""
     k = _keys(spark, d).filter("reply is not null").groupBy("key").agg(F.min("reply").alias("answer"))
@@ -213,7 +239,7 @@ def _axes(x: str) -> str:
     return f"CASE WHEN {' + '.join(hits)} = 0 THEN [1 / sqrt(3), 1 / sqrt(3), 1 / sqrt(3)] ELSE [{', '.join(f'{h} / sqrt({" + ".join(hits)})' for h in hits)}] END"
 
 
-QUERIES = {f.__name__: f for f in (citation_parse, citation_check, citation_counts, answer_segments, answer_lines, prompt_render, request_key, replay_or_decline, recorded_vector_lookup, orphans, skip_recorded, same_questions, upsert_merge, stale_delete, provenance_check, manifest_compare, ledger_drift, schema_health, ordered_digest, file_hash, answer_end_to_end)}
+QUERIES = {f.__name__: f for f in (citation_parse, citation_check, citation_counts, answer_segments, answer_lines, prompt_render, request_key, whole_request_key, answer_batch, replay_or_decline, recorded_vector_lookup, orphans, skip_recorded, same_questions, upsert_merge, stale_delete, provenance_check, manifest_compare, ledger_drift, schema_health, ordered_digest, file_hash, answer_end_to_end)}
 SQL = {
     "citation_parse": f"SELECT id, pos, cited_as, canonical FROM {_PARSED}",
     "citation_check": f"SELECT *, exists_flag AND retrieved_flag AS valid, CASE WHEN exists_flag AND retrieved_flag THEN NULL WHEN NOT exists_flag THEN 'not a control in the catalog' ELSE 'cited but not retrieved' END AS reason FROM {_CHECKED}",
@@ -227,6 +253,17 @@ SELECT id, CAST(pos AS INTEGER) AS pos, CASE WHEN run[1] = chr(2) THEN 'citation
     "prompt_render": _TOP + f"""SELECT q_id, '{INSTRUCTIONS}' || E'\\n\\n' || string_agg('[D-' || vec_id || E']\\n' || text, E'\\n\\n' ORDER BY rank) || E'\\n\\nQuestion: what about ' || q_id || '?' AS prompt
 FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 3 GROUP BY q_id""",
     "request_key": f"SELECT id, key FROM {_KEYS}",
+    "whole_request_key": f"""SELECT id, sha256('{{"model":"m-1","model_version":"2","prompt":' || {_JSON} || ',"purpose":"answer","sampling":{{"max_tokens":' || 256 * (turn + 1) || ',"penalty":{{"frequency":' || CASE WHEN turn % 2 = 0 THEN '0.1' ELSE 'null' END
+  || ',"presence":' || CAST(turn * 1.5 AS DOUBLE) || '}},"seed":null,"stop":["' || chr(92) || 'n","' || chr(92) || 'u00e9"],"stream":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || ',"temperature":' || CAST((turn % 10) / 10.0 AS DOUBLE) || '}}}}') AS key FROM {_Q}""",
+    "answer_batch": f"""WITH corpus AS (SELECT item_id, 'ac-' || (item_id % 9 + 1) AS control_id, text, {_axes('text')} AS e FROM benchmark), asked AS (SELECT id AS q_id, conv_id, question, reply IS NOT NULL AS replied, {_axes('question')} AS q FROM {_Q}),
+s AS (SELECT q_id, item_id, control_id, text, 1 - (e[1]*q[1] + e[2]*q[2] + e[3]*q[3]) / (sqrt(e[1]*e[1] + e[2]*e[2] + e[3]*e[3]) * sqrt(q[1]*q[1] + q[2]*q[2] + q[3]*q[3])) AS d FROM corpus, asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, item_id) AS rank FROM s),
+p AS (SELECT q_id, '{INSTRUCTIONS}' || E'\n\n' || string_agg('[' || upper(control_id) || E']\n' || text, E'\n\n' ORDER BY rank) AS head, list(control_id ORDER BY rank) AS control_ids FROM r WHERE rank <= 3 GROUP BY q_id),
+f AS (SELECT q_id, conv_id, replied, head || E'\n\nQuestion: ' || question AS question, control_ids FROM p JOIN asked USING (q_id)),
+k AS (SELECT *, sha256('{{"model":"m-1","model_version":"2","prompt":' || {_JSON} || ',"purpose":"answer","sampling":{{"temperature":0.5}}}}') AS key FROM f),
+a AS (SELECT key, min(conv_id % 9 + 1) AS n FROM k WHERE replied GROUP BY key)
+SELECT q_id, key, control_ids, CAST(len(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, n IS NOT NULL AS answered, CASE WHEN n IS NULL THEN 'no recorded answer' END AS decline, CASE WHEN n IS NULL THEN 0 ELSE 2 END AS n_citations,
+  CAST(CASE WHEN n IS NULL THEN 0 WHEN list_contains(control_ids, 'ac-' || n) THEN 1 ELSE 2 END AS BIGINT) AS invalid, CASE WHEN n IS NULL THEN []::VARCHAR[] ELSE [CASE WHEN list_contains(control_ids, 'ac-' || n) THEN NULL ELSE 'cited but not retrieved' END, 'not a control in the catalog'] END AS reasons FROM k LEFT JOIN a USING (key)""",
     "replay_or_decline": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT key, min(reply) AS said FROM k WHERE reply IS NOT NULL GROUP BY key)
 SELECT id, r.key IS NOT NULL AS answered, said AS answer, CASE WHEN r.key IS NULL THEN 'no recorded answer' END AS decline FROM k LEFT JOIN r USING (key)""",
     "recorded_vector_lookup": f"WITH k AS (SELECT * FROM {_Q}) SELECT id, question IN (SELECT question FROM k WHERE reply IS NOT NULL) AS recorded FROM k",

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+from urllib.parse import urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import checksum
+from tessera.sources.npy import file_system
 
 
 def whole_json(spark: SparkSession, path: str) -> DataFrame:
@@ -17,10 +23,38 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: Bytes of a file that are read at a time.
+BLOCK = 1 << 20
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for path in b.column(0).to_pylist():
+            digest = sha256()
+            system, place = file_system(path)
+            with system.open_input_stream(place) as f:
+                while block := f.read(BLOCK):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["path", "size", "sha256"])
+
+
+#: Schemes of file systems that a worker opens itself.
+STREAMED = ("file", "s3", "s3a", "gs", "abfs", "abfss")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size, sha256`` of each file, bytes as they are. A file is one row, so one of 2 GB or more fails the query: tables
-    are written in smaller files, and ``maintenance.ranged_digest`` digests rows instead."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """``path, size, sha256`` of each file, bytes as they are, of files of any size.
+
+    Spark lists the files, and each is opened in a task and read a block at a time. On a file system that only Spark's readers
+    know, a file is one row of its bytes instead, so that one of 2 GB or more fails there.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    first = listed.select("path").first()
+    if first is not None and urlparse(first["path"]).scheme in STREAMED:
+        return listed.select("path", F.col("length").alias("size")).mapInArrow(_hashed, "path string, size long, sha256 string")
+    return listed.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
