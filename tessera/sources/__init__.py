@@ -48,7 +48,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``path, size, sha256`` of each file, bytes as they are, of files of any size.
 
     Spark lists the files, and each is opened in a task and read a block at a time. On a file system that only Spark's readers
-    know, a file is one row of its bytes instead, so that one of 2 GB or more fails there.
+    know, a file is one row of its bytes instead, so that one of 2 GB or more fails there. Spark lists no empty files.
     """
     listed = spark.read.format("binaryFile").load(path)
     first = listed.select("path").first()
