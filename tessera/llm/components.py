@@ -34,5 +34,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _hooked(both, True).filter("u > v").distinct()
         done, edges = edges, saved(_hooked(large, False).filter("u > v").distinct())
         forget(done)
+    # the last edges go when no plan reads them any more
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -144,7 +144,7 @@ def test_near_copies_by_shingles(spark, monkeypatch, led):
     monkeypatch.setattr(shingles, "BLOCK", 3)
     monkeypatch.setattr(shingles, "COMPARED", 2)
     if not led:
-        monkeypatch.setattr(shingles, "_led", lambda classes: spark.createDataFrame([], "a long, b long"))
+        monkeypatch.setattr(shingles, "_led", lambda *_: common.saved(spark.createDataFrame([], "a long, b long")))
     r, line = random.Random(5), " ".join(f"line{k}" for k in range(12))
     rows = corpus(2)
     for g in range(12):
