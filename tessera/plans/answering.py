@@ -262,7 +262,7 @@ p AS (SELECT q_id, '{INSTRUCTIONS}' || E'\n\n' || string_agg('[' || upper(contro
 f AS (SELECT q_id, conv_id, replied, head || E'\n\nQuestion: ' || question AS question, control_ids FROM p JOIN asked USING (q_id)),
 k AS (SELECT *, sha256('{{"model":"m-1","model_version":"2","prompt":' || {_JSON} || ',"purpose":"answer","sampling":{{"temperature":0.5}}}}') AS key FROM f),
 a AS (SELECT key, min(conv_id % 9 + 1) AS n FROM k WHERE replied GROUP BY key)
-SELECT q_id, key, control_ids, CAST(len(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, n IS NOT NULL AS answered, CASE WHEN n IS NULL THEN 'no recorded answer' END AS decline, CASE WHEN n IS NULL THEN 0 ELSE 2 END AS n_citations,
+SELECT q_id, key, control_ids, CAST(len(list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '')) AS INTEGER) AS tokens, n IS NOT NULL AS answered, CASE WHEN n IS NULL THEN 'no recorded answer' END AS decline, CASE WHEN n IS NULL THEN 0 ELSE 2 END AS n_citations,
   CAST(CASE WHEN n IS NULL THEN 0 WHEN list_contains(control_ids, 'ac-' || n) THEN 1 ELSE 2 END AS BIGINT) AS invalid, CASE WHEN n IS NULL THEN []::VARCHAR[] ELSE [CASE WHEN list_contains(control_ids, 'ac-' || n) THEN NULL ELSE 'cited but not retrieved' END, 'not a control in the catalog'] END AS reasons FROM k LEFT JOIN a USING (key)""",
     "replay_or_decline": f"""WITH k AS (SELECT * FROM {_KEYS}), r AS (SELECT key, min(reply) AS said FROM k WHERE reply IS NOT NULL GROUP BY key)
 SELECT id, r.key IS NOT NULL AS answered, said AS answer, CASE WHEN r.key IS NULL THEN 'no recorded answer' END AS decline FROM k LEFT JOIN r USING (key)""",
