@@ -2,7 +2,9 @@
 
 A region of a text within k edits of a pattern of m bytes has at least m - q + 1 - qk of the pattern's q-grams, all on
 diagonals that lie within k of each other. Shared q-grams are counted in overlapping bands of diagonals, so one band holds
-all of a region's; bands that reach the bound are verified by an alignment that stays within the band.
+all of a region's; bands that reach the bound are verified by an alignment that stays within the band. Bands of one
+pattern that touch are aligned as one, all of its width at a time in the bits of two numbers, so a text that repeats
+itself costs one alignment and not one for each of its bands.
 
 Places of one q-gram that follow each other at one distance (rulers, repeated words) are one run. Two runs of one distance
 share q-grams on diagonals at that distance, more towards the middle, so their shares of all bands follow from a sum in
@@ -59,37 +61,62 @@ def edits_within(pattern: bytes, errors: float = ERRORS, q: int = GRAM) -> int:
     return max(0, min(int(errors * len(pattern)), (len(pattern) - q) // q))
 
 
+def _marks(window: np.ndarray, symbols: bytes) -> dict[int, int]:
+    """For each of these symbols, a number whose bits say where the window has it."""
+    return {c: int.from_bytes(np.packbits(window == c, bitorder="little").tobytes(), "little") for c in set(symbols)}
+
+
+def _costs(base: int, up: int, down: int, width: int) -> np.ndarray:
+    """Edits at each place of a window, from those at its first place and the bits where they rise or fall by one."""
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(width // 8 + 1, "little"), dtype=np.uint8), count=width, bitorder="little").astype(np.int32)
+    return base + np.concatenate([np.zeros(1, np.int32), np.cumsum(bits(up) - bits(down), dtype=np.int32)])
+
+
+def banded(pattern: bytes, text: np.ndarray, low: int, high: int, most: int, anywhere: bool = True) -> tuple[int, np.ndarray] | None:
+    """Edits between the pattern and what stops at each place of the text, within diagonals low to high (text place less
+    pattern place): the first place and the edits from there on, or none where all are above ``most``.
+
+    What is compared begins anywhere in the text, or at its beginning. A row of the alignment is two numbers of as many
+    bits as the band is wide, which say where edits rise and fall by one; the window moves on by steps no longer than
+    the band. Cells outside the band may be used but never give less than a true alignment costs.
+    """
+    step = max(256, high - low + 1)
+    at = min(max(0, low), len(text))
+    end = min(max(at, high + min(step, len(pattern))), len(text))
+    base, up, down = 0 if anywhere else at, 0 if anywhere else (1 << (end - at)) - 1, 0
+    for row in range(0, len(pattern), step):
+        rows = pattern[row : row + step]
+        if row:
+            if _costs(base, up, down, end - at).min() > most:  # the least of a row never falls
+                return None
+            to = min(max(at, low + row), len(text))
+            gone = (1 << (to - at)) - 1
+            base += (up & gone).bit_count() - (down & gone).bit_count()
+            up, down, at = up >> (to - at), down >> (to - at), to
+            to = min(max(end, high + row + len(rows)), len(text))
+            up, end = up | ((1 << (to - end)) - 1) << (end - at), to
+        marks, full = _marks(text[at:end], rows), (1 << (end - at)) - 1
+        for c in rows:
+            same = marks[c]
+            level = ((((same & up) + up) ^ up) | same | down) & full  # diagonal steps that cost nothing
+            right, left = (down | (full ^ (level | up))) << 1 | 1, (level & up) << 1
+            up, down = (left | ~(level | right)) & full, right & level
+            base += 1
+    costs = _costs(base, up, down, end - at)
+    return (at, costs) if costs.min() <= most else None
+
+
 def align(pattern: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """The best alignment of a pattern with a part of the text on diagonals low to high (text place less pattern place):
-    edits, start and stop; none above ``most`` edits. Of equal ones the leftmost stop, then the latest start."""
-    width = high - low + 1
-    t = np.full(width + len(pattern) + 1, -1, dtype=np.int64)  # text from low on, nothing outside
-    a, z = max(0, low), min(len(text), low + len(t))
-    if z > a:
-        t[a - low : z - low] = np.frombuffer(text, dtype=np.uint8)[a:z]
-    place = np.arange(width)
-    inside = (low + place >= 0) & (low + place <= len(text))
-    big = 1 << 30
-    cost = np.where(inside, 0, big)
-    start = low + place
-    down, above = np.full(width, big), np.zeros(width, dtype=np.int64)
-    for i, c in enumerate(pattern):
-        here = low + place + i + 1  # text places after this row
-        ok = (here >= 0) & (here <= len(text))
-        best = cost + (t[i : i + width] != c)
-        from_ = start
-        down[:-1], above[:-1] = cost[1:] + 1, start[1:]
-        take = down < best
-        best, from_ = np.where(take, down, best), np.where(take, above, from_)
-        best = np.where(ok, best, big)
-        # text bytes that the pattern hasn't: from the left within the row
-        slid = np.minimum.accumulate(best - place)
-        source = np.maximum.accumulate(np.where(best - place == slid, place, 0))
-        cost, start = np.minimum(slid + place, big), from_[source]
-        if i % 4 == 3 and cost.min() > most:  # the least cost of a row never falls
-            return None
-    k = int(cost.argmin())
-    return (int(cost[k]), int(start[k]), int(low + k + len(pattern))) if cost[k] <= most else None
+    """The best alignment of a pattern with a part of the text on diagonals low to high: edits, start and stop; none above
+    ``most`` edits. Of equal ones the leftmost stop, then the latest start."""
+    found = banded(pattern, np.frombuffer(text, dtype=np.uint8), low, high, most)
+    if found is None:
+        return None
+    k = int(found[1].argmin())
+    edits, stop = int(found[1][k]), found[0] + k
+    behind = np.frombuffer(text[max(0, stop - len(pattern) - edits) : stop][::-1], dtype=np.uint8)
+    at, costs = banded(pattern[::-1], behind, -edits, edits, edits, anywhere=False)
+    return edits, stop - at - int(costs.argmin()), stop
 
 
 def runs(hashes: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,23 +266,39 @@ class Patterns:
         both = both[n >= self.need[both >> 40]]
         return {(k >> 40, (k & ((1 << 40) - 1)) - (1 << 39)) for k in both.tolist()}
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """For each pattern within its budget somewhere in the text, its best region: pattern id, edits, start, stop."""
-        best: dict[int, tuple[int, int, int]] = {}
-        bands = sorted(self.regions(text))
-        spans = [(i, band * int(self.band[i]) - int(self.budget[i]), (band + 2) * int(self.band[i]) + int(self.budget[i])) for i, band in bands]
-        for i, low, high in spans:
-            if i not in best and (at := text.find(self.data[i], max(0, low), max(0, high + len(self.data[i])))) >= 0:
-                best[i] = (0, at, at + len(self.data[i]))
-        exact = set(best)  # nothing is better than a copy, and these are leftmost
-        for i, low, high in spans:
-            if i not in exact and (got := align(self.data[i], text, low, high, int(self.budget[i]))):
-                if i not in best or (got[0], got[1]) < (best[i][0], best[i][1]):
-                    best[i] = got
+    def _intervals(self, text: bytes) -> dict[int, list[tuple[int, int]]]:
+        """For each pattern the diagonals on which it may lie: its bands with the edits around them, those that touch as one."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for i, band in sorted(self.regions(text)):
+            wide, most, known = int(self.band[i]), int(self.budget[i]), out.setdefault(i, [])
+            low, high = band * wide - most, (band + 2) * wide + most
+            if known and low <= known[-1][1] + 1:
+                known[-1] = (known[-1][0], high)
+            else:
+                known.append((low, high))
+        return out
+
+    def found(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """For each pattern within its budget somewhere in the text, its best region: pattern id, edits, start, stop. The
+        best has the fewest edits, then the leftmost stop, then the latest start."""
         for i, p in self.short:
             if (at := text.find(p)) >= 0:
-                best[i] = (0, at, at + len(p))
-        return [(self.ids[i], *best[i]) for i in sorted(best)]
+                yield self.ids[i], 0, at, at + len(p)
+        for i, spans in self._intervals(text).items():
+            p, most = self.data[i], int(self.budget[i])
+            exact = (at for low, high in spans if (at := text.find(p, max(0, low), max(0, high + len(p)))) >= 0)
+            if (at := next(exact, -1)) >= 0:  # nothing is better than a copy, and this is the leftmost
+                yield self.ids[i], 0, at, at + len(p)
+                continue
+            # no alignment leaves its first diagonal by more than its edits, so wide intervals can be taken in parts
+            parts = ((x, min(high, x + PART + most)) for low, high in spans for x in range(low, high + 1, PART))
+            best = min((got for x, z in parts if (got := align(p, text, x - most, z, most))), key=lambda x: (x[0], x[2], -x[1]), default=None)
+            if best:
+                yield self.ids[i], *best
+
+    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """What ``found`` gives, by pattern."""
+        return sorted(self.found(text))
 
 
 _FOUND = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]
@@ -304,7 +347,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS
         def run(batches: Iterator[pa.RecordBatch], part: list[tuple[int, bytes]] = part) -> Iterator[pa.RecordBatch]:
             patterns = Patterns([i for i, _ in part], [p for _, p in part], errors)
             for b in batches:
-                clean = [not patterns.search(normal((x.as_py() or "").encode())) for x in b.column(at)]
+                clean = [next(patterns.found(normal((x.as_py() or "").encode())), None) is None for x in b.column(at)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

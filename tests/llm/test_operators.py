@@ -647,3 +647,65 @@ def test_rulers():
         patterns = decontaminate.Patterns([0], [item])
         assert patterns.search(text)[0][:3] == (0, 0, 0)
         assert sum(len(x[0]) for x in patterns.shared(np.frombuffer(text, np.uint8)[: 1 << 20], 0)) < 200_000
+
+
+def best_region(p, t, most):
+    """Fewest edits, then the leftmost stop, then the latest start, by the whole table."""
+    prev = [(0, -j) for j in range(len(t) + 1)]
+    for i, a in enumerate(p):
+        cur = [(i + 1, 0)]
+        for j, b in enumerate(t):
+            cur.append(min((prev[j][0] + (a != b), prev[j][1]), (prev[j + 1][0] + 1, prev[j + 1][1]), (cur[-1][0] + 1, cur[-1][1])))
+        prev = cur
+    k = min(range(len(t) + 1), key=lambda j: (prev[j][0], j))
+    return (prev[k][0], -prev[k][1], k) if prev[k][0] <= most else None
+
+
+def test_near_copies_in_repetitive_texts():
+    r = random.Random(5)
+    part = lambda: r.choice([b"-" * r.randint(1, 60), b"=-" * r.randint(1, 30), b"abc" * r.randint(1, 20), bytes(r.choice(b"abcdef ") for _ in range(r.randint(1, 40)))])
+    text_of = lambda n: b"".join(part() for _ in range(n))
+    before, near = decontaminate.PART, 0
+    try:
+        for _ in range(40):
+            decontaminate.PART = r.choice([30, 100, 1 << 20])
+            items = [text_of(r.randint(1, 8)) for _ in range(3)]
+            edited = bytearray(items[0])
+            for _ in range(r.randint(0, 6)):
+                k = r.randrange(len(edited) + 1)
+                edited[k : k + r.randint(0, 2)] = bytes(r.choice(b"-=abx") for _ in range(r.randint(0, 2)))
+            text = text_of(r.randint(0, 5)) + bytes(edited) + text_of(r.randint(0, 5))
+            patterns = decontaminate.Patterns([0, 1, 2], items, r.choice([0.08, 0.04]))
+            found = [(i, best_region(p, text, int(patterns.budget[i]))) for i, p in enumerate(items)]
+            assert patterns.search(text) == [(i, *best) for i, best in found if best]
+            near += sum(best is not None and best[0] > 0 for _, best in found)
+    finally:
+        decontaminate.PART = before
+    assert near > 10
+
+
+def test_alignment_of_long_patterns():
+    """Windows that move on with the pattern, at the ends of the text too."""
+    r = random.Random(6)
+    for _ in range(12):
+        p = bytes(r.choice(b"ab") for _ in range(r.randint(300, 1200)))
+        edited = bytearray(p)
+        for _ in range(r.randint(0, 20)):
+            k = r.randrange(len(edited))
+            edited[k : k + r.randint(0, 2)] = b"a" * r.randint(0, 2)
+        off = r.randint(0, 40)
+        text = bytes(r.choice(b"ab") for _ in range(off)) + bytes(edited) + b"ba" * r.randint(0, 20)
+        assert decontaminate.align(p, text, off - 50, off + 50, 45) == best_region(p, text, 45)
+    assert decontaminate.align(b"a" * 900, b"b" * 900, -50, 50, 45) is None
+    assert decontaminate.align(b"abc", b"", -5, 5, 3) == (3, 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "edits"),
+    [(b"-" * 400 + b"end", b"-" * 1_000_000, 3), (b"=-" * 200 + b"fin", b"=-" * 500_000, 3), (b"twenty bytes phrase " * 40 + b"two words", b"twenty bytes phrase " * 2000, 7)],
+)
+def test_near_rulers_in_one_alignment(item, text, edits, monkeypatch):
+    calls, real = [], decontaminate.align
+    monkeypatch.setattr(decontaminate, "align", lambda *x: calls.append(x) or real(*x))
+    got = decontaminate.Patterns([0], [item]).search(text)
+    assert len(got) == 1 and got[0][1] == edits and len(calls) <= 2
