@@ -144,7 +144,7 @@ def test_near_copies_by_shingles(spark, monkeypatch, led):
     monkeypatch.setattr(shingles, "BLOCK", 3)
     monkeypatch.setattr(shingles, "COMPARED", 2)
     if not led:
-        monkeypatch.setattr(shingles, "_led", lambda *_: common.saved(spark.createDataFrame([], "a long, b long")))
+        monkeypatch.setattr(shingles, "_led", lambda *_: common.saved(spark.createDataFrame([], "a long, node long, band long")))
     r, line = random.Random(5), " ".join(f"line{k}" for k in range(12))
     rows = corpus(2)
     for g in range(12):
@@ -156,6 +156,10 @@ def test_near_copies_by_shingles(spark, monkeypatch, led):
             rows.append((1000 + 10 * g + k, " ".join(own) + (" " + line if g % 2 else "")))
     rows += [(2000, " ".join(f"a{k}" for k in range(40))), (2001, " ".join(f"a{k}" for k in range(4, 40))), (2002, " ".join(f"a{k}" for k in range(8, 44)))]
     rows += [(3000, " ".join(f"b{k}" for k in range(9))), (3001, " ".join(f"b{k}" for k in range(8))), (3002, " ".join(f"c{k}" for k in range(8))), (3003, " ".join(f"c{k}" for k in range(7)))]
+    hub = [f"h{k}" for k in range(100)]  # a text, and copies that are mostly nearer to it than to each other
+    for k in range(20):
+        places = r.sample(range(10), k % 4)
+        rows.append((4000 + k, " ".join(f"y{k}" if j % 10 == 5 and j // 10 in places else w for j, w in enumerate(hub))))
     grams = []
     for i, t in rows:
         words = (t or "").encode().lower().split()
@@ -180,6 +184,25 @@ def test_near_copies_by_shingles(spark, monkeypatch, led):
     assert pipeline.near_duplicates(spark, docs(spark, rows).limit(0), "").count() == 0
 
 
+def test_parities_and_leaders(spark):
+    """Sets differ in no fewer shingles than parities, alike sets in a ninth at most; a text leads its near copies."""
+    r = random.Random(8)
+    for _ in range(300):
+        n = r.choice([1, 2, 9, 40, 300])
+        x = np.array([r.getrandbits(64) for _ in range(n)], dtype=np.uint64)
+        y = np.concatenate([x[r.randrange(n // 3 + 1) :], np.array([r.getrandbits(64) for _ in range(r.randrange(n // 3 + 1))], dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        odd = int(np.unpackbits((shingles.parities(x) ^ shingles.parities(y)).view(np.uint8)).sum())
+        assert odd <= len(np.setxor1d(x, y))
+        assert not shingles.alike(x, y) or 9 * odd <= len(x) + len(y)
+    assert not shingles.parities(np.array([], dtype=np.uint64)).any()
+    hub = [f"h{k}" for k in range(100)]
+    texts = [" ".join(hub)] + [" ".join(f"z{k}" if k * 4 <= j < k * 4 + 3 else w for j, w in enumerate(hub)) for k in range(24)]
+    nodes = [shingles._node(t.encode()) for t in texts]
+    led = shingles._led(spark.createDataFrame(nodes, "node long, words binary")).collect()
+    assert sum(row.a == nodes[0][0] for row in led) > len(led) / 2
+
+
 def test_simhash_of_a_long_text_in_pieces(monkeypatch):
     r = random.Random(6)
     data = " ".join(r.choice(["ab", "c", "defg", "H"]) for _ in range(5000)).encode()
