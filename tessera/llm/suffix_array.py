@@ -439,7 +439,8 @@ def _named(text: np.ndarray, stars: np.ndarray, top: int, store: Store) -> tuple
         start = np.maximum.accumulate(np.where(head, np.arange(len(live)), 0))
         rank[live] = own + np.maximum.accumulate(np.where(new, np.arange(len(live)), 0)) - start
         done += per
-        again = ~(new & np.append(new[1:], True)) & (length[live] > done)
+        # one that ends here goes another round, which puts it behind longer ones that begin like it
+        again = ~(new & np.append(new[1:], True)) & (length[live] >= done)
         live = live[again]
         if not len(live):
             break

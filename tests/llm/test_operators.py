@@ -329,6 +329,30 @@ def test_suffix_arrays(monkeypatch, run, block, few):
             assert lcp[k] == next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
 
 
+def alike_stars(seed, n=4):
+    """Texts of runs that a number just holds, some of which begin a longer one."""
+    r = random.Random(seed)
+    return ["".join("bdeeeedcb" + r.choice(["d", "a", "ca"]) for _ in range(r.randint(12, 30))) for _ in range(n)]
+
+
+def test_suffix_arrays_of_stars_that_begin_longer_ones():
+    """A star substring that ends where a number of symbols does stands behind the longer ones that begin like it."""
+    for seed in range(12):
+        text = [x for t in alike_stars(seed) for x in (*(c + 2 for c in t.encode()), 1)] + [0]
+        with suffix_array.Store() as store:
+            order, _ = suffix_array.suffix_array(np.array(text), store)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        shard, want = pieces_of(alike_stars(seed), windows.Bytes())
+        assert suffix_dedup.suffix_engine().load()(shard).tolist() == want
+
+
+def test_bytes_of_stars_that_begin_longer_ones(spark):
+    rows = [(10 * seed + i, t) for seed in (11, 35, 69, 82, 86, 110, 149, 163) for i, t in enumerate(alike_stars(seed))]
+    want = [(i, len(s), sum(g), sum(a and not b for a, b in zip(g, [False, *g])), hashlib.sha256(bytes(x for x, y in zip(s, g) if not y)).hexdigest()) for i, s, g in brute_gone(rows, lambda t: t.encode(), 50)]
+    out = suffix_dedup.dedup_bytes(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == sorted(want)
+
+
 def test_words_as_they_are():
     """Words of a batch, whatever white space is between them and wherever a text ends."""
     import pyarrow as pa
