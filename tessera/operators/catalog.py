@@ -179,6 +179,15 @@ def catalog_tables(documents: DataFrame) -> Catalog:
     return Catalog(metadata, of("group").select("root", "path", "group_id", "title", "class"), controls, parts, parameters)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows as a join's side that grows with the input: both sides are dealt by the key and sorted.
+
+    Left to itself the engine judges a table by its files, which are compressed: a few MB of markers or controls are hundreds of
+    MB of rows, and would go through the driver to every executor.
+    """
+    return rows.hint("merge")
+
+
 #: How deep parameters may name each other, through their choices or their guidance.
 DEPTH = 8
 
@@ -195,9 +204,9 @@ def _peeled(elements: DataFrame, plain: DataFrame, finish: Callable[[DataFrame],
     front, open_, asked = plain, elements.select("own", named.alias("param")).distinct(), elements.select("own").distinct()
     made = [front]
     for _ in range(depth):
-        left = saved(open_.join(front, "param", "left_anti"))
-        ready = asked.join(left, "own", "left_anti")
-        texts = elements.join(ready, "own", "left_semi").withColumn("__key", F.concat_ws("\x1e", "own", F.col("n").cast("string")))
+        left = saved(open_.join(dealt(front), "param", "left_anti"))
+        ready = asked.join(dealt(left), "own", "left_anti")
+        texts = elements.join(dealt(ready), "own", "left_semi").withColumn("__key", F.concat_ws("\x1e", "own", F.col("n").cast("string")))
         done = resolve_markers(texts.select("__key", "text"), reduce(DataFrame.unionByName, made), "__key", "text", checked=False)
         whole = done.select(F.substring_index("__key", "\x1e", 1).alias("own"), F.substring_index("__key", "\x1e", -1).cast("int").alias("n"), "resolved")
         listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "resolved"))), lambda x: x["resolved"])
@@ -207,7 +216,7 @@ def _peeled(elements: DataFrame, plain: DataFrame, finish: Callable[[DataFrame],
             return reduce(DataFrame.unionByName, made)
         if front.isEmpty():
             break
-        open_, asked = left, left.join(front, "param", "left_semi").select("own").distinct()
+        open_, asked = left, left.join(dealt(front), "param", "left_semi").select("own").distinct()
     raise ValueError(f"unknown, circular or too deep: {stuck['own']} names {stuck['param']}")
 
 
@@ -241,7 +250,7 @@ def rendered(parameters: DataFrame, depth: int = DEPTH) -> DataFrame:
     facts = rows.select("own", "how_many", "chosen").filter(F.size("texts") > 0)
 
     def finish(whole: DataFrame) -> DataFrame:
-        both = whole.join(facts, "own")
+        both = whole.join(dealt(facts), "own")
         made = rendered_parameter(none, F.col("how_many"), F.when(F.col("chosen"), F.col("texts")), F.lit(None).cast("string"), F.col("texts"))
         return both.select(F.col("own").alias("param"), made.alias("rendered"))
 
@@ -257,7 +266,7 @@ def resolved_parts(catalog: Catalog, shown: DataFrame | None = None) -> DataFram
     keyed = said.filter(marked).withColumn("__key", F.concat(scope, "path"))
     scoped = F.regexp_replace("prose", r"(\{\{\s*insert:\s*param,\s*)", F.concat(F.lit("$1"), scope))
     done = resolve_markers(keyed.select("__key", scoped.alias("prose")), shown.select(F.concat(scope, "param").alias("param"), "rendered"), "__key", "prose", checked=False)
-    resolved = keyed.drop("prose").join(done.withColumnRenamed("resolved", "prose"), "__key").drop("__key")
+    resolved = keyed.drop("prose").join(dealt(done.withColumnRenamed("resolved", "prose")), "__key").drop("__key")
     return said.filter(~marked).unionByName(resolved)
 
 
@@ -283,7 +292,7 @@ def chunk_catalog(catalog: Catalog) -> DataFrame:
     section = lines.groupBy("root", "control_id", "top", "top_name", "top_part").agg(joined(line).alias("body"))
     body = F.concat(heading, F.lit(":\n"), "body").alias("text")
     whole = section.groupBy("root", "control_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "top", body, part_suffix(F.col("top_part"), F.col("top_name")).alias("suffix")))).alias("sections"))
-    found = live.join(whole, (live["root"] == whole["root"]) & (live["id"] == whole["control_id"]), "left").drop(whole["root"])
+    found = live.join(dealt(whole), (live["root"] == whole["root"]) & (live["id"] == whole["control_id"]), "left").drop(whole["root"])
     lacks = F.when(F.col("sections").isNull(), "no statement or guidance")
     checked = found.withColumn("control_id", F.when(lacks.isNull(), F.col("id")).otherwise(F.raise_error(F.concat_ws(": ", "id", lacks))))
     path = F.array_join(F.transform("sections", lambda s: s["suffix"]), "+")
@@ -300,10 +309,10 @@ def resolution_digest(catalog: Catalog) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("root", "control_id").orderBy("path")) - 1
     numbered = catalog.parts.filter("control_id is not null").select("root", "control_id", "path", place.alias("n"))
     shown = rendered(catalog.parameters)
-    texts = resolved_parts(catalog, shown).select("root", "path", "prose").join(numbered, ["root", "path"])
+    texts = resolved_parts(catalog, shown).select("root", "path", "prose").join(dealt(numbered), ["root", "path"])
     ordered = lambda items, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, items.alias("x")))), lambda s: s["x"]), "")
     one = texts.groupBy("root", "control_id").agg(F.sha2(ordered(F.concat_ws("\x1f", "control_id", F.col("n").cast("string"), F.concat("prose", F.lit("\x1e"))), "n"), 256).alias("digest"))
-    both = one.join(catalog.controls.select("root", F.col("id").alias("control_id"), "path"), ["root", "control_id"]).select("root", F.lit(0).alias("kind"), F.col("path").alias("at"), F.concat("digest", F.lit("\x1e")).alias("x"))
+    both = one.join(dealt(catalog.controls.select("root", F.col("id").alias("control_id"), "path")), ["root", "control_id"]).select("root", F.lit(0).alias("kind"), F.col("path").alias("at"), F.concat("digest", F.lit("\x1e")).alias("x"))
     shown = shown.select(F.col("root").cast("string").alias("root"), F.col("param").alias("at"), "rendered").select("root", F.lit(1).alias("kind"), "at", F.concat_ws("\x1f", "at", F.concat("rendered", F.lit("\x1e"))).alias("x"))
     rows = both.withColumn("root", F.col("root").cast("string")).unionByName(shown)
     return rows.groupBy("root").agg(F.sha2(ordered(F.col("x"), "kind", "at"), 256).alias("digest"))
@@ -392,7 +401,7 @@ def resolve_markers(texts: DataFrame, parameters: DataFrame, key: str = "id", te
     parameters = unique(parameters, "__param", what="a parameter twice") if checked else parameters
     # pieces that name none are spread, not sent to one task as nulls
     named = F.coalesce("param", F.concat(F.lit("\x1f\x1f"), F.col(key).cast("string")))
-    joined = marker_pieces(texts.select(key, text), key, text).withColumn("__named", named).join(parameters, F.col("__named") == F.col("__param"), "left")
+    joined = marker_pieces(texts.select(key, text), key, text).withColumn("__named", named).join(dealt(parameters), F.col("__named") == F.col("__param"), "left")
     unknown = F.col("match").isNotNull() & F.col("rendered").isNull()
     missing = F.raise_error(F.concat(F.lit("no such parameter: "), F.col("param"))) if strict else F.lit("")
     value = F.when(F.col("match").isNull(), F.lit("")).when(unknown, missing).otherwise(F.col("rendered"))

@@ -43,8 +43,8 @@ def catalog_documents(spark, d) -> DataFrame:
     all_ = _controls(spark, d)
     third = all_.filter("k % 3 = 2").select((F.col("k") - 1).alias("k"), F.col("c").alias("inner"))
     below = lambda rows: rows.withColumn("c", F.col("c").withField("controls", F.when(F.col("inner").isNotNull(), F.array("inner")))).drop("inner")
-    second = below(all_.filter("k % 3 = 1").join(third, "k", "left")).select((F.col("k") - 1).alias("k"), F.col("c").alias("inner"))
-    first = below(all_.filter("k % 3 = 0").join(second, "k", "left"))
+    second = below(all_.filter("k % 3 = 1").join(catalog.dealt(third), "k", "left")).select((F.col("k") - 1).alias("k"), F.col("c").alias("inner"))
+    first = below(all_.filter("k % 3 = 0").join(catalog.dealt(second), "k", "left"))
     group = first.groupBy(F.floor(F.col("k") / GROUP).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("c").alias("c")))), lambda x: x["c"]).alias("controls"))
     body = F.concat(F.lit('{"id":"g'), F.col("g").cast("string"), F.lit('","title":"Group '), F.col("g").cast("string"), F.lit('","parts":[{"name":"overview","prose":"About these.","parts":[{"name":"item"}]}],"controls":['), F.array_join("controls", ","), F.lit("]}"))
     root = group.select(F.floor(F.col("g") * GROUP / ROOT).alias("root"), "g", body.alias("body")).groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "body"))), lambda x: x["body"]), ",").alias("groups"))

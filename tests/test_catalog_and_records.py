@@ -449,3 +449,17 @@ def test_a_stored_corpus_is_held_against_its_pins(spark, tmp_path):
     assert "other rows than were ingested" in maintenance.verify_corpus(spark, root, pins)
     with pytest.raises(Exception, match="a stored key twice"):
         maintenance.upsert(spark.createDataFrame([("a", 1), ("a", 2)], "k string, c int"), spark.createDataFrame([("a",)], "k string"), "k", "c", F.lit(3)).collect()
+
+
+def test_catalog_joins_are_dealt_by_key(spark, monkeypatch):
+    """No side that grows with the documents goes through the driver, whatever its compressed files weigh."""
+    plans, own = [], catalog.saved
+    monkeypatch.setattr(catalog, "saved", lambda df, *more, **by: (plans.append(df), own(df, *more, **by))[1])
+    part = lambda n: {"name": "statement", "prose": "do {{ insert: param, p%d }} now" % n}
+    params = lambda n: [{"id": f"p{n}", "values": ["v"]}, {"id": f"q{n}", "select": {"choice": ["{{ insert: param, p%d }}" % n]}}]
+    t = tables(spark, catalog_of([control(f"ab-{n}", [part(n)], params=params(n)) for n in range(3)]))
+    out = [catalog.resolution_digest(t), catalog.chunk_catalog(t)]
+    said = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, *out]]
+    assert sum("Join" in x for x in said) > 3 and not any("Broadcast" in x for x in said)
+    assert len(out[0].collect()) == 1
+    assert [r.text.rsplit("\n", 1)[1] for r in out[1].orderBy("path").collect()] == ["do v now"] * 3
