@@ -463,3 +463,26 @@ def test_catalog_joins_are_dealt_by_key(spark, monkeypatch):
     assert sum("Join" in x for x in said) > 3 and not any("Broadcast" in x for x in said)
     assert len(out[0].collect()) == 1
     assert [r.text.rsplit("\n", 1)[1] for r in out[1].orderBy("path").collect()] == ["do v now"] * 3
+
+
+def test_nearest_rows_in_bounded_pieces():
+    """A worker holds some of the queries' distances at a time, and k rows of each query leave it; NaN is last, ties go by key."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    x, q = r.integers(0, 3, (4096, 3)).astype(float), r.integers(1, 3, (3000, 3)).astype(float)
+    lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), lists(x)], names=["id", "v"])
+    asked = pa.table({"q_id": np.arange(3000), "q": lists(q)})
+    tracemalloc.start()
+    found = pa.Table.from_batches(search._nearest(iter([rows]), asked, 5, False, ["q_id", "id", "distance"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and len(found) == 5 * 3000
+    with np.errstate(invalid="ignore"):
+        for n in range(0, 3000, 97):
+            far = 1.0 - (x * q[n]).sum(axis=1) / (np.sqrt((q[n] * q[n]).sum()) * np.sqrt((x * x).sum(axis=1)))
+            assert found.slice(5 * n, 5)["id"].to_pylist() == np.lexsort((np.arange(4096), far))[:5].tolist()
