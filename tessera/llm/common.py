@@ -8,29 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ARROW_BYTES, ARROW_ROWS, long_rows  # noqa: F401 - what the operators use
 from tessera.storage import forget, forget_path, saved, shared_folder, sweep, tracked  # noqa: F401 - what the operators use
 
-#: Bytes and rows in one Arrow batch; texts can be megabytes long, so it is the bytes that bound a Python worker.
-ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
-
 
 def width(spark: SparkSession) -> int:
     """The session's shuffle width; operators that need an explicit count use this, so it is sized once for a cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def long_rows(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts: a Python worker holds one batch of each stage at a time.
-
-    Batches are sized when a query runs and not when it is built, so the setting is left to the session; it is only ever
-    lowered.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
-        now = str(spark.conf.get(key))
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names, whatever else the table holds: ``doc_id long, data
     binary``, the text in UTF-8; a null text is empty."""

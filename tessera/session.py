@@ -1,4 +1,4 @@
-"""Sessions: settings for a new one, and this package's code for the workers of any."""
+"""Sessions: settings for a new one, batches of bounded size, and this package's code for the workers of any."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
+#: Bytes and rows in one Arrow batch; texts can be megabytes long, so it is the bytes that bound a Python worker.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
 
 
 def session(name: str = "tessera", **conf: str) -> SparkSession:
@@ -34,3 +36,15 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._tessera_shipped = True
     return spark
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for long texts: a Python worker holds one batch of each stage at a time.
+
+    Batches are sized when a query runs and not when it is built, so the setting is left to the session; it is only ever
+    lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))

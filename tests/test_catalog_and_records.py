@@ -486,3 +486,27 @@ def test_nearest_rows_in_bounded_pieces():
         for n in range(0, 3000, 97):
             far = 1.0 - (x * q[n]).sum(axis=1) / (np.sqrt((q[n] * q[n]).sum()) * np.sqrt((x * x).sum(axis=1)))
             assert found.slice(5 * n, 5)["id"].to_pylist() == np.lexsort((np.arange(4096), far))[:5].tolist()
+
+
+def test_encoders_get_batches_of_bounded_size(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: str(spark.conf.get(k)) for k in keys}
+
+    def bounded(texts, make):
+        if len(texts) > 4096 or sum(map(len, texts)) > 5 << 20:
+            raise ValueError(f"{len(texts)} texts at once")
+        return make(texts)
+
+    try:
+        for n, size in ((6000, 1), (40, 1 << 20)):
+            rows = spark.range(0, n, 1, 1).select(F.repeat(F.lit("x"), size).alias("text"))
+            for made in (encoders.embed, encoders.counted):
+                spark.conf.set(keys[0], "10000"), spark.conf.set(keys[1], str(1 << 30))
+                if made is encoders.embed:
+                    out = made(rows, "text", lambda: lambda t: bounded(t, encoders.seeded(2)), 2)
+                else:
+                    out = made(rows, "text", lambda: lambda t: bounded(t, lambda x: [len(y) for y in x]))
+                assert out.filter(F.col(out.columns[-1]).isNotNull()).count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
