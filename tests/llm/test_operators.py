@@ -203,6 +203,23 @@ def test_parities_and_leaders(spark):
     assert sum(row.a == nodes[0][0] for row in led) > len(led) / 2
 
 
+def test_minima_are_over_whole_sets(monkeypatch):
+    """Each band's minima are of the whole set in their own order: alike in as many as the similarity says, for short texts too."""
+    r = np.random.default_rng(4)
+    for size in (5, 20, 400):
+        agree = []
+        for _ in range(60):
+            x = np.unique(r.integers(0, 2**64 - 1, size, dtype=np.uint64))
+            y = np.unique(np.append(x[r.permutation(size)[: size - size // 5]], r.integers(0, 2**64 - 1, 1, dtype=np.uint64)))
+            likeness = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+            agree.append((shingles.minima(x) == shingles.minima(y)).mean() - likeness)
+            assert len(shingles._bands(1, x)[0]) == shingles.BANDS
+        assert abs(np.mean(agree)) < 0.03
+    whole = shingles.minima(x)
+    monkeypatch.setattr(shingles, "PIECE", 7)
+    assert (shingles.minima(x) == whole).all() and len(shingles._bands(1, x[:0])[0]) == 0
+
+
 def test_simhash_of_a_long_text_in_pieces(monkeypatch):
     r = random.Random(6)
     data = " ".join(r.choice(["ab", "c", "defg", "H"]) for _ in range(5000)).encode()
